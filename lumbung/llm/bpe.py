@@ -17,9 +17,9 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
-from lumbung.llm.common import text_of
+from lumbung.llm.common import documents, text_of
 
 #: Stands for the end-of-word suffix inside pieces; byte-level alphabets have no such character.
 END = "\ue000"
@@ -248,3 +248,10 @@ def encode_documents(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_i
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *made], [*keep, "n_tokens", *outputs])
 
     return source.mapInArrow(run, schema)
+
+
+def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's token count and the digests of its ids and of their decoding."""
+    import public_tokenizers
+
+    return encode_documents(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), outputs=("ids_sha256", "decoded_sha256"))

@@ -6,7 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lumbung.llm.bpe import op8_bpe
+from lumbung.llm.exact_dedup import OP2_SQL, op2_exact_dedup
+from lumbung.llm.quality_rules import op6_quality_rules
 from lumbung.llm.records import op1_token_records
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_token_records": op1_token_records}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_token_records": op1_token_records,
+    "op2_exact_dedup": op2_exact_dedup,
+    "op6_quality_rules": op6_quality_rules,
+    "op8_bpe": op8_bpe,
+}
+ORACLE_SQL: dict[str, str] = {"op2_exact_dedup": OP2_SQL}
