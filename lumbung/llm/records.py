@@ -1,7 +1,8 @@
 """Token ids in files of length-delimited binary records, with a separate offset index.
 
 A record is one document: a little-endian 64-bit length of the payload, the masked CRC-32C of those eight bytes,
-the payload (ids as little-endian unsigned 32-bit integers) and the masked CRC-32C of the payload. Shards hold the
+the payload and the masked CRC-32C of the payload. A payload is a byte with the width of an id, 2 or 4 (2 where every id of
+the vocabulary fits), and the ids as little-endian unsigned integers of that width. Shards hold the
 documents in ascending id order. The index, a Parquet table beside the shards, has each record's shard, offset,
 length and token count; it names only files of tasks that succeeded, so a lost executor's half-written file is never
 read: a task that runs again writes a file of another name.
@@ -12,7 +13,9 @@ An empty table has no shards. Columns other than the id and the text are not rea
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import struct
 import uuid
 import zlib
@@ -150,30 +153,75 @@ class LibraryWords:
 
     Every piece and special token of the vocabulary file lies within a stretch without ASCII white space, and so
     the ids of a text are those of its stretches, in order; each worker encodes a stretch once while it remembers it.
+    Stretches of printable ASCII are cut into the pieces of the file's own pattern first, and the library's model
+    encodes each piece once; the library's whole chain takes the others.
     """
 
-    def __init__(self, path: str):
+    #: The file's pre-tokenising pattern over lower-cased printable ASCII; a line end stands between stretches.
+    PIECES = re.compile(r"\n|'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\na-z0-9]+")
+    NOT_PRINTABLE = re.compile(rb"[^!-~]|<\|")
+
+    def __init__(self, path: str, end_id: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.library, self.known = Tokenizer.from_file(path), {}
+        self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-
-    def encode(self, text: bytes) -> bytes:
-        words, known = text.split(), self.known
-        if new := [w for w in set(words) if w not in known]:
-            if len(known) + len(new) > REMEMBER:
-                known.clear()
-                new = list(set(words))
-            for at in range(0, len(new), 4096):
-                some = new[at : at + 4096]
-                for w, e in zip(some, self.library.encode_batch_fast([w.decode("utf-8") for w in some], add_special_tokens=False), strict=True):
-                    known[w] = np.asarray(e.ids, "<u4").tobytes()
-        return b"".join(map(known.__getitem__, words))
-
-
-_WORDS: dict[str, LibraryWords] = {}
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        self.model = Tokenizer.from_str(json.dumps(spec | {"normalizer": None, "pre_tokenizer": None, "added_tokens": []}))
+        ids = [*spec["model"]["vocab"].values(), *(t["id"] for t in spec["added_tokens"]), end_id]
+        self.width = 2 if max(ids) < 1 << 16 else 4
+        self.known: dict[bytes, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+
+    def _ids(self, tokenizer, texts: list[str], to: dict) -> None:
+        for at in range(0, len(texts), 4096):
+            some = texts[at : at + 4096]
+            for x, e in zip(some, tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
+                to[x] = np.asarray(e.ids, f"<u{self.width}").tobytes()
+
+    def _learn(self, new: set[bytes]) -> None:
+        odd = [w.decode("utf-8") for w in new if self.NOT_PRINTABLE.search(w)]
+        got: dict[str, bytes] = {}
+        self._ids(self.library, odd, got)
+        self.known.update((w.encode("utf-8"), ids) for w, ids in got.items())
+        new = [w for w in new if not self.NOT_PRINTABLE.search(w)]
+        cut = self.PIECES.findall(b"\n".join([*new, b""]).decode("ascii").lower())
+        if len(self.pieces) > REMEMBER:
+            self.pieces.clear()
+        unseen = set(cut).difference(self.pieces)
+        unseen.discard("\n")
+        self._ids(self.model, list(unseen), self.pieces)
+        words, ids, pieces = iter(new), [], self.pieces
+        for piece in cut:
+            if piece == "\n":
+                self.known[next(words)] = b"".join(ids)
+                ids = []
+            else:
+                ids.append(pieces[piece])
+
+    def encode(self, texts: list[bytes], block: int = 4 << 20) -> Iterator[bytes]:
+        """The ids of each text, ``width`` bytes each; looks at about ``block`` bytes at a time."""
+        at = 0
+        while at < len(texts):
+            upto, size = at, 0
+            while upto < len(texts) and (upto == at or size < block):
+                size, upto = size + len(texts[upto]), upto + 1
+            split = [t.split() for t in texts[at:upto]]
+            new = set().union(*split).difference(self.known)
+            if len(self.known) + len(new) > REMEMBER:
+                self.known.clear()
+                new = set().union(*split)
+            if new:
+                self._learn(new)
+            for words in split:
+                yield b"".join(map(self.known.__getitem__, words))
+            at = upto
+
+
+_WORDS: dict[tuple[str, int], LibraryWords] = {}
 
 
 def write_records(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 1, shard_bytes: int = SHARD_BYTES) -> DataFrame:
@@ -195,9 +243,10 @@ def write_records(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 1,
         from pyspark import TaskContext
 
         task = TaskContext.get().partitionId()
-        if tokenizer not in _WORDS:
-            _WORDS[tokenizer] = LibraryWords(tokenizer)
-        words, end = _WORDS[tokenizer], struct.pack("<I", end_id)
+        if (tokenizer, end_id) not in _WORDS:
+            _WORDS[tokenizer, end_id] = LibraryWords(tokenizer, end_id)
+        words = _WORDS[tokenizer, end_id]
+        begin, end = bytes([words.width]), end_id.to_bytes(words.width, "little")
         store, root = _files(shards)
         store.create_dir(root, recursive=True)
         attempt = uuid.uuid4().hex
@@ -206,7 +255,8 @@ def write_records(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 1,
         try:
             for batch in batches:
                 rows = []
-                for record in frames([words.encode(text.as_py()) + end for text in batch.column("__text").cast(pa.binary())]):
+                texts = [x.as_py() for x in batch.column("__text").cast(pa.binary())]
+                for record in frames([begin + ids + end for ids in words.encode(texts)]):
                     if out is None or offset and offset + len(record) > shard_bytes:
                         if out is not None:
                             out.close()
@@ -214,7 +264,7 @@ def write_records(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 1,
                         name = f"{task:06d}-{shard:04d}-{attempt}.rec"
                         out = store.open_output_stream(f"{root}/{name}")
                     out.write(record)
-                    n = (len(record) - 16) // 4
+                    n = (len(record) - 17) // words.width
                     rows.append((shard, name, offset, len(record), n, seen))
                     offset, seen = offset + len(record), seen + n
                 cols = list(zip(*rows, strict=True)) or [()] * 6
@@ -262,7 +312,7 @@ def read_records(spark: SparkSession, folder: str, shuffle_seed: int | None = No
                         for e in some:
                             f.seek(e["offset"])
                             records.append(f.read(e["length"]))
-                        ids, n = unframe(records), len(some)
+                        ids, n = [np.frombuffer(x, f"<u{x[0]}", offset=1).astype("<u4").tobytes() for x in unframe(records)], len(some)
                         if [len(x) for x in ids] != [4 * e["n_tokens"] for e in some]:
                             raise ValueError("the index and a record differ in length")
                         yield pa.RecordBatch.from_arrays(
