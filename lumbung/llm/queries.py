@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lumbung.llm.bpe import op8_bpe
 from lumbung.llm.exact_dedup import OP2_SQL, op2_exact_dedup
+from lumbung.llm.langid import op10_language_id
+from lumbung.llm.mixing import OP7_SQL, op7_mixing
 from lumbung.llm.quality_rules import op6_quality_rules
 from lumbung.llm.records import op1_token_records
 
@@ -15,6 +17,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_records": op1_token_records,
     "op2_exact_dedup": op2_exact_dedup,
     "op6_quality_rules": op6_quality_rules,
+    "op7_mixing": op7_mixing,
     "op8_bpe": op8_bpe,
+    "op10_language_id": op10_language_id,
 }
-ORACLE_SQL: dict[str, str] = {"op2_exact_dedup": OP2_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_exact_dedup": OP2_SQL, "op7_mixing": OP7_SQL}
