@@ -10,12 +10,16 @@ from lumbung.llm.bpe import op8_bpe
 from lumbung.llm.exact_dedup import OP2_SQL, op2_exact_dedup
 from lumbung.llm.langid import op10_language_id
 from lumbung.llm.mixing import OP7_SQL, op7_mixing
+from lumbung.llm.pu_quality import op3_pu_quality
 from lumbung.llm.quality_rules import op6_quality_rules
 from lumbung.llm.records import op1_token_records
+from lumbung.llm.secrets import op5_secret_scan
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_records": op1_token_records,
     "op2_exact_dedup": op2_exact_dedup,
+    "op3_pu_quality": op3_pu_quality,
+    "op5_secret_scan": op5_secret_scan,
     "op6_quality_rules": op6_quality_rules,
     "op7_mixing": op7_mixing,
     "op8_bpe": op8_bpe,
