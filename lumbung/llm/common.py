@@ -46,3 +46,18 @@ def text_of(df: DataFrame, text: str = "text") -> Column:
 def held_out(doc_id: Column) -> Column:
     """True where crc32 of the id as text is divisible by 5 (false for a null id)."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
+
+#: The columns of ``documents`` that stages use; others travel in one struct, so that no name of theirs can clash.
+CORE = ("doc_id", "text", "lang", "source")
+
+
+def packed(docs: DataFrame) -> DataFrame:
+    """The core columns (null where missing) and all others as the struct ``__rest``."""
+    rest = [docs[c] for c in docs.columns if c not in CORE]
+    core = [docs[c] if c in docs.columns else F.lit(None).cast("string").alias(c) for c in CORE]
+    return docs.select(*core, F.struct(F.lit(True).alias("__here"), *rest).alias("__rest"))
+
+
+def unpacked(rows: DataFrame, like: DataFrame) -> DataFrame:
+    """The columns of ``like`` from rows that hold what ``packed`` made."""
+    return rows.select(*[F.col(c) if c in CORE else F.col("__rest").getField(c).alias(c) for c in like.columns])

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lumbung.llm.bpe import op8_bpe
 from lumbung.llm.exact_dedup import OP2_SQL, op2_exact_dedup
+from lumbung.llm.jaccard_join import op9_jaccard_join
 from lumbung.llm.langid import op10_language_id
 from lumbung.llm.mixing import OP7_SQL, op7_mixing
 from lumbung.llm.pu_quality import op3_pu_quality
@@ -23,6 +24,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_quality_rules": op6_quality_rules,
     "op7_mixing": op7_mixing,
     "op8_bpe": op8_bpe,
+    "op9_jaccard_join": op9_jaccard_join,
     "op10_language_id": op10_language_id,
 }
 ORACLE_SQL: dict[str, str] = {"op2_exact_dedup": OP2_SQL, "op7_mixing": OP7_SQL}
