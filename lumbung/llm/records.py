@@ -13,10 +13,12 @@ An empty table has no shards. Columns other than the id and the text are not rea
 
 from __future__ import annotations
 
+import array
 import json
 import os
 import re
 import struct
+import sys
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -30,44 +32,35 @@ from lumbung.llm.common import shared_folder, text_of
 #: Bytes after which a task begins another shard.
 SHARD_BYTES = 64 << 20
 #: Words that a worker remembers; a full table starts anew.
-REMEMBER = 1 << 20
+REMEMBER = 1 << 19
 #: Fixed value of the record format: what is added to a rotated checksum.
 MASK = 0xA282EAD8
 
 
-def _table() -> np.ndarray:
-    """Tables of CRC-32C (reflected polynomial 0x82F63B78), eight bytes at a time."""
-    t = np.zeros((8, 256), np.uint32)
-    c = np.arange(256, dtype=np.uint32)
+def _tables() -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Tables of CRC-32C (reflected polynomial 0x82F63B78): of a byte; of each 16 bits of eight bytes; and, for each k,
+    two that move both halves of a state over 2^k zero bytes."""
+    byte = np.arange(256, dtype=np.uint32)
     for _ in range(8):
-        c = np.where(c & 1, (c >> 1) ^ np.uint32(0x82F63B78), c >> 1)
-    t[0] = c
-    for k in range(1, 8):
-        t[k] = (t[k - 1] >> 8) ^ t[0][t[k - 1] & 255]
-    return t
-
-
-_T = _table()
-_T0 = _T[0].tolist()
-
-
-def _steps() -> list[np.ndarray]:
-    """For each k, four tables that move a CRC state over 2^k zero bytes."""
-    def apply(move: np.ndarray, x: np.ndarray) -> np.ndarray:
-        return move[0][x & 255] ^ move[1][x >> 8 & 255] ^ move[2][x >> 16 & 255] ^ move[3][x >> 24]
-
-    one = np.zeros((4, 256), np.uint32)
-    for k in range(4):
-        x = np.arange(256, dtype=np.uint32) << np.uint32(8 * k)
-        one[k] = (x >> 8) ^ _T[0][x & 255]
-    out = [one]
+        byte = np.where(byte & 1, (byte >> 1) ^ np.uint32(0x82F63B78), byte >> 1)
+    over_byte = lambda x: (x >> 8) ^ byte[x & 255]
+    halves = np.stack([np.arange(1 << 16, dtype=np.uint32), np.arange(1 << 16, dtype=np.uint32) << np.uint32(16)])
+    steps = [over_byte(halves)]
     for _ in range(36):
-        last = out[-1]
-        out.append(np.stack([apply(last, last[k]) for k in range(4)]))
-    return out
+        last = steps[-1]
+        steps.append(np.stack([last[0][h & 0xFFFF] ^ last[1][h >> 16] for h in last]))
+    # a word's j-th 16 bits: they enter the state and pass the bytes from there to the word's end
+    word = []
+    for j in range(4):
+        x = halves[0]
+        for _ in range(8 - 2 * j):
+            x = over_byte(x)
+        word.append(x)
+    return byte, np.stack(word), steps
 
 
-_STEPS = _steps()
+_BYTE, _WORD, _STEPS = _tables()
+_T0 = _BYTE.tolist()
 
 
 def crc32c(data: bytes) -> int:
@@ -100,13 +93,13 @@ def crc32c_many(items: list[bytes], block_bytes: int = 16 << 20) -> list[int]:
                 n = len(items[i])
                 rows[r, width - n :] = np.frombuffer(items[i], np.uint8)
                 rows[r, width - n : width - n + 4] ^= np.uint8(255)  # the initial state
-            words = rows.reshape(len(some), 1 << k, 8)
-            state = _T[7][words[:, :, 0]]
-            for b in range(1, 8):
-                state ^= _T[7 - b][words[:, :, b]]
+            words = rows.view("<u2").reshape(len(some), 1 << k, 4)
+            state = _WORD[0][words[:, :, 0]]
+            for j in range(1, 4):
+                state ^= _WORD[j][words[:, :, j]]
             for level in range(k):
                 move, x = _STEPS[level + 3], state[:, 0::2]
-                state = move[0][x & 255] ^ move[1][x >> 8 & 255] ^ move[2][x >> 16 & 255] ^ move[3][x >> 24] ^ state[:, 1::2]
+                state = move[0][x & 0xFFFF] ^ move[1][x >> 16] ^ state[:, 1::2]
             for i, c in zip(some, (state[:, 0] ^ np.uint32(0xFFFFFFFF)).tolist(), strict=True):
                 out[i] = c
     return out
@@ -176,18 +169,24 @@ class LibraryWords:
         self.known: dict[bytes, bytes] = {}
         self.pieces: dict[str, bytes] = {}
 
+    def _bytes(self, ids: list[int]) -> bytes:
+        out = array.array("H" if self.width == 2 else "I", ids)
+        if sys.byteorder == "big":
+            out.byteswap()
+        return out.tobytes()
+
     def _ids(self, tokenizer, texts: list[str], to: dict) -> None:
         for at in range(0, len(texts), 4096):
             some = texts[at : at + 4096]
             for x, e in zip(some, tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                to[x] = np.asarray(e.ids, f"<u{self.width}").tobytes()
+                to[x] = self._bytes(e.ids)
 
     def _learn(self, new: set[bytes]) -> None:
-        odd = [w.decode("utf-8") for w in new if self.NOT_PRINTABLE.search(w)]
+        odd = set(filter(self.NOT_PRINTABLE.search, new))
         got: dict[str, bytes] = {}
-        self._ids(self.library, odd, got)
+        self._ids(self.library, [w.decode("utf-8") for w in odd], got)
         self.known.update((w.encode("utf-8"), ids) for w, ids in got.items())
-        new = [w for w in new if not self.NOT_PRINTABLE.search(w)]
+        new = list(new - odd)
         cut = self.PIECES.findall(b"\n".join([*new, b""]).decode("ascii").lower())
         if len(self.pieces) > REMEMBER:
             self.pieces.clear()
