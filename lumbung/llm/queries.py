@@ -15,11 +15,13 @@ from lumbung.llm.pu_quality import op3_pu_quality
 from lumbung.llm.quality_rules import op6_quality_rules
 from lumbung.llm.records import op1_token_records
 from lumbung.llm.secrets import op5_secret_scan
+from lumbung.llm.suffix_dedup import op4_suffix_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_records": op1_token_records,
     "op2_exact_dedup": op2_exact_dedup,
     "op3_pu_quality": op3_pu_quality,
+    "op4_suffix_dedup": op4_suffix_dedup,
     "op5_secret_scan": op5_secret_scan,
     "op6_quality_rules": op6_quality_rules,
     "op7_mixing": op7_mixing,
