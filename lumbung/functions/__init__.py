@@ -1 +1 @@
-"""Part of lumbung."""
+"""Column functions: scalar rules as built-in expressions, text chains as Arrow UDFs."""
