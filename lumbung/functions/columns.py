@@ -162,18 +162,20 @@ def softmax(*logits: Column) -> list[Column]:
     return [F.exp(x - top) / total for x in logits]
 
 
-def observation(kind: str, negative: Column, neutral: Column, positive: Column, epsilon: float = 1e-6) -> Column:
-    """The array a sequence model sees: prob, logit, alr (against neutral) or clr (PR26)."""
+def observation(kind: str, negative: Column, neutral: Column, positive: Column, epsilon: float = 1e-6, logits: tuple[Column, ...] | None = None) -> Column:
+    """The array a sequence model sees: prob, logit (the scorer's own), alr (against neutral) or clr (PR26)."""
     if kind == "prob":
         return F.array(negative, neutral, positive)
-    a, b, c = (F.greatest(F.least(x, F.lit(1 - epsilon)), F.lit(epsilon)) for x in (negative, neutral, positive))
     if kind == "logit":
-        return F.array(*[F.ln(x / (1 - x)) for x in (a, b, c)])
+        if logits is None:
+            raise ValueError("logit observations need the scorer's logits")
+        return F.array(*[x.cast("double") for x in logits])
+    a, b, c = (F.ln(F.greatest(F.least(x, F.lit(1.0)), F.lit(epsilon))) for x in (negative, neutral, positive))
     if kind == "alr":
-        return F.array(F.ln(a / b), F.ln(c / b))
+        return F.array(a - b, c - b)
     if kind == "clr":
-        mean = (F.ln(a) + F.ln(b) + F.ln(c)) / 3
-        return F.array(F.ln(a) - mean, F.ln(b) - mean, F.ln(c) - mean)
+        mean = (a + b + c) / 3
+        return F.array(a - mean, b - mean, c - mean)
     raise ValueError(f"unknown observation {kind!r}")
 
 

@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterable, Iterator, Mapping
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from lumbung.config import PROTECTED_TERMS
 
@@ -146,13 +147,13 @@ def clean_proposal(text: Column, slang: Mapping[str, str] | None = None, protect
     return run(text)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def fragment_key(text: pd.Series) -> pd.Series:
     """Compatibility form, case folded, squeezed, without trailing colons."""
     return text.map(lambda t: squeeze(_nfkc(t or "").casefold()).rstrip(":").strip())
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def review_key(text: pd.Series) -> pd.Series:
     """The key under which equal reviews of two files meet."""
     return text.map(lambda t: squeeze(_nfkc(t or "")).casefold())
