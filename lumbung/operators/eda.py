@@ -77,7 +77,7 @@ def mean_by_product(scored: DataFrame, min_reviews: int = 3, by: str = "product_
 def confusion(df: DataFrame, a: str, b: str, labels: tuple[str, ...] = LABELS) -> DataFrame:
     """Rows of one label, columns of the other, all of them, of rows that have both."""
     rows = df.sparkSession.createDataFrame([(x,) for x in labels], "lama string")
-    got = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(F.col(a).alias("lama")).pivot(b, list(labels)).agg(F.count("*"))
+    got = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(F.col(a).alias("lama")).pivot(b, list(labels)).agg(F.count(F.lit(1)))
     return rows.join(got, "lama", "left").na.fill(0)
 
 
