@@ -1,0 +1,132 @@
+"""Quality rules (6), the classifier (3), language identification (10) and secrets (5)."""
+
+import re
+from collections import Counter
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from lumbung.llm import langid, pu_quality, secrets
+from lumbung.llm.common import held_out
+from lumbung.llm.quality_rules import bin_of, bin_start, op6_quality_rules, quality_rules
+
+
+def counts_by_force(t):
+    words = re.findall(r"[^\x20\x09-\x0D]+", t)
+    lines = [x for x in t.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    windows = [tuple(words[k : k + 5]) for k in range(len(words) - 4)]
+    seen, hit = Counter(windows), set()
+    for k, w in enumerate(windows):
+        if seen[w] > 1:
+            hit.update(range(k, k + 5))
+    return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)), len(hit)
+
+
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+
+
+def test_op6_counts_by_force(spark, sf_dir, texts):
+    rows = op6_quality_rules(spark, sf_dir).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        n = counts_by_force(texts[r["doc_id"]])
+        assert tuple(r[c] for c in COUNTS) == n
+        assert r["base_failed"] == (n[0] < 10 or 100 * n[4] > 20 * n[0])
+        assert not (r["base_failed"] and r["kept"])
+
+
+def test_op6_keeps_clean_documents(spark, docs, sf_dir):
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    got = quality_rules(docs).join(labels, "doc_id").where("NOT base_failed").groupBy("quality").agg(F.avg(F.col("kept").cast("int")).alias("share")).collect()
+    shares = {r["quality"]: r["share"] for r in got}
+    assert shares[1] >= 0.99 and shares.get(0, 0) <= 0.2
+
+
+def test_sketch_bins(spark):
+    values = [0, 1, 31, 63, 64, 65, 127, 128, 1000, 10**6, 10**12]
+    rows = spark.createDataFrame([(v,) for v in values], "v bigint").select("v", F.expr(bin_of("v")).alias("b")).select("v", "b", F.expr(bin_start("b")).alias("s")).orderBy("v").collect()
+    assert [r["b"] for r in rows] == sorted(r["b"] for r in rows)
+    assert all(r["s"] <= r["v"] <= r["s"] * (1 + 1 / 32) for r in rows)
+
+
+def test_rules_odd_rows(odd, none):
+    assert quality_rules(none).count() == 0
+    rows = quality_rules(odd, least_docs=2).collect()
+    by = {r["doc_id"]: r for r in rows}
+    assert len(rows) == 13 and by[1]["n_words"] == 0 and by[1]["base_failed"] and by[6]["base_failed"]
+    text = odd.where("doc_id = 4").first()["text"]
+    assert tuple(by[4][c] for c in COUNTS) == counts_by_force(text)
+
+
+def test_op3_separates_held_out_rows(spark, docs, sf_dir):
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    big = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    marks = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    model = pu_quality.train(big, marks)
+    assert 0.5 < model[1] <= 0.95
+    rows = pu_quality.score(big, model).where(held_out(F.col("doc_id"))).join(marks, "doc_id").collect()
+    good, bad = (np.array([r["score"] for r in rows if r["quality"] == k]) for k in (1, 0))
+    assert (good[:, None] > bad[None, :]).mean() > 0.95
+    assert all(r["predicted"] == int(r["score"] >= 0.3) for r in rows)
+    assert {r["held_out"] for r in pu_quality.op3_pu_quality(spark, sf_dir).collect()} == {True, False} and labels.count()
+
+
+def test_prior_and_risk():
+    rng = np.random.default_rng(0)
+    good, web = rng.normal(2, 1, 4000), np.concatenate([rng.normal(2, 1, 2400), rng.normal(-3, 1, 1600)])
+    assert pu_quality.class_prior(good, web) == pytest.approx(0.6, abs=0.06)
+    assert pu_quality.fit(np.empty((0, pu_quality.MEASURES)), np.ones((3, pu_quality.MEASURES))) == (None, 0.5)
+
+
+def test_classifier_odd_rows(spark, odd, none):
+    marks = spark.createDataFrame([(6, 1, 0), (4, 1, 0), (9, 0, 0), (None, 1, None), (7, None, 1)], "doc_id bigint, quality int, toxic int")
+    rows = pu_quality.score(odd, pu_quality.train(odd, marks)).collect()
+    assert len(rows) == 13 and all(0 <= r["score"] <= 1 for r in rows)
+    empty = pu_quality.train(none, marks.limit(0))
+    assert pu_quality.score(none, empty).count() == 0 and {r["score"] for r in pu_quality.score(odd, empty).collect()} == {0.5}
+
+
+def test_op10_knows_held_out_rows(spark, sf_dir):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = langid.op10_language_id(spark, "/root/testdata/sf0.01").where("held_out").join(docs.select("doc_id", "lang"), "doc_id").collect()
+    assert np.mean([r["lang_pred"] == r["lang"] for r in rows]) > 0.97
+    assert all(0 <= r["score"] <= 1 for r in rows)
+
+
+def test_language_odd_rows(odd, none):
+    model = langid.train(odd)
+    rows = langid.predict(odd, model).collect()
+    by = {r["doc_id"]: r for r in rows}
+    assert len(rows) == 13 and by[1]["lang_pred"] == by[3]["lang_pred"] == "und" and by[1]["score"] == 0 and not by[1]["accepted"]
+    assert set(model[0]) <= {"id", "en"} and by[4]["lang_pred"] in model[0]
+    assert langid.predict(none, langid.train(none)).count() == 0 and {r["lang_pred"] for r in langid.predict(odd, langid.train(none)).collect()} == {"und"}
+
+
+def test_long_texts_are_scored_whole():
+    text = "der und die " * 200_000
+    data = np.frombuffer(langid.plain(text), np.uint8)
+    assert [len(x) for x in langid.subwords(data)] == [len(data) - 1, len(data) - 2, len(data) - 3]
+    assert not langid.has_letter("12 ... 😀") and langid.has_letter("1é")
+
+
+def test_secrets_by_force(spark, docs, texts):
+    rows = secrets.scan(docs, path="source").collect()
+    for r in rows:
+        assert texts[r["doc_id"]][r["start"] : r["start"] + len(r["value"])] == r["value"]
+    planted = {(i, m.start(1)) for i, t in texts.items() for m in re.finditer(r'token = "([0-9a-f]{40})"', t)}
+    assert planted <= {(r["doc_id"], r["start"]) for r in rows if r["is_secret"]}
+
+
+def test_false_findings_and_odd_rows(spark, odd, none):
+    assert secrets.scan(none, path="source").count() == 0
+    rows = secrets.scan(odd).collect()
+    assert [(r["doc_id"], r["rule"]) for r in rows] == [(8, "access_key")] or {r["doc_id"] for r in rows} == {8}
+    made = [
+        (1, 'api_key = "9f8a7c6b5d4e3f2a1b0c9d8e7f6a5b4c3d2e1f0a" and'), (2, 'password = "your_password_here"'), (3, "sha256: 2c26b46b68ffc68ff99b453c1d30413413422d706483bfa0f98a5e886266e7ae"), (4, 'token = "xxxxxxxxxxxxxxxxxxxxxxxx"'),
+        (5, "secret: ghp_0aB1cD2eF3gH4iJ5kL6mN7oP8qR9sT0uV1wX two token=Zm9vYmFyYmF6cXV4MTIzNDU2Nzg5MGFi"),
+    ]
+    got = {}
+    for r in secrets.scan(spark.createDataFrame(made, "doc_id bigint, text string")).collect():
+        got.setdefault(r["doc_id"], []).append(r["is_secret"])
+    assert got[1] == [True] and got[2] == [False] and got[3] == [False] and got[4] == [False] and len(got[5]) == 2 and any(got[5])
