@@ -10,7 +10,9 @@ a signature, so that a class of c shingles stands c - 1 losses; the prefix is ex
 more than e. The number of classes follows the set's size, so that there are about as many pairs as shingles; a set near
 the border of two sizes has the signatures of both. Links between different sets always share a signature.
 
-Frequencies come from a sketch of fixed size over all documents; it decides order and classes, and so only cost.
+Frequencies are exact and of all sets. Shingles that only one set has come first in the order; they can be no signature, so
+they are only counted, and a set that has more of them than it may lose can link with nothing and goes no further.
+Fingerprints travel to the task of their range in packed blocks; only shared ones come back, with their frequency.
 
 Sets that share a signature are compared with one of them, the pivot, first; links are joined into components; then, with
 other pivots, only sets of a signature that are still apart; and at last all of those that are still apart, pairwise. No pair
@@ -32,7 +34,10 @@ from pyspark.sql import functions as F
 
 from lumbung.llm.common import documents, materialise, text_of
 
-SKETCH_BITS, BLOCK_BITS = 22, 18
+#: Fingerprints for each range: what a task holds at a time. Text bytes that a task gathers before it sends its blocks.
+RANGE_ITEMS, BLOCK_BYTES = 2 << 20, 8 << 20
+#: Sets that may share a shingle for it to be rare.
+RARE = 8
 #: Rounds of pivots before what is left is compared pairwise.
 PIVOT_ROUNDS = 2
 
@@ -138,23 +143,25 @@ def has_partners(n: int, percent: int) -> bool:
     return n > 0 and (100 * n // percent > n or least_overlap(n, percent) < n)
 
 
-def signatures(s: np.ndarray, levels: np.ndarray, percent: int) -> np.ndarray:
-    """The signatures of a set: of its rare shingles, and of pairs of frequent ones within a class."""
-    n = len(s)
-    level = levels[(s >> _U(64 - SKETCH_BITS)).astype(np.int64)]
-    order = np.lexsort((s, level))
-    s, frequent = s[order], level[order] > 0
+def signatures(shared: np.ndarray, often: np.ndarray, n: int, percent: int) -> np.ndarray:
+    """The signatures of a set of ``n`` shingles, given its shared ones and how many sets have each: of rare ones, and of
+    pairs of frequent ones within a class. The others come before these in the order, and are no signatures."""
+    alone = n - len(shared)
+    order = np.lexsort((shared, often))
+    s, frequent = shared[order], often[order] > RARE
     low, high = least_overlap(n, percent), 100 * n // percent
-    losses = n - low
+    losses = n - low - alone
+    if losses < 0:
+        return np.empty(0, np.uint64)
     rounds = lambda size: max(1, size - least_overlap(size, percent)).bit_length() - 1
     out, singles = [], 0
     for r in range(rounds(low), rounds(high) + 1):
-        classes = (s >> _U(8)) & _U((1 << r) - 1)
-        stands = np.ones(n, bool)
+        classes = mixed(s) & _U((1 << r) - 1)
+        stands = np.ones(len(s), bool)
         at = np.flatnonzero(frequent)
         stands[at[np.unique(classes[at], return_index=True)[1]]] = False  # the first of a class stands no loss
         upto = int(np.searchsorted(np.cumsum(stands), losses + 1)) + 1
-        singles = max(singles, min(upto, n))
+        singles = max(singles, min(upto, len(s)))
         at = at[at < upto]
         at = at[np.argsort(classes[at], kind="stable")]
         c, x = classes[at], s[at]
@@ -169,92 +176,140 @@ def signatures(s: np.ndarray, levels: np.ndarray, percent: int) -> np.ndarray:
     return np.unique(np.concatenate(out))
 
 
-def _sets_and_sketch(docs: DataFrame, n: int) -> DataFrame:
-    """Of each text doc_id, n and the digest of its set; of each task the blocks of its frequency sketch."""
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), text_of(docs).alias("__text"))
+
+
+def _set_rows(docs: DataFrame, n: int) -> DataFrame:
+    """doc_id, n and digest of each text's set."""
     import pyarrow as pa
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, waiting, held, some = np.zeros(1 << SKETCH_BITS, np.uint32), [], 0, False
-        names = ["doc_id", "n", "digest", "block", "counts"]
         for batch in batches:
-            sizes, digests = [], []
-            for s in shingle_sets([t.as_py() for t in batch.column("__text").cast(pa.binary())], n):
-                sizes.append(len(s))
-                digests.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
-                waiting.append((s >> _U(64 - SKETCH_BITS)).astype(np.int32))
-                held += len(s)
-                if held > 1 << 21:
-                    counts += np.bincount(np.concatenate(waiting), minlength=len(counts)).astype(np.uint32)
-                    waiting, held = [], 0
-            some = some or bool(sizes)
-            k = len(sizes)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], names)
-        if some:
-            if waiting:
-                counts += np.bincount(np.concatenate(waiting), minlength=len(counts)).astype(np.uint32)
-            yield from _blocks(dict(enumerate(counts.reshape(-1, 1 << BLOCK_BITS))), names)
-
-    return docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), text_of(docs).alias("__text")).mapInArrow(run, "doc_id bigint, n bigint, digest binary, block int, counts binary")
-
-
-def _blocks(blocks: dict[int, np.ndarray], names: list[str]):
+            got = [(len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest()) for s in shingle_sets([t.as_py() for t in batch.column("__text").cast(pa.binary())], n)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([k for k, _ in got], pa.int64()), pa.array([d for _, d in got], pa.binary())], ["doc_id", "n", "digest"])
+
+    return _texts(docs).mapInArrow(run, "doc_id bigint, n bigint, digest binary")
+
+
+def _pack(*arrays: np.ndarray) -> bytes:
+    import pyarrow as pa
+
+    raw = b"".join([np.array([a.nbytes for a in arrays], "<u8").tobytes(), *(a.tobytes() for a in arrays)])
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def _unpack(data: bytes, *kinds: str) -> list[np.ndarray]:
     import pyarrow as pa
 
-    for k, counts in blocks.items():
-        packed = pa.compress(np.ascontiguousarray(counts, dtype="<u8" if counts.dtype.itemsize == 8 else "<u4").astype("<u8").tobytes(), codec="zstd", asbytes=True)
-        nothing = [pa.nulls(1, t) for t in (pa.int64(), pa.int64(), pa.binary())][: len(names) - 2]
-        yield pa.RecordBatch.from_arrays([*nothing, pa.array([k], pa.int32()), pa.array([packed], pa.binary())], names)
+    raw = pa.decompress(data[8:], decompressed_size=int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True)
+    at, out = 8 * len(kinds), []
+    for size, kind in zip(np.frombuffer(raw, "<u8", len(kinds)).tolist(), kinds, strict=True):
+        out.append(np.frombuffer(raw, kind, size // np.dtype(kind).itemsize, at))
+        at += size
+    return out
 
 
-def _levels(parts: DataFrame) -> np.ndarray:
-    """Each sketch bin's level: 0 for a usual count, else the logarithm of the count.
+def _shared_shingles(docs: DataFrame, n: int, percent: int, bits: int) -> DataFrame:
+    """(digest, m, shared, often): of each set and range the shingles that other sets have too, and how many sets have each.
 
-    Tasks' blocks are added up in two rounds, so that no task gets more than a share of them; what the driver gets is
-    the sketch, of a fixed size.
+    A task takes each set once; copies in several tasks are told apart by their digests in the ranges' tasks.
     """
     import pyarrow as pa
 
-    size = 1 << BLOCK_BITS
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()
+
+        def blocks(sets: list[np.ndarray], digests: list[bytes]) -> pa.RecordBatch:
+            h, own = np.concatenate(sets), np.repeat(np.arange(len(sets), dtype=np.uint32), [len(s) for s in sets])
+            part = (h >> _U(64 - bits)).astype(np.int32) if bits else np.zeros(len(h), np.int32)
+            order = np.argsort(part, kind="stable")
+            parts, start = np.unique(part[order], return_index=True)
+            table, out = np.frombuffer(b"".join(digests), "V16"), []
+            for i in np.split(order, start[1:]):
+                used, local = np.unique(own[i], return_inverse=True)
+                rest = h[i] << _U(bits)
+                out.append(_pack((rest >> _U(32)).astype("<u4"), (rest >> _U(16) & _U(0xFFFF)).astype("<u2"), local.astype("<u4"), table[used]))
+            return pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array(out, pa.binary())], ["part", "block"])
+
+        sets, digests, size = [], [], 0
+        for batch in batches:
+            for s in shingle_sets([t.as_py() for t in batch.column("__text").cast(pa.binary())], n):
+                if not has_partners(len(s), percent):
+                    continue
+                digest = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
+                if digest in seen:
+                    continue
+                if len(seen) < 1 << 18:
+                    seen.add(digest)
+                sets.append(s)
+                digests.append(digest)
+                size += 8 * len(s)
+                if size > BLOCK_BYTES:
+                    yield blocks(sets, digests)
+                    sets, digests, size = [], [], 0
+        if sets:
+            yield blocks(sets, digests)
+
+    def count(part: int, held: list[bytes]) -> Iterator[pa.RecordBatch]:
+        got = [_unpack(b, "<u4", "<u2", "<u4", "V16") for b in held]
+        offset = np.cumsum([0, *(len(g[3]) for g in got)])[:-1]
+        own = np.concatenate([g[2] + np.uint32(o) for g, o in zip(got, offset, strict=True)])
+        h = np.concatenate([g[0].astype(np.uint64) << _U(16) | g[1] for g in got])
+        digests, first, of = np.unique(np.concatenate([g[3] for g in got]), return_index=True, return_inverse=True)
+        del got
+        once = first[of[own]] == own  # the same set from another task is the same set
+        h, own = h[once], of[own[once]]
+        order = np.argsort(h, kind="stable")
+        h, own = h[order], own[order]
+        start = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+        times = np.diff(np.append(start, len(h)))
+        often = np.repeat(np.minimum(times, 65535).astype("<u2"), times)
+        keep = np.flatnonzero(often > 1)
+        keep = keep[np.argsort(own[keep], kind="stable")]
+        h, own, often = h[keep] | _U(part) << _U(48), own[keep], often[keep]
+        start = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]])) if len(own) else np.empty(0, np.int64)
+        ends = np.append(start[1:], len(own))
+        for lo in range(0, len(start), 4096):
+            some = list(zip(start[lo : lo + 4096].tolist(), ends[lo : lo + 4096].tolist(), strict=True))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([digests[own[a]].tobytes() for a, _ in some], pa.binary()), pa.array([z - a for a, z in some], pa.int64()),
+                    pa.array([h[a:z].astype("<u8").tobytes() for a, z in some], pa.binary()), pa.array([often[a:z].tobytes() for a, z in some], pa.binary()),
+                ],
+                ["digest", "m", "shared", "often"],
+            )
+
+    def receive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, held = None, []
         for batch in batches:
-            for k, packed in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                got = np.frombuffer(pa.decompress(packed.as_py(), decompressed_size=8 * size, codec="zstd", asbytes=True), "<u8")
-                sums[k] = sums[k] + got if k in sums else got
-        yield from _blocks(sums, ["block", "counts"])
-
-    blocks = parts.where("block IS NOT NULL").select("block", "counts")
-    blocks = blocks.withColumn("__part", F.spark_partition_id() % 16).repartition("block", "__part").select("block", "counts").mapInArrow(add, "block int, counts binary")
-    blocks = blocks.repartition("block").mapInArrow(add, "block int, counts binary")
-    counts = np.zeros((1 << SKETCH_BITS - BLOCK_BITS, size), np.uint64)
-    for row in blocks.toLocalIterator():
-        counts[row["block"]] = np.frombuffer(pa.decompress(bytes(row["counts"]), decompressed_size=8 * size, codec="zstd", asbytes=True), "<u8")
-    counts = counts.ravel()
-    usual = 2 * counts.mean() + 8
-    return np.where(counts <= usual, 0, np.log2(np.maximum(counts, 1).astype(float))).astype(np.uint8)
-
-
-def _with_texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """doc_id and text of the documents whose ids are in ``ids`` (distinct)."""
-    texts = docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), text_of(docs).alias("__text"))
-    return texts.join(ids.select("doc_id").hint("shuffle_hash"), "doc_id", "left_semi")
-
-
-def _verified(docs: DataFrame, sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that link, by comparing whole sets."""
+            for k, v in zip(batch.column("part").to_pylist(), batch.column("block"), strict=True):
+                if k != current and held:
+                    yield from count(current, held)
+                    held = []
+                current = k
+                held.append(v.as_py())
+        if held:
+            yield from count(current, held)
+
+    sent = _texts(docs).mapInArrow(send, "part int, block binary")
+    return sent.repartition("part").sortWithinPartitions("part").mapInArrow(receive, "digest binary, m bigint, shared binary, often binary")
+
+
+def _verified(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that link: shingles that both have are among the shared ones of each."""
     import pyarrow as pa
 
-    one, two = (sets.withColumnsRenamed({"doc_id": c, "set": f"set_{c}"}) for c in "ab")
-    both = pairs.join(one, "a").join(two, "b").select("a", "b", "set_a", "set_b")
+    one, two = (sets.select(F.col("doc_id").alias(c), F.col("n").alias(f"n_{c}"), F.col("shared").alias(f"set_{c}")) for c in "ab")
+    both = pairs.join(one, "a").join(two, "b").select("a", "b", "n_a", "n_b", "set_a", "set_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
-            for x, y in zip(batch.column("set_a"), batch.column("set_b"), strict=True):
+            for n, m, x, y in zip(batch.column("n_a").to_pylist(), batch.column("n_b").to_pylist(), batch.column("set_a"), batch.column("set_b"), strict=True):
                 x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
                 common = len(x) + len(y) - len(np.unique(np.concatenate([x, y])))
-                keep.append(100 * common >= percent * (len(x) + len(y) - common))
+                keep.append(100 * common >= percent * (n + m - common))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return both.mapInArrow(run, "a bigint, b bigint")
@@ -286,45 +341,48 @@ def jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id and class_id (the least id with an equal set) of every row."""
     import pyarrow as pa
 
-    spark = docs.sparkSession
-    parts = materialise(_sets_and_sketch(docs, n), "jaccard-sets")
-    rows = parts.where("block IS NULL").select("doc_id", "n", "digest")
+    rows = materialise(_set_rows(docs, n), "jaccard-sets")
     classes = rows.where("n > 0 AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("class_id"), F.first("n").alias("n"))
-    # a document with several sets (a repeated id) is one node
     classes = materialise(classes, "jaccard-classes")
-    nodes = classes.where(F.expr(f"floor(100 * n / {percent}) > n OR ceil({percent} * n / 100) < n")).select(F.col("class_id").alias("doc_id")).distinct()
-    sent = spark.sparkContext.broadcast(_levels(parts))  # 2^SKETCH_BITS bytes
+    total = classes.agg(F.sum("n")).first()[0] or 0
+    bits = (-(-total // RANGE_ITEMS) - 1).bit_length() if total else 0
+    shared = materialise(_shared_shingles(docs.where(docs["doc_id"].isNotNull()), n, percent, bits), "jaccard-shared-shingles")
+    # a set with fewer shared shingles than any link needs is out
+    enough = shared.groupBy("digest").agg(F.sum("m").alias("m")).join(classes, "digest").where(f"100 * m >= {percent} * n")
+    lists = shared.join(enough.select("digest", "class_id", "n"), "digest").groupBy("digest", "class_id", "n").agg(F.collect_list(F.struct("shared", "often")).alias("parts"))
+
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets, often = [], []
+            for parts in batch.column("parts").to_pylist():
+                sets.append(b"".join(p["shared"] for p in parts))
+                often.append(b"".join(p["often"] for p in parts))
+            yield pa.RecordBatch.from_arrays([batch.column("class_id"), batch.column("n"), pa.array(sets, pa.binary()), pa.array(often, pa.binary())], ["doc_id", "n", "shared", "often"])
+
+    sets = materialise(lists.select("class_id", "n", "parts").mapInArrow(joined, "doc_id bigint, n bigint, shared binary, often binary"), "jaccard-candidates")
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column("doc_id").to_pylist()
             of, got = [], []
-            for doc_id, s in zip(ids, shingle_sets([t.as_py() for t in batch.column("__text").cast(pa.binary())], n), strict=True):
-                if has_partners(len(s), percent):
-                    got.append(signatures(s, sent.value, percent))
-                    of.append(np.full(len(got[-1]), doc_id, np.int64))
+            for doc_id, k, s, o in zip(*(batch.column(c) for c in ("doc_id", "n", "shared", "often")), strict=True):
+                got.append(signatures(np.frombuffer(s.as_buffer(), np.uint64), np.frombuffer(o.as_buffer(), "<u2"), k.as_py(), percent))
+                of.append(np.full(len(got[-1]), doc_id.as_py(), np.int64))
             if got:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(got).view(np.int64)), pa.array(np.concatenate(of))], ["sig", "doc_id"])
 
-    signed = materialise(_with_texts(docs, nodes).mapInArrow(sign, "sig bigint, doc_id bigint"), "jaccard-signatures")
-    shared = signed.groupBy("sig").agg(F.min("doc_id").alias("p"), F.max("doc_id").alias("q")).where("p <> q")
-    open_ = materialise(signed.join(shared.select("sig"), "sig"), "jaccard-shared")
+    signed = materialise(sets.mapInArrow(sign, "sig bigint, doc_id bigint").distinct(), "jaccard-signatures")
+    common = signed.groupBy("sig").agg(F.min("doc_id").alias("p"), F.max("doc_id").alias("q")).where("p <> q")
+    open_ = materialise(signed.join(common.select("sig"), "sig"), "jaccard-shared")
 
-    size = classes.groupBy("class_id").agg(F.min("n").alias("least"), F.max("n").alias("most"))
+    size = sets.groupBy("doc_id").agg(F.min("n").alias("least"), F.max("n").alias("most"))
     ids = open_.select("doc_id").distinct()
 
     def fits(pairs: DataFrame) -> DataFrame:
         """Leaves the pairs whose sizes allow a link."""
         for c in "ab":
-            pairs = pairs.join(size.withColumnsRenamed({"class_id": c, "least": f"least_{c}", "most": f"most_{c}"}), c)
+            pairs = pairs.join(size.withColumnsRenamed({"doc_id": c, "least": f"least_{c}", "most": f"most_{c}"}), c)
         return pairs.where(f"100 * most_b >= {percent} * least_a AND 100 * most_a >= {percent} * least_b").select("a", "b")
 
-    def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            got = [s.tobytes() for s in shingle_sets([t.as_py() for t in batch.column("__text").cast(pa.binary())], n)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(got, pa.binary())], ["doc_id", "set"])
-
-    sets = materialise(_with_texts(docs, ids).mapInArrow(sets_of, "doc_id bigint, set binary").distinct(), "jaccard-candidates")
     links, seen, found = None, None, None
     for turn in range(PIVOT_ROUNDS + 1):
         if turn < PIVOT_ROUNDS:
@@ -342,7 +400,7 @@ def jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
         if seen is not None:
             pairs = pairs.join(seen, ["a", "b"], "left_anti")
         pairs = materialise(pairs, "jaccard-pairs")
-        more = materialise(_verified(docs, sets, pairs, percent), "jaccard-links")
+        more = materialise(_verified(sets, pairs, percent), "jaccard-links")
         links = more if links is None else links.unionByName(more)
         seen = pairs if seen is None else seen.unionByName(pairs)
         found = components(links)
@@ -355,9 +413,9 @@ def jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
         if open_.isEmpty():
             break
     of_class = classes.select("digest", "class_id").join(found.withColumnRenamed("doc_id", "class_id"), "class_id", "left")
-    joined = rows.join(of_class, "digest", "left")
+    out = rows.join(of_class, "digest", "left")
     own = F.when(F.col("n") > 0, F.coalesce("component", "class_id")).otherwise(F.col("doc_id"))
-    return joined.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), own).alias("component_id"), F.when(F.col("n") > 0, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), own).alias("component_id"), F.when(F.col("n") > 0, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"))
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
