@@ -29,7 +29,7 @@ from lumbung.llm.suffix_sort import suffix_order
 
 LENGTH, ANCHOR = 50, 26
 #: Text bytes for each range of fingerprints and each shard: what one task holds at a time grows with these alone.
-RANGE_BYTES, SHARD_BYTES = 64 << 20, 12 << 20
+RANGE_BYTES, SHARD_BYTES = 32 << 20, 12 << 20
 #: Bytes of texts that a task gathers before it sends a block for each range or shard.
 BLOCK_BYTES = 8 << 20
 
@@ -186,14 +186,14 @@ def _shared_anchors(blocks: DataFrame) -> DataFrame:
             keys, of = np.unique(np.concatenate([g[3] for g in got]), return_inverse=True)
             h = np.concatenate([g[0] for g in got])
             at = np.concatenate([g[1] for g in got])
-            own = of[np.concatenate([g[2].astype(np.int64) + o for g, o in zip(got, offset, strict=True)])].astype(np.uint64)
+            own = of.astype(np.uint32)[np.concatenate([g[2] + np.uint32(o) for g, o in zip(got, offset, strict=True)])]
             del got
             order = np.argsort(h, kind="stable")
             h, own, at = h[order], own[order], at[order]
             start = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
             mixed_up = np.minimum.reduceat(own, start) != np.maximum.reduceat(own, start)
             keep = np.repeat(mixed_up, np.diff(np.append(start, len(h))))
-            both = np.unique(own[keep] << _U(32) | at[keep])
+            both = np.unique(own[keep].astype(np.uint64) << _U(32) | at[keep])
             if not len(both):
                 continue
             own, at = both >> _U(32), (both & _U(0xFFFFFFFF)).astype("<u4")
