@@ -61,3 +61,13 @@ def packed(docs: DataFrame) -> DataFrame:
 def unpacked(rows: DataFrame, like: DataFrame) -> DataFrame:
     """The columns of ``like`` from rows that hold what ``packed`` made."""
     return rows.select(*[F.col(c) if c in CORE else F.col("__rest").getField(c).alias(c) for c in like.columns])
+
+
+#: Rows of a side that may be sent to all executors; a side of more is joined by a shuffle.
+BROADCAST_ROWS = 1 << 20
+
+
+def checked_broadcast(df: DataFrame, purpose: str, most: int = BROADCAST_ROWS) -> DataFrame:
+    """A narrow table, written out and counted: sent to all executors if it has ``most`` rows at most, else as it is."""
+    out = materialise(df, purpose)
+    return F.broadcast(out) if out.count() <= most else out

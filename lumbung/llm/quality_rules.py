@@ -149,8 +149,13 @@ def limits(sketch: DataFrame, least_docs: int = LEAST_DOCS) -> DataFrame:
 def quality_rules(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",), least_docs: int = LEAST_DOCS) -> DataFrame:
     """The carried columns with the counts, base_failed, failed (names of the failed ratios) and kept."""
     needed = tuple(dict.fromkeys((*carry, "lang", "source")))
-    counts = materialise(base_counts(docs, needed), "quality-counts")
-    limit = materialise(limits(sketches(counts), least_docs), "quality-limits")
+    counts = base_counts(docs, needed)
+    if "text" in carry:  # counting a second time costs less than writing the texts
+        sketch = sketches(base_counts(docs, ("lang", "source")))
+    else:
+        counts = materialise(counts, "quality-counts")
+        sketch = sketches(counts)
+    limit = materialise(limits(materialise(sketch, "quality-sketches"), least_docs), "quality-limits")
     joined = counts.join(limit.withColumnsRenamed({"lang": "__lang", "source": "__source"}), F.expr("lang <=> __lang AND source <=> __source"), "left")
     failed = [F.expr(f"CASE WHEN {ratio(k)} > high_{k} OR {ratio(k)} < low_{k} THEN '{k}' END") for k in RATIOS]
     joined = joined.withColumn("failed", F.when(F.col("base_failed"), F.array(F.lit("base"))).otherwise(F.array_compact(F.array(*failed))))
