@@ -10,10 +10,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lumbung.llm.bpe import encode_documents
-from lumbung.llm.common import CORE, documents, materialise, packed, unpacked
-from lumbung.llm.exact_dedup import exact_dedup
+from lumbung.llm.common import CORE, checked_broadcast, documents, materialise, packed, unpacked
+from lumbung.llm.exact_dedup import first_of_each
 from lumbung.llm.jaccard_join import jaccard_join
 from lumbung.llm.mixing import mix
 from lumbung.llm.quality_rules import quality_rules
@@ -28,14 +29,15 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of equal texts."""
-    return unpacked(exact_dedup(packed(docs), CARRY).where("kept"), docs)
+    return unpacked(first_of_each(packed(docs)), docs)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of the least id in each component of five-word shingle similarity 0.8 or more."""
     joined = jaccard_join(docs, n=5, percent=80)
     gone = joined.where("component_id <> doc_id").select(joined["doc_id"].alias("__gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
+    gone = checked_broadcast(gone, "near-gone")
+    return docs.join(gone, docs["doc_id"] == F.col("__gone"), "left_anti")
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
