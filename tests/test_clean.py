@@ -136,3 +136,13 @@ def test_sources_and_sinks(spark, tmp_path):
 def test_configs_are_checked(make):
     with pytest.raises(ValueError):
         make()
+
+
+def test_legacy_columns(spark, folder):
+    from lumbung.operators.profile import legacy_columns
+
+    cells = files_.read_cells(files_.read_files(spark, folder))
+    got = {(r["file"][:6], r["column"], r["kind"]) for r in legacy_columns(cells).collect()}
+    assert ("Toko A", "timestamp", "timestamp") in got and ("Toko B", "item-content-main-content-reviews-item", "review") in got and ("Toko B", "time", "timestamp") in got
+    rows = spark.createDataFrame([("p", 0, "baguuuus 5000"), ("p", 1, "baguuuus 5000"), ("p", 2, "x")], "product string, row_order int, review string")
+    assert [r["review"] for r in clean.legacy_clean(rows).collect()] == ["baguus 500"]
