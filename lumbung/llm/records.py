@@ -146,13 +146,16 @@ class LibraryWords:
 
     Every piece and special token of the vocabulary file lies within a stretch without ASCII white space, and so
     the ids of a text are those of its stretches, in order; each worker encodes a stretch once while it remembers it.
-    Stretches of printable ASCII are cut into the pieces of the file's own pattern first, and the library's model
+    Stretches of plain Latin letters and signs are cut into the pieces of the file's own pattern first, and the library's model
     encodes each piece once; the library's whole chain takes the others.
     """
 
-    #: The file's pre-tokenising pattern over lower-cased printable ASCII; a line end stands between stretches.
-    PIECES = re.compile(r"\n|'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\na-z0-9]+")
-    NOT_PRINTABLE = re.compile(rb"[^!-~]|<\|")
+    #: The file's pre-tokenising pattern over lower-cased text of these letters; a line end stands between stretches.
+    PIECES = re.compile(r"\n|'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\na-z0-9ß-öø-ÿ]+")
+    #: Printable ASCII and the letters from À to ÿ, which no normal form changes; of them no special token is made.
+    PLAIN = re.compile(rb"(?:[!-;=-~]|<(?!\|)|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
+    #: How byte-level vocabularies write bytes that have no sign of their own.
+    SIGNS = {b: 256 + n for n, b in enumerate([*range(33), *range(127, 161), 173])}
 
     def __init__(self, path: str, end_id: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -163,9 +166,13 @@ class LibraryWords:
         self.library.no_padding()
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        self.model = Tokenizer.from_str(json.dumps(spec | {"normalizer": None, "pre_tokenizer": None, "added_tokens": []}))
+        self.model = Tokenizer.from_str(json.dumps(spec | {"normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}, "added_tokens": []}))
         ids = [*spec["model"]["vocab"].values(), *(t["id"] for t in spec["added_tokens"]), end_id]
         self.width = 2 if max(ids) < 1 << 16 else 4
+        if not (suffix := spec["model"].get("end_of_word_suffix")):
+            raise ValueError("pieces are told apart by the vocabulary's end-of-word suffix")
+        self.ends = np.zeros(max(ids) + 1, bool)
+        self.ends[[v for k, v in spec["model"]["vocab"].items() if k.endswith(suffix)]] = True
         self.known: dict[bytes, bytes] = {}
         self.pieces: dict[str, bytes] = {}
 
@@ -175,24 +182,33 @@ class LibraryWords:
             out.byteswap()
         return out.tobytes()
 
-    def _ids(self, tokenizer, texts: list[str], to: dict) -> None:
+    def _ids(self, texts: list[str], to: dict) -> None:
         for at in range(0, len(texts), 4096):
             some = texts[at : at + 4096]
-            for x, e in zip(some, tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
+            for x, e in zip(some, self.library.encode_batch_fast(some, add_special_tokens=False), strict=True):
                 to[x] = self._bytes(e.ids)
 
+    def _pieces(self, texts: list[str]) -> None:
+        """Encodes pieces many at a time: the model's last id of each is one that ends a word, and no other is."""
+        for at in range(0, len(texts), 4096):
+            some = texts[at : at + 4096]
+            signs = " ".join([x if x.isascii() else x.encode("utf-8").decode("latin-1").translate(self.SIGNS) for x in some])
+            ids = np.array(self.model.encode_batch_fast([signs], add_special_tokens=False)[0].ids, f"<u{self.width}")
+            cuts, data = [0, *((np.flatnonzero(self.ends[ids]) + 1) * self.width).tolist()], ids.tobytes()
+            self.pieces.update(zip(some, [data[a:z] for a, z in zip(cuts, cuts[1:], strict=False)], strict=True))
+
     def _learn(self, new: set[bytes]) -> None:
-        odd = set(filter(self.NOT_PRINTABLE.search, new))
+        odd = new - set(filter(self.PLAIN.fullmatch, new))
         got: dict[str, bytes] = {}
-        self._ids(self.library, [w.decode("utf-8") for w in odd], got)
+        self._ids([w.decode("utf-8") for w in odd], got)
         self.known.update((w.encode("utf-8"), ids) for w, ids in got.items())
         new = list(new - odd)
-        cut = self.PIECES.findall(b"\n".join([*new, b""]).decode("ascii").lower())
+        cut = self.PIECES.findall(b"\n".join([*new, b""]).decode("utf-8").lower())
         if len(self.pieces) > REMEMBER:
             self.pieces.clear()
         unseen = set(cut).difference(self.pieces)
         unseen.discard("\n")
-        self._ids(self.model, list(unseen), self.pieces)
+        self._pieces(list(unseen))
         words, ids, pieces = iter(new), [], self.pieces
         for piece in cut:
             if piece == "\n":
