@@ -225,11 +225,11 @@ def _shared_shingles(docs: DataFrame, n: int, percent: int, bits: int) -> DataFr
             part = (h >> _U(64 - bits)).astype(np.int32) if bits else np.zeros(len(h), np.int32)
             order = np.argsort(part, kind="stable")
             parts, start = np.unique(part[order], return_index=True)
-            table, out = np.frombuffer(b"".join(digests), "V16"), []
+            table, sizes, out = np.frombuffer(b"".join(digests), "V16"), np.array([len(s) for s in sets], "<u4"), []
             for i in np.split(order, start[1:]):
                 used, local = np.unique(own[i], return_inverse=True)
                 rest = h[i] << _U(bits)
-                out.append(_pack((rest >> _U(32)).astype("<u4"), (rest >> _U(16) & _U(0xFFFF)).astype("<u2"), local.astype("<u4"), table[used]))
+                out.append(_pack((rest >> _U(32)).astype("<u4"), (rest >> _U(16) & _U(0xFFFF)).astype("<u2"), local.astype("<u4"), table[used], sizes[used]))
             return pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array(out, pa.binary())], ["part", "block"])
 
         sets, digests, size = [], [], 0
@@ -252,11 +252,12 @@ def _shared_shingles(docs: DataFrame, n: int, percent: int, bits: int) -> DataFr
             yield blocks(sets, digests)
 
     def count(part: int, held: list[bytes]) -> Iterator[pa.RecordBatch]:
-        got = [_unpack(b, "<u4", "<u2", "<u4", "V16") for b in held]
+        got = [_unpack(b, "<u4", "<u2", "<u4", "V16", "<u4") for b in held]
         offset = np.cumsum([0, *(len(g[3]) for g in got)])[:-1]
         own = np.concatenate([g[2] + np.uint32(o) for g, o in zip(got, offset, strict=True)])
         h = np.concatenate([g[0].astype(np.uint64) << _U(16) | g[1] for g in got])
         digests, first, of = np.unique(np.concatenate([g[3] for g in got]), return_index=True, return_inverse=True)
+        sizes = np.concatenate([g[4] for g in got])[first]
         del got
         once = first[of[own]] == own  # the same set from another task is the same set
         h, own = h[once], of[own[once]]
@@ -274,10 +275,10 @@ def _shared_shingles(docs: DataFrame, n: int, percent: int, bits: int) -> DataFr
             some = list(zip(start[lo : lo + 4096].tolist(), ends[lo : lo + 4096].tolist(), strict=True))
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array([digests[own[a]].tobytes() for a, _ in some], pa.binary()), pa.array([z - a for a, z in some], pa.int64()),
+                    pa.array([digests[own[a]].tobytes() for a, _ in some], pa.binary()), pa.array([int(sizes[own[a]]) for a, _ in some], pa.int64()), pa.array([z - a for a, z in some], pa.int64()),
                     pa.array([h[a:z].astype("<u8").tobytes() for a, z in some], pa.binary()), pa.array([often[a:z].tobytes() for a, z in some], pa.binary()),
                 ],
-                ["digest", "m", "shared", "often"],
+                ["digest", "n", "m", "shared", "often"],
             )
 
     def receive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -293,7 +294,7 @@ def _shared_shingles(docs: DataFrame, n: int, percent: int, bits: int) -> DataFr
             yield from count(current, held)
 
     sent = _texts(docs).mapInArrow(send, "part int, block binary")
-    return sent.repartition("part").sortWithinPartitions("part").mapInArrow(receive, "digest binary, m bigint, shared binary, often binary")
+    return sent.repartition("part").sortWithinPartitions("part").mapInArrow(receive, "digest binary, n bigint, m bigint, shared binary, often binary")
 
 
 def _verified(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
@@ -346,10 +347,9 @@ def jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     classes = materialise(classes, "jaccard-classes")
     total = classes.agg(F.sum("n")).first()[0] or 0
     bits = (-(-total // RANGE_ITEMS) - 1).bit_length() if total else 0
-    shared = materialise(_shared_shingles(docs.where(docs["doc_id"].isNotNull()), n, percent, bits), "jaccard-shared-shingles")
+    shared = _shared_shingles(docs.where(docs["doc_id"].isNotNull()), n, percent, bits)
     # a set with fewer shared shingles than any link needs is out
-    enough = shared.groupBy("digest").agg(F.sum("m").alias("m")).join(classes, "digest").where(f"100 * m >= {percent} * n")
-    lists = shared.join(enough.select("digest", "class_id", "n"), "digest").groupBy("digest", "class_id", "n").agg(F.collect_list(F.struct("shared", "often")).alias("parts"))
+    lists = shared.groupBy("digest").agg(F.first("n").alias("n"), F.sum("m").alias("m"), F.collect_list(F.struct("shared", "often")).alias("parts")).where(f"100 * m >= {percent} * n")
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -357,9 +357,10 @@ def jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
             for parts in batch.column("parts").to_pylist():
                 sets.append(b"".join(p["shared"] for p in parts))
                 often.append(b"".join(p["often"] for p in parts))
-            yield pa.RecordBatch.from_arrays([batch.column("class_id"), batch.column("n"), pa.array(sets, pa.binary()), pa.array(often, pa.binary())], ["doc_id", "n", "shared", "often"])
+            yield pa.RecordBatch.from_arrays([batch.column("digest"), batch.column("n"), pa.array(sets, pa.binary()), pa.array(often, pa.binary())], ["digest", "n", "shared", "often"])
 
-    sets = materialise(lists.select("class_id", "n", "parts").mapInArrow(joined, "doc_id bigint, n bigint, shared binary, often binary"), "jaccard-candidates")
+    sets = materialise(lists.select("digest", "n", "parts").mapInArrow(joined, "digest binary, n bigint, shared binary, often binary"), "jaccard-lists")
+    sets = materialise(sets.join(classes.select("digest", F.col("class_id").alias("doc_id")), "digest").drop("digest"), "jaccard-candidates")
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
