@@ -5,6 +5,7 @@ Documents stand for reviews (a language is a product, a source a file), events f
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +15,8 @@ from lumbung.config import HmmConfig, LexiconConfig
 from lumbung.functions import columns as C
 from lumbung.operators import audits, clean, eda, hmm, lexicon, overlap, profile, score, sequences, split
 
+log = logging.getLogger(__name__)
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
@@ -745,8 +748,9 @@ def scored_documents(spark: SparkSession, d: str) -> DataFrame:
 
 @query("hmm_features")
 def hmm_features(spark: SparkSession, d: str) -> DataFrame:
-    """H1 to H9 (rows only: an iterative fit)."""
+    """H1 to H9 (rows only: an iterative fit, to convergence or 200 updates, of 10 restarts). What the fit warns of is logged."""
     s = scored(spark, d).withColumnsRenamed({"user_id": "product_id", "ts": "timestamp", "event_id": "row_order"})
     seqs = sequences.build_sequences(s)
-    found = hmm.fit(seqs, HmmConfig(iterations=3, restarts=1))
+    found = hmm.fit(seqs, HmmConfig())
+    log.warning("hmm_features: %s after %d updates, log likelihood %.4f; %s", "converged" if found.converged else "not converged", found.iterations, found.log_likelihood, "; ".join(found.warnings) or "no warnings")
     return hmm.features(seqs, found.model)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lumbung.config import HmmConfig, LexiconConfig
 from lumbung.functions.columns import PROBABILITIES
 from lumbung.operators import eda, hmm, lexicon, score, sequences, split
-from lumbung.plans.queries import fake_model
+from lumbung.plans.queries import QUERIES, fake_model
 
 
 def random_model(rng, k, d):
@@ -57,6 +57,28 @@ def test_fit_features_and_order_of_rows(spark):
     assert np.allclose(hmm.Model.from_json(found.model.to_json()).moves, found.model.moves)
 
 
+def test_sums_of_many_sequences_are_those_of_each():
+    rng = np.random.default_rng(7)
+    models, lengths = [random_model(rng, 2, 3), random_model(rng, 2, 3)], [6, 4, 4, 1]
+    x, neg = rng.normal(size=(15, 3)), rng.uniform(size=15)
+    for m, got in zip(models, hmm._sums(models, x, neg, np.array(lengths)), strict=True):
+        want, at = None, 0
+        for n in lengths:
+            g, pairs, ll = m.posterior(x[at : at + n])
+            one = [g[0], pairs, g.sum(axis=0), g.T @ x[at : at + n], g.T @ x[at : at + n] ** 2, np.array([ll]), g.T @ neg[at : at + n]]
+            want, at = one if want is None else [a + b for a, b in zip(want, one, strict=True)], at + n
+        assert all(np.allclose(a, b, atol=1e-10) for a, b in zip(got, want, strict=True))
+
+
+def test_hmm_features_fits_to_the_end(spark, sf_dir, monkeypatch):
+    kept, fit = [], hmm.fit
+    monkeypatch.setattr(hmm, "fit", lambda *a: kept.append((a[1], fit(*a))) or kept[-1][1])
+    QUERIES["hmm_features"](spark, sf_dir)
+    config, found = kept[0]
+    assert config == HmmConfig() and len(found.restarts) == 10
+    assert found.converged or found.iterations == 200
+
+
 def test_run_guards_the_split(spark):
     df = scored(spark, n=3, length=6).withColumn("label", F.lit(1))
     ids = df.select("product_id").distinct()
