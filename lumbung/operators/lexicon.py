@@ -21,16 +21,21 @@ def frequent_tokens(docs: DataFrame, kept: list[str], least: int = 2) -> DataFra
     return docs.drop("tokens").join(back, "doc_id", "left").withColumn("tokens", F.coalesce("tokens", F.array().cast("array<string>")))
 
 
+def _hits(seeds: list[str], window: int):
+    """(word, seed) for each place where a seed stands within the window of a word of ``tokens``."""
+    low = lambda i: F.greatest(F.lit(1), i + 1 - window)
+    around = lambda i: F.concat(F.slice(F.col("tokens"), low(i), i + 1 - low(i)), F.slice(F.col("tokens"), i + 2, window))
+    places = F.filter(F.transform("tokens", lambda w, i: F.struct(w.alias("seed"), i.alias("i"))), lambda s: s["seed"].isin(*seeds))
+    return F.flatten(F.transform(places, lambda s: F.transform(around(s["i"]), lambda x: F.struct(x.alias("word"), s["seed"].alias("seed")))))
+
+
 def near_seeds(docs: DataFrame, seeds: list[str], window: int) -> DataFrame:
     """(doc_id, word, seed, n): how often a seed stands within the window of a word.
 
     Only seeds are looked for, in each row's own array, so no pair of other words is made; counts are added up in the
     document before they leave it.
     """
-    low = lambda i: F.greatest(F.lit(1), i + 1 - window)
-    around = lambda i: F.concat(F.slice(F.col("tokens"), low(i), i + 1 - low(i)), F.slice(F.col("tokens"), i + 2, window))
-    hits = F.flatten(F.transform("tokens", lambda w, i: F.transform(F.filter(around(i), lambda x: x.isin(*seeds)), lambda x: F.struct(w.alias("word"), x.alias("seed")))))
-    return docs.select("doc_id", F.explode(hits).alias("x")).groupBy("doc_id", "x.word", "x.seed").agg(F.count("*").alias("n"))
+    return docs.select("doc_id", F.explode(_hits(seeds, window)).alias("x")).groupBy("doc_id", "x.word", "x.seed").agg(F.count("*").alias("n"))
 
 
 def _orientation(words: DataFrame, joint: DataFrame, total: DataFrame, genuine: list[str], counterfeit: list[str], config: LexiconConfig, by: list[str]) -> DataFrame:
@@ -59,21 +64,33 @@ def bootstrap(docs: DataFrame, genuine: list[str], counterfeit: list[str], confi
     number of mean 1, the limit of drawing with replacement; so resamples need no order of documents and repeat anywhere.
     """
     config = config or LexiconConfig()
-    u = F.pmod(F.xxhash64(F.lit(seed), "iter", "doc_id"), F.lit(1 << 40)) / F.lit(float(1 << 40))
     bounds, term, total = [], 2.718281828459045**-1, 0.0
     for k in range(12):
         total += term
         bounds.append(total)
         term /= k + 1
-    times = sum((F.when(u >= b, 1).otherwise(0) for b in bounds), F.lit(0))
-    iters = docs.sparkSession.range(config.iterations).withColumnRenamed("id", "iter")
-    per_doc = docs.select("doc_id", F.explode("tokens").alias("word")).groupBy("doc_id", "word").agg(F.count("*").alias("n"))
-    near = near_seeds(docs, [*genuine, *counterfeit], config.window)
-    weigh = lambda df: df.join(F.broadcast(iters)).withColumn("times", times).where("times > 0")  # noqa: E731  iterations: a fixed few
-    words = weigh(per_doc).groupBy("iter", "word").agg(F.sum(F.col("n") * F.col("times")).alias("n"))
-    joint = weigh(near).groupBy("iter", "word", "seed").agg(F.sum(F.col("n") * F.col("times")).alias("joint"))
+
+    def times(i: int):
+        u = F.pmod(F.xxhash64(F.lit(seed), F.lit(i).cast("bigint"), "doc_id"), F.lit(1 << 40)) / F.lit(float(1 << 40))
+        return sum((F.when(u >= b, 1).otherwise(0) for b in bounds), F.lit(0))
+
+    # a document's appearances in all resamples travel with it, the corpus itself first, so no row is repeated for a resample
+    drawn = docs.select("tokens", F.array(F.lit(1), *[times(i) for i in range(config.iterations)]).alias("times"))
+
+    def summed(df: DataFrame, by: list[str], name: str) -> DataFrame:
+        """(iter, by, name): sums over each resample, the corpus as iteration -1."""
+        sums = df.groupBy(*by).agg(*[F.sum(F.get("times", F.lit(i))).alias(f"__{i}") for i in range(config.iterations + 1)])
+        each = F.explode(F.array(*[F.struct(F.lit(i - 1).alias("iter"), F.col(f"__{i}").alias(name)) for i in range(config.iterations + 1)]))
+        return sums.select(*by, each.alias("x")).select("x.iter", *by, f"x.{name}").where(F.col(name) > 0)
+
+    words = summed(drawn.select("times", F.explode("tokens").alias("word")), ["word"], "n")
+    near = drawn.select("times", F.explode(_hits([*genuine, *counterfeit], config.window)).alias("x"))
+    joint = summed(near.select("times", "x.word", "x.seed"), ["word", "seed"], "joint")
     scores = _orientation(words, joint, words.groupBy("iter").agg(F.sum("n").alias("total")), genuine, counterfeit, config, ["iter"])
-    edge = (1 - config.confidence) / 2
-    ci = scores.groupBy("word").agg(F.percentile("so", F.lit(edge)).alias("low"), F.percentile("so", F.lit(1 - edge)).alias("high"), F.count("*").alias("n_iter"))
-    out = semantic_orientation(docs, genuine, counterfeit, config).join(ci, "word")
+    edge, corpus = (1 - config.confidence) / 2, F.col("iter") < 0
+    drawn_so = F.when(~corpus, F.col("so"))
+    out = scores.groupBy("word").agg(
+        F.max(F.when(corpus, F.col("n"))).alias("n"), F.max(F.when(corpus, F.col("so"))).alias("so"),
+        F.percentile(drawn_so, F.lit(edge)).alias("low"), F.percentile(drawn_so, F.lit(1 - edge)).alias("high"), F.count(drawn_so).alias("n_iter"),
+    ).where("n IS NOT NULL AND n_iter > 0")
     return out.withColumn("label", F.when((F.col("low") <= 0) & (F.col("high") >= 0), "discard").when(F.col("low") > 0, "genuine").otherwise("counterfeit"))

@@ -682,8 +682,8 @@ def semantic_orientation(spark: SparkSession, d: str) -> DataFrame:
 
 @query("bootstrap_ci")
 def bootstrap_ci(spark: SparkSession, d: str) -> DataFrame:
-    """A33 (rows only: resamples come of hashes)."""
-    return lexicon.bootstrap(lexical_docs(spark, d), *SEEDS, LexiconConfig(iterations=10))
+    """A33 (rows only: 50 resamples, drawn by hashes)."""
+    return lexicon.bootstrap(lexical_docs(spark, d), *SEEDS, LexiconConfig())
 
 
 @query("events_json", "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")

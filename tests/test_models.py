@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lumbung.config import HmmConfig, LexiconConfig
 from lumbung.functions.columns import PROBABILITIES
 from lumbung.operators import eda, hmm, lexicon, score, sequences, split
-from lumbung.plans.queries import QUERIES, fake_model
+from lumbung.plans.queries import QUERIES, SEEDS, fake_model
 
 
 def random_model(rng, k, d):
@@ -116,6 +116,16 @@ def test_orientation_by_hand(spark):
     assert b["baik"] in ("genuine", "discard")
 
 
+def test_bootstrap_ci_draws_all_resamples(spark, tmp_path):
+    spark.createDataFrame([(i, "good with and fine" if i % 2 else "bad that der poor") for i in range(40)], "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["word"]: r for r in QUERIES["bootstrap_ci"](spark, str(tmp_path)).collect()}
+    assert got["good"]["n_iter"] == 50 and got["good"]["n"] == 20
+    assert got["good"]["label"] == "genuine" and got["bad"]["label"] == "counterfeit"
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet").selectExpr("doc_id", "split(text, ' ') AS tokens")
+    alone = lexicon.semantic_orientation(docs, *SEEDS).collect()
+    assert {r["word"]: (r["n"], round(r["so"], 9)) for r in alone} == {w: (r["n"], round(r["so"], 9)) for w, r in got.items()}
+
+
 def test_scoring(spark):
     df = spark.createDataFrame([(1, "halo dunia"), (2, "  "), (3, None), (4, "satu " * 200)], "k int, t string")
     labels = {0: "Positive", 1: "neutral", 2: "NEGATIVE"}
