@@ -8,8 +8,8 @@ is long enough. What is left is found in three steps, none of which sends all wi
    Anchors that occur in one text only cannot be part of a repeat; they are found by their fingerprints alone.
 2. Shards. The stretch of bytes that an anchor's windows span goes to the shard of the anchor's fingerprint. Equal
    stretches are one there, with the least id that has them.
-3. Suffix arrays. Each shard sorts all suffixes of its stretches with their common prefixes by external induced
-   sorting; suffixes that share ``length`` bytes are neighbours, and the least id among them decides.
+3. Suffix arrays. Each shard sorts all suffixes of its stretches with their common prefixes by induced sorting, in
+   memory; suffixes that share ``length`` bytes are neighbours, and the least id among them decides.
 
 Null and empty texts have no bytes. Documents of one id do not count as smaller than each other. A null id neither
 removes nor is removed from. An empty table gives an empty result; columns beyond id and text are not read.
@@ -28,7 +28,7 @@ from lumbung.llm.common import documents, materialise, text_of
 from lumbung.llm.suffix_sort import suffix_order
 
 LENGTH, ANCHOR = 50, 26
-#: Text bytes for each range of fingerprints and each shard: what one task holds at a time grows with these alone.
+#: Text bytes for each range of fingerprints and each shard, on average; a frequent anchor's shard is larger, and one task holds it.
 RANGE_BYTES, SHARD_BYTES = 32 << 20, 12 << 20
 #: Bytes of texts that a task gathers before it sends a block for each range or shard.
 BLOCK_BYTES = 8 << 20

@@ -1,11 +1,12 @@
-"""External induced sorting of all suffixes of a byte string, with their common-prefix lengths.
+"""Induced sorting of all suffixes of a byte string, with their common-prefix lengths.
 
 Suffixes smaller than the next one (S) and larger (L) alternate in runs; the first S of each run is sorted first, by
 naming the substrings between such suffixes and sorting the string of names: by the same procedure, or in memory once
 it is small. The order of all others is then induced: tuples (position, common prefix with the one before it) pass
 through a priority queue keyed by first byte. Taking a suffix from the queue puts the suffix one byte longer behind all
 that its first byte already has, and their common prefix is one more than the least among those passed since.
-The queue's parts and the text go to unlinked temporary files beyond a stated memory, and all steps stream over blocks of arrays.
+A queue's parts go to an unlinked temporary file beyond a stated memory. The text, its types, the first S suffixes, all L
+suffixes and the result are whole arrays in memory, so a sort holds some tens of bytes a suffix and is not an external one.
 
 Order and common prefixes are exact to ``depth`` bytes; suffixes equal to that depth come in any order.
 """
