@@ -376,7 +376,6 @@ def jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     open_ = materialise(signed.join(common.select("sig"), "sig"), "jaccard-shared")
 
     size = sets.groupBy("doc_id").agg(F.min("n").alias("least"), F.max("n").alias("most"))
-    ids = open_.select("doc_id").distinct()
 
     def fits(pairs: DataFrame) -> DataFrame:
         """Leaves the pairs whose sizes allow a link."""
@@ -384,7 +383,12 @@ def jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
             pairs = pairs.join(size.withColumnsRenamed({"doc_id": c, "least": f"least_{c}", "most": f"most_{c}"}), c)
         return pairs.where(f"100 * most_b >= {percent} * least_a AND 100 * most_a >= {percent} * least_b").select("a", "b")
 
-    links, seen, found = None, None, None
+    # rows of one id are one document: it links the classes of all its sets, and itself if a row of it has no set
+    again = rows.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("__rows")).where("__rows > 1").select("doc_id")
+    repeated = rows.join(again, "doc_id", "left_semi").join(classes.select("digest", "class_id"), "digest", "left")
+    links = materialise(repeated.select(F.col("doc_id").alias("a"), F.coalesce("class_id", "doc_id").alias("b")).where("a <> b").distinct(), "jaccard-repeats")
+    ids = open_.select("doc_id").union(links.select("a")).union(links.select("b")).distinct()
+    seen, found = None, None
     for turn in range(PIVOT_ROUNDS + 1):
         if turn < PIVOT_ROUNDS:
             # the pivot of a signature: the least id, then the one of the least hash
@@ -402,7 +406,7 @@ def jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
             pairs = pairs.join(seen, ["a", "b"], "left_anti")
         pairs = materialise(pairs, "jaccard-pairs")
         more = materialise(_verified(sets, pairs, percent), "jaccard-links")
-        links = more if links is None else links.unionByName(more)
+        links = links.unionByName(more)
         seen = pairs if seen is None else seen.unionByName(pairs)
         found = components(links)
         if turn == PIVOT_ROUNDS:
@@ -414,9 +418,10 @@ def jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
         if open_.isEmpty():
             break
     of_class = classes.select("digest", "class_id").join(found.withColumnRenamed("doc_id", "class_id"), "class_id", "left")
-    out = rows.join(of_class, "digest", "left")
-    own = F.when(F.col("n") > 0, F.coalesce("component", "class_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), own).alias("component_id"), F.when(F.col("n") > 0, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"))
+    full = rows.where("n > 0").join(of_class, "digest", "left").select("doc_id", "n", "class_id", F.coalesce("component", "class_id").alias("own"))
+    empty = rows.where("n = 0").join(found, "doc_id", "left").select("doc_id", "n", F.col("doc_id").alias("class_id"), F.coalesce("component", "doc_id").alias("own"))
+    out = full.unionByName(empty)
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.col("own")).alias("component_id"), "class_id")
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -153,6 +153,13 @@ def test_join_odd_rows(odd, none):
     assert [r["component_id"] for r in rows if r["doc_id"] is None] == [None, None]
 
 
+def test_join_through_a_repeated_id(spark):
+    a, b, c = ("one two three four five", "six seven eight nine ten", "red green blue black white")
+    df = spark.createDataFrame([(1, a), (2, b), (3, a), (3, b), (4, c), (5, c), (5, ""), (6, "alone of all these")], "doc_id bigint, text string")
+    rows = jaccard_join(df, 3, 90).collect()
+    assert sorted((r["doc_id"], r["component_id"]) for r in rows) == [(1, 1), (2, 1), (3, 1), (3, 1), (4, 4), (5, 4), (5, 4), (6, 6)]
+
+
 def test_long_texts_in_pieces():
     text = " ".join(f"a{i % 300} b{i % 7}" for i in range(5000)).encode()
     whole, pieces = (list(shingle_sets([text, b"", b"x"], 3, block=b)) for b in (1 << 20, 997))
