@@ -31,7 +31,16 @@ def materialise(df: DataFrame, purpose: str) -> DataFrame:
     """``df`` written as Parquet in the shared folder and read back: its lineage ends there, for any executor."""
     path = shared_folder(df.sparkSession, purpose)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.__dict__["_stored_at"] = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Deletes tables that ``materialise`` made and that nothing still to be computed reads."""
+    for df in tables:
+        place = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.__dict__.pop("_stored_at"))
+        place.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(place, True)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,3 +80,19 @@ def checked_broadcast(df: DataFrame, purpose: str, most: int = BROADCAST_ROWS) -
     """A narrow table, written out and counted: sent to all executors if it has ``most`` rows at most, else as it is."""
     out = materialise(df, purpose)
     return F.broadcast(out) if out.count() <= most else out
+
+
+#: The normal form and the pieces of the vocabulary file whose words ``records`` and ``bpe`` cut by themselves.
+WORD_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+WORD_PIECES = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+
+
+def known_words(spec: dict) -> bool:
+    """Whether a tokenizer file cuts texts in the way above, so that no piece of a text crosses ASCII white space."""
+    return spec.get("normalizer") == WORD_NORMALIZER and spec.get("pre_tokenizer") == WORD_PIECES

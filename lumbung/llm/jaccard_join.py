@@ -1,7 +1,12 @@
 """Exact n-gram Jaccard join by prefixes of token combinations, and the components of its links.
 
-A document's set holds its distinct word shingles (the whole sequence, if it has fewer words), as 64-bit fingerprints.
-Equal sets are one class; one document of it, its representative, takes part in what follows.
+A document's set holds its distinct word shingles (the whole sequence, if it has fewer words). Equal sets are one class;
+one of it takes part in what follows.
+
+Fingerprints. A word of up to 64 bytes is a sum of its bytes, each times a random 64-bit number of its place; a longer one
+is its keyed BLAKE2b. A shingle mixes the fingerprints of its words to 64 bits, of which a range's task keeps 48 beside
+the range's number. So two given shingles are taken for the same with a chance of about 2^-48 at worst, whatever
+their words; classes are told apart by 128 bits of all of a set's fingerprints.
 
 Order the shingles of all sets by how frequent they are, rare ones first. A set that links with this one lacks at most e of its
 shingles, so a prefix stays in touch if any e of its shingles can go and a signature is left. A rare shingle is a
@@ -14,9 +19,14 @@ Frequencies are exact and of all sets. Shingles that only one set has come first
 they are only counted, and a set that has more of them than it may lose can link with nothing and goes no further.
 Fingerprints travel to the task of their range in packed blocks; only shared ones come back, with their frequency.
 
-Sets that share a signature are compared with one of them, the pivot, first; links are joined into components; then, with
-other pivots, only sets of a signature that are still apart; and at last all of those that are still apart, pairwise. No pair
-within a component is looked at again, so a group of near copies costs its size and no link between components is lost.
+Verification. Sets of a signature are compared with one of them, the pivot P: the set of the most frequent shingles. Let x
+be the number of shingles by which a set differs from P (P's own unshared ones left out). Two sets A and B differ by x_A + x_B - 2c, where c counts
+the differences from P that they have in common, and they link if that is at most k (n_A + n_B), k = (100 - percent) /
+(100 + percent). With s = x - k n, they link for certain if s_A + s_B <= 0, and all such links are had by linking to M, the set of the
+least s. Any other link needs c >= (s_A + s_B) / 2 > 0. So sets that are still apart get new signatures, the rarest of their
+differences from P, in prefixes of the same kind: near copies of one text share nearly all shingles, but few of their
+differences. Those groups go through the same steps again, a few times, and only what is still apart then, and in groups of
+few, is compared pairwise. A group of near copies thus costs about its size, and no link between components is lost.
 
 Null and empty texts, and those of white space, have no set and are alone. Rows that repeat an id are one document with
 all their sets. Rows without an id are their own components, of a null id. An empty table gives an empty result.
@@ -26,27 +36,27 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lumbung.llm.common import documents, materialise, text_of
+from lumbung.llm.common import documents, materialise, release, text_of
 
 #: Fingerprints for each range: what a task holds at a time. Text bytes that a task gathers before it sends its blocks.
 RANGE_ITEMS, BLOCK_BYTES = 2 << 20, 8 << 20
 #: Sets that may share a shingle for it to be rare.
 RARE = 8
-#: Rounds of pivots before what is left is compared pairwise.
-PIVOT_ROUNDS = 2
+#: Sets of a signature that are compared pairwise at once. Rounds of pivots before larger groups are, too.
+FEW, ROUNDS = 8, 3
+#: Bytes up to which a word's fingerprint is a sum over its places.
+SHORT_WORD = 64
 
 _U = np.uint64
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
-_BASE = 0x9E3779B97F4A7C15
-_INVERSE = pow(_BASE, -1, 1 << 64)
-_BYTE = np.random.default_rng(20240607).integers(1, 1 << 63, 256, dtype=np.uint64) * _U(2) + _U(1)
+_KEY = np.random.default_rng(20240607).integers(0, 1 << 63, SHORT_WORD + 1, dtype=np.uint64) * _U(2) + _U(1)
+_LONG = b"words of more bytes"
 _PLACE = np.random.default_rng(20240608).integers(1, 1 << 63, 64, dtype=np.uint64) * _U(2) + _U(1)
 
 
@@ -59,16 +69,6 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-@cache
-def _powers(base: int, bits: int) -> np.ndarray:
-    out = np.empty(1 << bits, np.uint64)
-    out[0], n = 1, 1
-    while n < len(out):
-        out[n : 2 * n] = out[:n] * _U(pow(base, n, 1 << 64))
-        n *= 2
-    return out
-
-
 def word_hashes(data: bytes) -> np.ndarray:
     """A fingerprint of each word of ``data``, which ends no word of its own in the middle."""
     a = np.frombuffer(data, np.uint8)
@@ -77,12 +77,19 @@ def word_hashes(data: bytes) -> np.ndarray:
     space = _SPACE[a]
     edge = np.flatnonzero(np.diff(space, prepend=True, append=True))
     start, end = edge[0::2], edge[1::2]
-    bits = max(16, len(a).bit_length())
+    size = end - start
+    place = np.arange(len(a), dtype=np.int32)
+    place[space] = 0
+    letters = ~space
+    place[letters] -= np.repeat(start.astype(np.int32), size)
+    np.minimum(place, SHORT_WORD - 1, out=place)
     sums = np.empty(len(a) + 1, np.uint64)
     sums[0] = 0
-    np.cumsum(_BYTE[a] * _powers(_BASE, bits)[: len(a)], out=sums[1:])
-    # every word is moved to its own beginning, whatever its place
-    return mixed((sums[end] - sums[start]) * _powers(_INVERSE, bits)[start] + (end - start).astype(np.uint64))
+    np.cumsum((a.astype(np.uint64) + _U(1)) * _KEY[place], out=sums[1:])
+    out = mixed(sums[end] - sums[start] + size.astype(np.uint64) * _KEY[SHORT_WORD])
+    for i in np.flatnonzero(size > SHORT_WORD).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(data[start[i] : end[i]], digest_size=8, key=_LONG).digest(), "little")
+    return out
 
 
 def shingle_sets(texts: list[bytes], n: int, block: int = 1 << 20) -> Iterator[np.ndarray]:
@@ -211,9 +218,10 @@ def _unpack(data: bytes, *kinds: str) -> list[np.ndarray]:
 
 
 def _shared_shingles(docs: DataFrame, n: int, percent: int, bits: int) -> DataFrame:
-    """(digest, m, shared, often): of each set and range the shingles that other sets have too, and how many sets have each.
+    """(digest, n, weight, shared, often): the sets with enough shingles that other sets have too, these, how many sets have each, and the sum of that.
 
-    A task takes each set once; copies in several tasks are told apart by their digests in the ranges' tasks.
+    A task takes each set once; copies in several tasks are told apart by their digests in the ranges' tasks. What these find goes to
+    the tasks of the digests' ranges, packed as well.
     """
     import pyarrow as pa
 
@@ -227,9 +235,9 @@ def _shared_shingles(docs: DataFrame, n: int, percent: int, bits: int) -> DataFr
             parts, start = np.unique(part[order], return_index=True)
             table, sizes, out = np.frombuffer(b"".join(digests), "V16"), np.array([len(s) for s in sets], "<u4"), []
             for i in np.split(order, start[1:]):
-                used, local = np.unique(own[i], return_inverse=True)
+                used, times = np.unique(own[i], return_counts=True)  # a set's shingles are together
                 rest = h[i] << _U(bits)
-                out.append(_pack((rest >> _U(32)).astype("<u4"), (rest >> _U(16) & _U(0xFFFF)).astype("<u2"), local.astype("<u4"), table[used], sizes[used]))
+                out.append(_pack((rest >> _U(32)).astype("<u4"), (rest >> _U(16) & _U(0xFFFF)).astype("<u2"), times.astype("<u4"), table[used], sizes[used]))
             return pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array(out, pa.binary())], ["part", "block"])
 
         sets, digests, size = [], [], 0
@@ -254,7 +262,7 @@ def _shared_shingles(docs: DataFrame, n: int, percent: int, bits: int) -> DataFr
     def count(part: int, held: list[bytes]) -> Iterator[pa.RecordBatch]:
         got = [_unpack(b, "<u4", "<u2", "<u4", "V16", "<u4") for b in held]
         offset = np.cumsum([0, *(len(g[3]) for g in got)])[:-1]
-        own = np.concatenate([g[2] + np.uint32(o) for g, o in zip(got, offset, strict=True)])
+        own = np.concatenate([np.repeat(np.arange(o, o + len(g[2]), dtype=np.uint32), g[2]) for g, o in zip(got, offset, strict=True)])
         h = np.concatenate([g[0].astype(np.uint64) << _U(16) | g[1] for g in got])
         digests, first, of = np.unique(np.concatenate([g[3] for g in got]), return_index=True, return_inverse=True)
         sizes = np.concatenate([g[4] for g in got])[first]
@@ -268,18 +276,19 @@ def _shared_shingles(docs: DataFrame, n: int, percent: int, bits: int) -> DataFr
         often = np.repeat(np.minimum(times, 65535).astype("<u2"), times)
         keep = np.flatnonzero(often > 1)
         keep = keep[np.argsort(own[keep], kind="stable")]
-        h, own, often = h[keep] | _U(part) << _U(48), own[keep], often[keep]
+        h, own, often = h[keep], own[keep], often[keep]
         start = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]])) if len(own) else np.empty(0, np.int64)
-        ends = np.append(start[1:], len(own))
-        for lo in range(0, len(start), 4096):
-            some = list(zip(start[lo : lo + 4096].tolist(), ends[lo : lo + 4096].tolist(), strict=True))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([digests[own[a]].tobytes() for a, _ in some], pa.binary()), pa.array([int(sizes[own[a]]) for a, _ in some], pa.int64()), pa.array([z - a for a, z in some], pa.int64()),
-                    pa.array([h[a:z].astype("<u8").tobytes() for a, z in some], pa.binary()), pa.array([often[a:z].tobytes() for a, z in some], pa.binary()),
-                ],
-                ["digest", "n", "m", "shared", "often"],
-            )
+        of, times = own[start], np.diff(np.append(start, len(own)))
+        # digests are sorted, and so each bucket of them is a stretch
+        bucket = np.frombuffer(digests[of].tobytes(), ">u8")[::2].astype(np.uint64) >> _U(64 - bits) if bits else np.zeros(len(of), np.int64)
+        first = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(of) else np.empty(0, np.int64)
+        cuts, out, to = np.append(start, len(own)), [], []
+        for lo, hi in zip(first.tolist(), [*first[1:].tolist(), len(of)], strict=False):
+            a, z = int(cuts[lo]), int(cuts[hi])
+            out.append(_pack(digests[of[lo:hi]], sizes[of[lo:hi]], times[lo:hi].astype("<u4"), (h[a:z] >> _U(16)).astype("<u4"), (h[a:z] & _U(0xFFFF)).astype("<u2"), often[a:z]))
+            to.append(int(bucket[lo]))
+        n = len(out)
+        yield pa.RecordBatch.from_arrays([pa.array(to, pa.int32()), pa.array([part] * n, pa.int32()), pa.array(out, pa.binary())], ["bucket", "part", "block"])
 
     def receive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, held = None, []
@@ -293,27 +302,89 @@ def _shared_shingles(docs: DataFrame, n: int, percent: int, bits: int) -> DataFr
         if held:
             yield from count(current, held)
 
+    def gathered(held: list[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
+        got = [(part, *_unpack(b, "V16", "<u4", "<u4", "<u4", "<u2", "<u2")) for part, b in held]
+        digests, of = np.unique(np.concatenate([g[1] for g in got]), return_inverse=True)
+        sizes = np.zeros(len(digests), np.int64)
+        sizes[of] = np.concatenate([g[2] for g in got])
+        own = np.repeat(of, np.concatenate([g[3] for g in got]))
+        # a set with fewer shared shingles than any link needs is out
+        enough = 100 * np.bincount(own, minlength=len(digests)) >= percent * sizes
+        keep = np.flatnonzero(enough[own])
+        h = np.concatenate([_U(g[0]) << _U(48) | g[4].astype(np.uint64) << _U(16) | g[5] for g in got])[keep]
+        own, often = own[keep], np.concatenate([g[6] for g in got])[keep]
+        order = np.lexsort((h, own))
+        h, own, often = h[order], own[order], often[order]
+        start = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]])) if len(own) else np.empty(0, np.int64)
+        ends = np.append(start[1:], len(own))
+        for lo in range(0, len(start), 1024):
+            some = list(zip(start[lo : lo + 1024].tolist(), ends[lo : lo + 1024].tolist(), strict=True))
+            which = own[start[lo : lo + 1024]]
+            columns = ([digests[i].tobytes() for i in which], sizes[which], [int(often[a:z].sum(dtype=np.int64)) for a, z in some], [h[a:z].astype("<u8").tobytes() for a, z in some], [often[a:z].tobytes() for a, z in some])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], ["digest", "n", "weight", "shared", "often"])
+
+    def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, held = None, []
+        for batch in batches:
+            for k, part, v in zip(batch.column("bucket").to_pylist(), batch.column("part").to_pylist(), batch.column("block"), strict=True):
+                if k != current and held:
+                    yield from gathered(held)
+                    held = []
+                current = k
+                held.append((part, v.as_py()))
+        if held:
+            yield from gathered(held)
+
     sent = _texts(docs).mapInArrow(send, "part int, block binary")
-    return sent.repartition("part").sortWithinPartitions("part").mapInArrow(receive, "digest binary, n bigint, m bigint, shared binary, often binary")
+    shared = sent.repartition("part").sortWithinPartitions("part").mapInArrow(receive, "bucket int, part int, block binary")
+    return shared.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(collect, "digest binary, n bigint, weight bigint, shared binary, often binary")
+
 
+def _beside(sets: DataFrame, pairs: DataFrame, more: tuple[str, ...] = ()) -> DataFrame:
+    """The pairs (a, b) with the shared shingles of both, as set_a and set_b."""
+    one, two = (sets.select(F.col("k").alias(c), F.col("shared").alias(f"set_{c}")) for c in "ab")
+    return pairs.join(one, "a").join(two, "b").select("a", "b", *more, "set_a", "set_b")
 
-def _verified(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that link: shingles that both have are among the shared ones of each."""
+
+def _compared(sets: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs (a, b) with the number of shingles that they have in common: those are among the shared ones of each."""
     import pyarrow as pa
 
-    one, two = (sets.select(F.col("doc_id").alias(c), F.col("n").alias(f"n_{c}"), F.col("shared").alias(f"set_{c}")) for c in "ab")
-    both = pairs.join(one, "a").join(two, "b").select("a", "b", "n_a", "n_b", "set_a", "set_b")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            common = []
+            for x, y in zip(batch.column("set_a"), batch.column("set_b"), strict=True):
+                x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
+                common.append(len(x) + len(y) - len(np.unique(np.concatenate([x, y]))))
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(common, pa.int64())], ["a", "b", "common"])
+
+    return _beside(sets, pairs).mapInArrow(run, "a binary, b binary, common bigint")
+
+
+def _differences(sets: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(p, k, s, d) for the pairs (a, b, s): each shingle d by which the set k = b differs from the pivot p = a, with the side that has it."""
+    import pyarrow as pa
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for n, m, x, y in zip(batch.column("n_a").to_pylist(), batch.column("n_b").to_pylist(), batch.column("set_a"), batch.column("set_b"), strict=True):
+            parts: list[np.ndarray] = []
+            of: list[int] = []
+
+            def rows() -> pa.RecordBatch:
+                row = pa.array(np.repeat(of, [len(d) for d in parts]))
+                return pa.RecordBatch.from_arrays([*(batch.column(c).take(row) for c in ("a", "b", "s")), pa.array(np.concatenate(parts).view(np.int64))], ["p", "k", "s", "d"])  # noqa: B023
+
+            for i, (x, y) in enumerate(zip(batch.column("set_a"), batch.column("set_b"), strict=True)):
                 x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
-                common = len(x) + len(y) - len(np.unique(np.concatenate([x, y])))
-                keep.append(100 * common >= percent * (n + m - common))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+                parts.append(np.concatenate([np.setdiff1d(y, x, assume_unique=True), mixed(np.setdiff1d(x, y, assume_unique=True))]))
+                of.append(i)
+                if sum(map(len, parts)) > 1 << 18:
+                    yield rows()
+                    parts, of = [], []
+            if parts:
+                yield rows()
 
-    return both.mapInArrow(run, "a bigint, b bigint")
+    return _beside(sets, pairs, ("s",)).mapInArrow(run, "p binary, k binary, s bigint, d bigint")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -325,6 +396,7 @@ def components(links: DataFrame) -> DataFrame:
     edges = materialise(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "component-edges")
     state = None
     while True:
+        before = edges
         ends = edges.union(edges.select("v", "u"))
         least = ends.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = ends.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
@@ -333,11 +405,100 @@ def components(links: DataFrame) -> DataFrame:
         small = small.select("u", F.col("m").alias("v")).union(small.where("v <> m").select("v", "m")).distinct()
         edges = materialise(small, "component-edges")
         now = edges.agg(F.count(F.lit(1)), F.expr("bit_xor(xxhash64(u, v))")).first()
+        release(before)
         if now == state:
             return edges.select(F.col("u").alias("doc_id"), F.col("v").alias("component")).union(edges.select("v", "v").distinct()).distinct()
         state = now
 
 
+def _together(signed: DataFrame) -> DataFrame:
+    """The rows of signatures that several sets have, and both sides where there are two, with the pivot p of each and the number of its sets.
+
+    A pivot has the most frequent shingles; of equal ones it is the one of the greatest key.
+    """
+    rows = materialise(signed, "jaccard-signatures")
+    top = F.max(F.struct("weight", "k", "doc_id", "n")).alias("__top")
+    groups = rows.groupBy("sig").agg(F.count(F.lit(1)).alias("size"), F.min("side").alias("__low"), F.max("side").alias("__high"), top)
+    groups = groups.where("size > 1 AND (__low <> __high OR __low = 0)").select("sig", "size", F.col("__top.k").alias("p"), F.col("__top.doc_id").alias("p_doc"), F.col("__top.n").alias("p_n"))
+    out = materialise(rows.join(groups, "sig"), "jaccard-groups")
+    release(rows)
+    return out
+
+
+def _apart(groups: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows of groups whose sets are not all in one component, with the component of each."""
+    component = F.coalesce("component", groups["doc_id"]).alias("component")
+    rows = groups.join(found, "doc_id", "left").select(*[groups[c] for c in groups.columns], component)
+    ends = rows.groupBy("sig").agg(F.min("component").alias("__lo"), F.max("component").alias("__hi")).where("__lo <> __hi").select("sig")
+    return materialise(rows.join(ends, "sig", "left_semi"), "jaccard-apart")
+
+
+def _linked(sets: DataFrame, signed: DataFrame, links: DataFrame, percent: int) -> DataFrame:
+    """(doc_id, component) of all documents in links: those given and those between sets of a signature."""
+    w, lost = 100 + percent, 100 - percent
+    # P's own unshared shingles are in no other set, and count for P alone
+    alone = sets.select(F.col("k").alias("p"), F.expr("n - octet_length(shared) DIV 8").alias("p_alone"))
+    pairwise, old = [], []
+    for turn in range(ROUNDS):
+        groups = _together(signed)
+        fits = F.expr(f"size > {FEW} OR (100 * n >= {percent} * p_n AND 100 * p_n >= {percent} * n)")
+        near = groups.where("k <> p").where(fits).select(F.col("p").alias("a"), F.col("k").alias("b"), "p_doc", "p_n", "doc_id", "n").distinct()
+        near = materialise(near, "jaccard-near")
+        common = _compared(sets, near.select("a", "b"))
+        # s of every set beside its pivot, times w; a pivot's own differences are its unshared shingles
+        beside = near.join(common, ["a", "b"]).join(alone, F.col("a") == F.col("p"))
+        s = F.expr(f"{w} * (n + p_n - p_alone - 2 * common) - {lost} * n").alias("s")
+        beside = materialise(beside.select("p", "p_doc", "p_n", "p_alone", F.col("b").alias("k"), "doc_id", s), "jaccard-beside")
+        own = F.expr(f"{w} * p_alone - {lost} * p_n")
+        least = beside.groupBy("p", "p_doc").agg(F.min(F.struct("s", "doc_id")).alias("__m"), F.first(own).alias("__own"))
+        least = least.select("p", F.least("__m", F.struct(F.col("__own").alias("s"), F.col("p_doc").alias("doc_id"))).alias("m"))
+        everyone = beside.select("p", "k", "doc_id", "s").union(beside.select("p", F.col("p").alias("k"), F.col("p_doc").alias("doc_id"), own.alias("s")).distinct())
+        judged = materialise(everyone.join(least, "p").select("p", "k", "doc_id", "s", F.col("m.s").alias("m_s"), F.col("m.doc_id").alias("m_doc")), "jaccard-judged")
+        star = materialise(judged.where("s + m_s <= 0 AND doc_id <> m_doc").select(F.col("doc_id").alias("a"), F.col("m_doc").alias("b")).distinct(), "jaccard-links")
+        links = links.unionByName(star)
+        found = materialise(components(links), "jaccard-components")
+        apart = _apart(groups, found)
+        release(groups, near, beside)
+        last = turn == ROUNDS - 1
+        few = apart if last else apart.where(f"size <= {FEW}")
+        if not few.isEmpty():
+            pairwise.append(few.where("k <> p").select("sig", "k", "doc_id", "n", "side"))
+        many = apart.where(f"size > {FEW}").select("p", "k").distinct()
+        old += [apart, judged, star, found]
+        if last or many.isEmpty():
+            break
+        # differences that no other set of the pivot has stand for losses only
+        some = judged.join(many, ["p", "k"], "left_semi")
+        listed = materialise(_differences(sets, some.select(F.col("p").alias("a"), F.col("k").alias("b"), "s")), "jaccard-differences")
+        often = listed.groupBy("p", "d").agg(F.count(F.lit(1)).alias("often")).where("often > 1")
+        order = Window.partitionBy("p", "k").orderBy("often", "d")
+        ranked = listed.join(often, ["p", "d"]).withColumns({"place": F.row_number().over(order), "all": F.count(F.lit(1)).over(Window.partitionBy("p", "k"))})
+        ranked = ranked.join(judged.select("p", "m_s").distinct(), "p")
+        # what it must share with sets that M does not link, and, if M does not link it either, with those that M does
+        up = lambda x: F.greatest(F.lit(1), F.ceil(x / (2 * w)))
+        inside = F.col("s") + F.col("m_s") <= 0
+        outer = F.struct(F.lit(0).alias("kind"), F.lit(0).alias("side"), up(F.col("s") - F.col("m_s") + 1).alias("need"))
+        inner = F.struct(F.lit(1).alias("kind"), F.lit(1).alias("side"), up(F.col("s") - F.col("m_s") + 1).alias("need"))
+        across = F.struct(F.lit(1).alias("kind"), F.lit(2).alias("side"), up(F.col("s") + F.col("m_s")).alias("need"))
+        ranked = ranked.withColumn("how", F.explode(F.when(inside, F.array(inner)).otherwise(F.array(outer, across)))).where("place <= all - how.need + 1")
+        signed = ranked.select(F.xxhash64("p", "d", "how.kind").alias("sig"), "k", F.col("how.side").alias("side")).join(sets.select("k", "doc_id", "n", "weight"), "k").select("sig", "k", "doc_id", "n", "weight", "side")
+        old.append(listed)
+    if pairwise:
+        rows = None
+        for part in pairwise:  # with the components as they are now
+            part = part.join(found, "doc_id", "left").select("sig", "k", "n", "side", part["doc_id"], F.coalesce("component", "doc_id").alias("component"))
+            rows = part if rows is None else rows.unionByName(part)
+        other = rows.select("sig", *[F.col(c).alias(f"{c}_b") for c in ("k", "n", "side", "doc_id", "component")])
+        pairs = rows.join(other, "sig").where(f"k < k_b AND component <> component_b AND (side = 0 OR side <> side_b) AND 100 * n >= {percent} * n_b AND 100 * n_b >= {percent} * n")
+        pairs = materialise(pairs.select(F.col("k").alias("a"), F.col("k_b").alias("b"), "doc_id", "doc_id_b", "n", "n_b").distinct(), "jaccard-pairs")
+        more = pairs.join(_compared(sets, pairs.select("a", "b")), ["a", "b"]).where(f"100 * common >= {percent} * (n + n_b - common)")
+        links = links.unionByName(more.select(F.col("doc_id").alias("a"), F.col("doc_id_b").alias("b")))
+        old.append(pairs)
+        found = materialise(components(links), "jaccard-components")
+    release(*[x for x in old if x is not found])
+    return found
+
+
 def jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id and class_id (the least id with an equal set) of every row."""
     import pyarrow as pa
@@ -348,75 +509,25 @@ def jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     total = classes.agg(F.sum("n")).first()[0] or 0
     bits = (-(-total // RANGE_ITEMS) - 1).bit_length() if total else 0
     shared = _shared_shingles(docs.where(docs["doc_id"].isNotNull()), n, percent, bits)
-    # a set with fewer shared shingles than any link needs is out
-    lists = shared.groupBy("digest").agg(F.first("n").alias("n"), F.sum("m").alias("m"), F.collect_list(F.struct("shared", "often")).alias("parts")).where(f"100 * m >= {percent} * n")
-
-    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets, often = [], []
-            for parts in batch.column("parts").to_pylist():
-                sets.append(b"".join(p["shared"] for p in parts))
-                often.append(b"".join(p["often"] for p in parts))
-            yield pa.RecordBatch.from_arrays([batch.column("digest"), batch.column("n"), pa.array(sets, pa.binary()), pa.array(often, pa.binary())], ["digest", "n", "shared", "often"])
-
-    sets = materialise(lists.select("digest", "n", "parts").mapInArrow(joined, "digest binary, n bigint, shared binary, often binary"), "jaccard-lists")
-    sets = materialise(sets.join(classes.select("digest", F.col("class_id").alias("doc_id")), "digest").drop("digest"), "jaccard-candidates")
+    lists = materialise(shared, "jaccard-lists")
+    sets = materialise(lists.join(classes.select("digest", "class_id"), "digest").withColumnsRenamed({"digest": "k", "class_id": "doc_id"}), "jaccard-candidates")
+    release(lists)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            of, got = [], []
-            for doc_id, k, s, o in zip(*(batch.column(c) for c in ("doc_id", "n", "shared", "often")), strict=True):
-                got.append(signatures(np.frombuffer(s.as_buffer(), np.uint64), np.frombuffer(o.as_buffer(), "<u2"), k.as_py(), percent))
-                of.append(np.full(len(got[-1]), doc_id.as_py(), np.int64))
-            if got:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(got).view(np.int64)), pa.array(np.concatenate(of))], ["sig", "doc_id"])
+            got = [signatures(np.frombuffer(s.as_buffer(), np.uint64), np.frombuffer(o.as_buffer(), "<u2"), m.as_py(), percent) for s, o, m in zip(*(batch.column(c) for c in ("shared", "often", "n")), strict=True)]
+            row = np.repeat(np.arange(len(got)), [len(g) for g in got])
+            sig = np.concatenate([*got, np.empty(0, np.uint64)]).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(sig), *(batch.column(c).take(pa.array(row)) for c in ("k", "doc_id", "n", "weight"))], ["sig", "k", "doc_id", "n", "weight"])
 
-    signed = materialise(sets.mapInArrow(sign, "sig bigint, doc_id bigint").distinct(), "jaccard-signatures")
-    common = signed.groupBy("sig").agg(F.min("doc_id").alias("p"), F.max("doc_id").alias("q")).where("p <> q")
-    open_ = materialise(signed.join(common.select("sig"), "sig"), "jaccard-shared")
-
-    size = sets.groupBy("doc_id").agg(F.min("n").alias("least"), F.max("n").alias("most"))
-
-    def fits(pairs: DataFrame) -> DataFrame:
-        """Leaves the pairs whose sizes allow a link."""
-        for c in "ab":
-            pairs = pairs.join(size.withColumnsRenamed({"doc_id": c, "least": f"least_{c}", "most": f"most_{c}"}), c)
-        return pairs.where(f"100 * most_b >= {percent} * least_a AND 100 * most_a >= {percent} * least_b").select("a", "b")
+    signed = sets.mapInArrow(sign, "sig bigint, k binary, doc_id bigint, n bigint, weight bigint").withColumn("side", F.lit(0))
 
     # rows of one id are one document: it links the classes of all its sets, and itself if a row of it has no set
     again = rows.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("__rows")).where("__rows > 1").select("doc_id")
     repeated = rows.join(again, "doc_id", "left_semi").join(classes.select("digest", "class_id"), "digest", "left")
     links = materialise(repeated.select(F.col("doc_id").alias("a"), F.coalesce("class_id", "doc_id").alias("b")).where("a <> b").distinct(), "jaccard-repeats")
-    ids = open_.select("doc_id").union(links.select("a")).union(links.select("b")).distinct()
-    seen, found = None, None
-    for turn in range(PIVOT_ROUNDS + 1):
-        if turn < PIVOT_ROUNDS:
-            # the pivot of a signature: the least id, then the one of the least hash
-            pick = F.min(F.struct(F.col("doc_id").alias("k"), F.col("doc_id").alias("i"))) if not turn else F.min(F.struct(F.xxhash64("doc_id", F.lit(turn)).alias("k"), F.col("doc_id").alias("i")))
-            pivots = open_.groupBy("sig").agg(pick.alias("__p")).select("sig", F.col("__p.i").alias("p"))
-            pairs = open_.join(pivots, "sig")
-            if found is not None:
-                pairs = pairs.join(found.select(F.col("doc_id").alias("p"), F.col("component").alias("__c")), "p").where("__c <> component")
-            pairs = pairs.where("doc_id <> p").select(F.least("doc_id", "p").alias("a"), F.greatest("doc_id", "p").alias("b"))
-        else:
-            other = open_.select("sig", F.col("doc_id").alias("b"), F.col("component").alias("__c"))
-            pairs = open_.withColumnRenamed("doc_id", "a").join(other, "sig").where("a < b AND component <> __c").select("a", "b")
-        pairs = fits(pairs.distinct())
-        if seen is not None:
-            pairs = pairs.join(seen, ["a", "b"], "left_anti")
-        pairs = materialise(pairs, "jaccard-pairs")
-        more = materialise(_verified(sets, pairs, percent), "jaccard-links")
-        links = links.unionByName(more)
-        seen = pairs if seen is None else seen.unionByName(pairs)
-        found = components(links)
-        if turn == PIVOT_ROUNDS:
-            break
-        found = materialise(ids.join(found, "doc_id", "left").select("doc_id", F.coalesce("component", "doc_id").alias("component")), "jaccard-components")
-        labelled = open_.select("sig", "doc_id").join(found, "doc_id")
-        apart = labelled.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("sig")
-        open_ = materialise(labelled.join(apart, "sig"), "jaccard-shared")
-        if open_.isEmpty():
-            break
+    found = _linked(sets, signed, links, percent)
+    release(sets)
     of_class = classes.select("digest", "class_id").join(found.withColumnRenamed("doc_id", "class_id"), "class_id", "left")
     full = rows.where("n > 0").join(of_class, "digest", "left").select("doc_id", "n", "class_id", F.coalesce("component", "class_id").alias("own"))
     empty = rows.where("n = 0").join(found, "doc_id", "left").select("doc_id", "n", F.col("doc_id").alias("class_id"), F.coalesce("component", "doc_id").alias("own"))

@@ -10,7 +10,7 @@ import pytest
 
 from lumbung.llm import suffix_dedup
 from lumbung.llm.exact_dedup import OP2_SQL, exact_dedup, op2_exact_dedup
-from lumbung.llm.jaccard_join import components, jaccard_join, op9_jaccard_join, shingle_sets
+from lumbung.llm.jaccard_join import components, jaccard_join, op9_jaccard_join, shingle_sets, word_hashes
 from lumbung.llm.suffix_sort import suffix_order
 
 
@@ -145,6 +145,43 @@ def test_join_of_near_copies_and_common_passages(spark):
         assert joined(jaccard_join(df, size, percent)) == components_by_force(texts, size, percent)
 
 
+@pytest.mark.parametrize(("n", "percent", "length", "edits"), [(3, 90, 150, 5), (5, 80, 120, 9), (1, 60, 40, 12)])
+def test_join_of_a_large_group_of_near_copies(spark, n, percent, length, edits, monkeypatch):
+    """One text's many near copies, of which some link with it, some with each other and most with none; and copies of copies."""
+    from lumbung.llm import jaccard_join as module
+
+    rng = random.Random(length)
+    vocabulary = [f"w{i}" for i in range(60)]
+    base = [rng.choice(vocabulary) for _ in range(length)]
+    other = base[:]
+    for k in rng.sample(range(length), 2 * edits):
+        other[k] = rng.choice(vocabulary)
+    texts = {}
+    for i in range(260):
+        words = (base if i % 3 else other)[:]
+        for _ in range(rng.randint(0, edits)):
+            at, what = rng.randrange(len(words)), rng.randrange(6)
+            words[at : at + 1 + (what == 1)] = [] if what == 0 else [rng.choice(vocabulary)]
+        texts[1000 - i] = " ".join(words)
+    df = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    expected = components_by_force(texts, n, percent)
+    assert 1 < len({c for _, c in expected.values()}) < 250
+    assert joined(jaccard_join(df, n, percent)) == expected
+    monkeypatch.setattr(module, "FEW", 2)
+    assert joined(jaccard_join(df, n, percent)) == expected
+
+
+def test_words_of_equal_sums():
+    """Words that sums of powers cannot tell apart have fingerprints of their own."""
+    for size in (8, 64, 1024, 4096):
+        one = bytes(97 + bin(i).count("1") % 2 for i in range(size))
+        two = bytes(195 - b for b in one)
+        a, b, c = word_hashes(one + b" " + two + b"\n" + one).tolist()
+        assert a == c != b
+    words = [bytes(p) for k in range(1, 5) for p in itertools.product(b"ab\xff\x00", repeat=k)]
+    assert len(set(word_hashes(b" ".join(words)).tolist())) == len(words)
+
+
 def test_join_odd_rows(odd, none):
     assert jaccard_join(none, 3, 90).count() == 0
     rows = jaccard_join(odd, 3, 90).collect()
