@@ -7,9 +7,10 @@ is long enough. What is left is found in three steps, none of which sends all wi
 1. Anchors. Of each window's 26-byte runs the one of the least fingerprint is its anchor, wherever the window stands.
    Anchors that occur in one text only cannot be part of a repeat; they are found by their fingerprints alone.
 2. Shards. The stretch of bytes that an anchor's windows span goes to the shard of the anchor's fingerprint. Equal
-   stretches are one there, with the least id that has them.
-3. Suffix arrays. Each shard sorts all suffixes of its stretches with their common prefixes by induced sorting, in
-   memory; suffixes that share ``length`` bytes are neighbours, and the least id among them decides.
+   stretches are one there, with the least id that has them; an anchor with one stretch only has no other windows to be compared with.
+3. Suffix arrays. Each shard sorts all suffixes of its other stretches with their common prefixes by external induced sorting
+   (``suffix_sort``), whose queues and arrays are files; suffixes that share ``length`` bytes are neighbours, and the least id among
+   them decides.
 
 Null and empty texts have no bytes. Documents of one id do not count as smaller than each other. A null id neither
 removes nor is removed from. An empty table gives an empty result; columns beyond id and text are not read.
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumbung.llm.common import documents, materialise, text_of
-from lumbung.llm.suffix_sort import suffix_order
+from lumbung.llm.suffix_sort import Store, suffix_order
 
 LENGTH, ANCHOR = 50, 26
 #: Text bytes for each range of fingerprints and each shard, on average; a frequent anchor's shard is larger, and one task holds it.
@@ -157,7 +158,7 @@ def _anchor_blocks(texts: DataFrame, bits: int, length: int) -> DataFrame:
                     seen.add(key)
                 at, h = anchors(b, length)
                 if len(at):
-                    hashes.append(h)
+                    hashes.append(_mixed(h ^ _U(0xD1342543DE82EF95)))  # least fingerprints lie close together
                     places.append(at.astype("<u4"))
                     owners.append(np.full(len(at), len(keys), "<u4"))
                     keys.append(key)
@@ -207,27 +208,28 @@ def _shared_anchors(blocks: DataFrame) -> DataFrame:
 
 
 def _stretches(texts: DataFrame, bits: int, length: int) -> DataFrame:
-    """Blocks (shard, block) of the stretches around shared anchors: bytes, lengths, positions, text numbers, ids and keys."""
+    """Blocks (shard, block) of the stretches around shared anchors: bytes, lengths, positions, their anchors' places in them, text numbers, ids and keys."""
     around = length - ANCHOR
 
     def run(batches: Iterator) -> Iterator:
         for rows in _gathered(batches, "key", "first", "b", "places"):
-            shard, low, high, own = [], [], [], []
+            shard, low, high, own, offset = [], [], [], [], []
             for n, (_, _, b, places) in enumerate(rows):
                 at = np.unique(np.concatenate([np.frombuffer(x, "<u4") for x in places])).astype(np.int64)
                 h = _mixed(fingerprints(b, ANCHOR)[at] ^ _U(0x5851F42D4C957F2D))
                 shard.append((h >> _U(64 - bits)).astype(np.int32) if bits else np.zeros(len(h), np.int32))
                 low.append(np.maximum(at - around, 0))
+                offset.append((at - low[-1]).astype("u1"))
                 high.append(np.minimum(at + length, len(b)))
                 own.append(np.full(len(at), n, np.int64))
-            shard, low, high, own = map(np.concatenate, (shard, low, high, own))
+            shard, low, high, own, offset = map(np.concatenate, (shard, low, high, own, offset))
             order = np.lexsort((low, own, shard))
             parts, start = np.unique(shard[order], return_index=True)
             out = []
             for i in np.split(order, start[1:]):
                 used, local = np.unique(own[i], return_inverse=True)
                 data = b"".join([rows[n][2][a:z] for n, a, z in zip(own[i].tolist(), low[i].tolist(), high[i].tolist(), strict=True)])
-                out.append(_pack(np.frombuffer(data, np.uint8), (high[i] - low[i]).astype("<u2"), low[i].astype("<u4"), local.astype("<u4"), np.array([rows[n][1] for n in used], "<i8"), np.frombuffer(b"".join(rows[n][0] for n in used), "V16")))
+                out.append(_pack(np.frombuffer(data, np.uint8), (high[i] - low[i]).astype("<u2"), low[i].astype("<u4"), offset[i], local.astype("<u4"), np.array([rows[n][1] for n in used], "<i8"), np.frombuffer(b"".join(rows[n][0] for n in used), "V16")))
             yield _batch({"shard": (parts.tolist(), "int"), "block": (out, "binary")})
 
     return texts.select("key", "first", "b", "places").mapInArrow(run, "shard int, block binary")
@@ -238,21 +240,57 @@ def _runs(covered: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return edge[0::2], edge[1::2]
 
 
-def repeated(stretches: list[bytes], least: np.ndarray, length: int = LENGTH) -> np.ndarray:
-    """For distinct stretches with the least id that has each: at every position of their joined text, a byte apart, the
-    least id in which the ``length`` bytes from there start (the largest number where that many do not follow)."""
-    joined = np.frombuffer(b"\xff".join([*stretches, b""]), np.uint8)
-    sizes = np.array([len(s) + 1 for s in stretches])
-    ends = np.cumsum(sizes)
-    owner = np.repeat(np.arange(len(stretches), dtype=np.int32), sizes)
-    order, common = suffix_order(joined, length)
-    whole = order + length < ends[owner[order]]
-    ids = np.where(whole, least[owner[order]], np.iinfo(np.int64).max)
-    start = np.flatnonzero(np.concatenate([[True], common[1:] < length]))
-    best = np.repeat(np.minimum.reduceat(ids, start), np.diff(np.append(start, len(order))))
-    out = np.full(len(joined), np.iinfo(np.int64).max)
-    out[order[whole]] = best[whole]
-    return out
+def earlier_windows(stretches: list[bytes], least: np.ndarray, length: int = LENGTH, store: Store | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For distinct stretches with the least id that has each: (stretch, first, last) of all ``length`` bytes in them that also stand in one of a
+    smaller id; their places in neighbourhood are one run, but for the ends of blocks.
+
+    Their joined text and what is computed for each of its bytes are mapped files of the store.
+    """
+    store, none = store or Store(), np.iinfo(np.int64).max
+    sizes = np.array([len(s) + 1 for s in stretches], np.int64)
+    ends, step = np.cumsum(sizes), max(1, store.block // 64)
+    some = [slice(a, a + step) for a in range(0, len(stretches), step)]
+    text = store.listed((np.frombuffer(b"\xff".join([*stretches[x], b""]), np.uint8) for x in some), "u1")
+    owner = store.listed((np.repeat(np.arange(x.start, x.start + len(sizes[x])), sizes[x]) for x in some), "<i4")
+    order, common = suffix_order(text, length, store)
+
+    # the least id of suffixes that share the length: of the part up to a block's end, then of the whole run
+    best, carried = store.array(len(text), "<i8"), none
+    for a, z in store.blocks(len(text)):
+        at = np.array(order[a:z])
+        own = owner[at]
+        ids = np.where(at + length < ends[own], least[own], none)
+        start = np.flatnonzero(common[a:z] < length)
+        if not len(start) or start[0]:
+            start = np.append(0, start)
+            ids[0] = min(ids[0], carried)
+        runs = np.minimum.reduceat(ids, start)
+        best[a:z], carried = np.repeat(runs, np.diff(np.append(start, z - a))), runs[-1]
+    out = store.array(len(text), "<i8")
+    for a, z in store.blocks(len(text), down=True):
+        ids, at = np.array(best[a:z]), np.array(order[a:z])
+        if z < len(text) and common[z] >= length:
+            start = np.flatnonzero(common[a:z] < length)
+            ids[start[-1] if len(start) else 0 :] = carried
+        carried = ids[0]
+        out[at] = np.where(at + length < ends[owner[at]], ids, none)
+
+    found = [(np.empty(0, np.int64),) * 3]
+    for a, z in store.blocks(len(text)):
+        low, high = _runs(out[a:z] < least[owner[a:z]])
+        own = np.array(owner[a + low], np.int64)
+        begin = a - (ends - sizes)[own]
+        found.append((own, low + begin, high - 1 + begin))
+    return tuple(map(np.concatenate, zip(*found, strict=True)))
+
+
+def _not_alone(stretches: list[bytes], of: np.ndarray, offset: np.ndarray) -> np.ndarray:
+    """Numbers of the stretches around an anchor that other stretches are around, too; ``offset`` is where in stretch ``of`` an anchor stands."""
+    by: dict[bytes, list[int]] = {}
+    for pair in np.unique(of * 256 + offset).tolist():
+        n, at = divmod(pair, 256)
+        by.setdefault(stretches[n][at : at + ANCHOR], []).append(n)
+    return np.unique(np.array([n for some in by.values() if len(some) > 1 for n in some], np.int64))
 
 
 def _spans(blocks: DataFrame, length: int) -> DataFrame:
@@ -261,23 +299,22 @@ def _spans(blocks: DataFrame, length: int) -> DataFrame:
     def run(batches: Iterator) -> Iterator:
         for held in _by_key(batches, "shard", "block"):
             number: dict[bytes, int] = {}
-            of, at, ids, keys, base = [], [], [], [], 0
-            owns = []
+            of, at, ids, keys, base, owns, offsets = [], [], [], [], 0, [], []
             for block in held:
-                data, sizes, low, local, firsts, table = _unpack(block, "u1", "<u2", "<u4", "<u4", "<i8", "V16")
+                data, sizes, low, offset, local, firsts, table = _unpack(block, "u1", "<u2", "<u4", "u1", "<u4", "<i8", "V16")
                 data, ends = data.tobytes(), np.cumsum(sizes, dtype=np.int64)
                 of.append(np.array([number.setdefault(data[z - n : z], len(number)) for z, n in zip(ends.tolist(), sizes.tolist(), strict=True)], np.int64))
                 at.append(low.astype(np.int64))
+                offsets.append(offset)
                 ids.append(firsts[local])
                 owns.append(local.astype(np.int64) + base)
                 keys.append(table)
                 base += len(table)
-            of, at, ids, owns, keys = map(np.concatenate, (of, at, ids, owns, keys))
+            of, at, ids, owns, keys, offsets = map(np.concatenate, (of, at, ids, owns, keys, offsets))
             least = np.full(len(number), np.iinfo(np.int64).max)
             np.minimum.at(least, of, ids)
             stretches = list(number)
-            best = repeated(stretches, least, length)
-            offset = np.cumsum([0, *(len(s) + 1 for s in stretches)])
+            several = _not_alone(stretches, of, offsets)
             low, high, own = [], [], []
             later = ids > least[of]  # all of such a stretch starts in a smaller id
             sizes = np.array([len(s) for s in stretches])
@@ -285,16 +322,16 @@ def _spans(blocks: DataFrame, length: int) -> DataFrame:
             high.append(at[later] + sizes[of[later]])
             own.append(owns[later])
             # of the first to have a stretch, the windows that another stretch has earlier
-            places = np.flatnonzero(best < np.repeat(least, sizes + 1))
-            stretch = np.searchsorted(offset, places, side="right") - 1
+            stretch, first, last = earlier_windows([stretches[n] for n in several.tolist()], least[several], length)
+            stretch = several[stretch]
             firsts = np.flatnonzero(~later)
             firsts = firsts[np.argsort(of[firsts], kind="stable")]
             lo, hi = np.searchsorted(of[firsts], stretch, side="left"), np.searchsorted(of[firsts], stretch, side="right")
             times = hi - lo
             which = np.repeat(lo - (np.cumsum(times) - times), times) + np.arange(times.sum())
-            start = at[firsts[which]] + np.repeat(places - offset[stretch], times)
-            low.append(start)
-            high.append(start + length)
+            start = at[firsts[which]]
+            low.append(start + np.repeat(first, times))
+            high.append(start + np.repeat(last, times) + length)
             own.append(owns[firsts[which]])
             low, high, own = map(np.concatenate, (low, high, own))
             # by text, whatever its block
