@@ -19,12 +19,14 @@ from collections.abc import Iterator
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
-from lumbung.llm.common import documents, text_of
+from lumbung.llm.common import documents, known_words, text_of
 
 #: Stands for the end-of-word suffix inside pieces; byte-level alphabets have no such character.
 END = "\ue000"
 #: Remembered words, pieces and pairs of one worker; a full table starts anew.
 REMEMBER = 1 << 19
+#: Bytes of results after which a worker hands on what it has.
+BATCH_BYTES = 16 << 20
 
 
 class _Memo(dict):
@@ -54,6 +56,13 @@ class BacktrackingEncoder:
         model = spec["model"]
         if model.get("dropout") or model.get("byte_fallback") or model.get("continuing_subword_prefix"):
             raise ValueError("this encoder is for plain byte-level merges")
+        if any(t["normalized"] or t["single_word"] or t["lstrip"] or t["rstrip"] for t in spec["added_tokens"]):
+            raise ValueError("special tokens are taken as they stand in the text")
+        #: Whether words are cut here; with any other chain the library cuts whole texts.
+        self.by_word = known_words(spec)
+        self.byte_level = (spec.get("decoder") or {}).get("type") == "ByteLevel"
+        if spec.get("decoder") and not self.byte_level:
+            raise ValueError("the decoder of this file is not known")
         self.suffix = model.get("end_of_word_suffix") or ""
         vocab = {self._inner(k): v for k, v in model["vocab"].items()}
         self.rank: dict[tuple[int, int], int] = {}
@@ -168,9 +177,8 @@ class BacktrackingEncoder:
     ASCII = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^ \t\n\x0b\x0c\ra-z0-9]+")
 
     def _encode_word(self, word: bytes) -> bytes:
-        """Ids of a stretch without ASCII white space; no piece and no special token crosses such white space."""
-        text = word.decode("utf-8")
-        out = []
+        """Ids of a stretch that no piece and no special token crosses the ends of."""
+        out, text = [], word.decode("utf-8")
         for part in self.is_special.split(text) if self.is_special else [text]:
             if part in self.special:
                 out.append(self.special[part].to_bytes(4, "little"))
@@ -179,25 +187,28 @@ class BacktrackingEncoder:
         return b"".join(out)
 
     def _split(self, text: str) -> list[str]:
-        if text.isascii() and not any(c < "!" or c == "\x7f" for c in text):
+        if self.by_word and text.isascii() and not any(c < "!" or c == "\x7f" for c in text):
             return self.ASCII.findall(text.lower())
-        text = self.library.normalizer.normalize_str(text)
-        return [piece for piece, _ in self.library.pre_tokenizer.pre_tokenize_str(text)]
+        text = self.library.normalizer.normalize_str(text) if self.library.normalizer else text
+        return [piece for piece, _ in self.library.pre_tokenizer.pre_tokenize_str(text)] if self.library.pre_tokenizer else [text]
 
     def encode(self, text: bytes) -> bytes:
-        return b"".join(map(self.words.__getitem__, text.split()))
+        return b"".join(map(self.words.__getitem__, text.split())) if self.by_word else self._encode_word(text)
 
     def _offsets(self) -> None:
-        """Every id's text and a space after it in one block, with an offset for each id."""
+        """Every id's text in one block, with an offset for each id; and a space after it, where the file has no decoder."""
         names = {v: k.replace(END, self.suffix) for k, v in self.whole.items()} | {v: k for k, v in self.special.items()}
         names |= {v: k.replace(END, self.suffix) for v, k in self.text.items() if v not in names}
-        blobs = [names.get(i, "").encode() + b" " for i in range(max(names) + 1)]
+        own = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes whose sign is the character of that number
+        signs = {chr(b): b for b in own} | {chr(256 + n): b for n, b in enumerate(sorted(set(range(256)) - set(own)))}
+        raw = lambda name: bytes(map(signs.__getitem__, name)) if self.byte_level else name.encode() + b" "
+        blobs = [raw(names.get(i, "")) for i in range(max(names) + 1)]
         self.length = np.fromiter(map(len, blobs), np.int64, len(blobs))
         self.start = np.cumsum(self.length) - self.length
         self.blob = np.frombuffer(b"".join(blobs), np.uint8)
 
     def decode(self, ids: bytes) -> bytes:
-        """The library's decode() of a file without a decoder: the entries' texts with a space between them.
+        """The library's decode(): the entries' texts with a space between them, or the bytes that they stand for if the file's decoder is of bytes.
 
         Works in blocks, so that a very long text needs little more memory than its result.
         """
@@ -207,8 +218,8 @@ class BacktrackingEncoder:
             length = self.length[part]
             ends = np.cumsum(length)
             shift = np.repeat(self.start[part] - (ends - length), length)
-            out.append(self.blob[shift + np.arange(ends[-1])].tobytes())
-        return b"".join(out)[:-1]
+            out.append(self.blob[shift + np.arange(ends[-1] if len(ends) else 0)].tobytes())
+        return b"".join(out).decode("utf-8", "replace").encode() if self.byte_level else b"".join(out)[:-1]
 
 
 _ENCODERS: dict[str, BacktrackingEncoder] = {}
@@ -235,17 +246,24 @@ def encode_documents(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe, decodes = encoder(path), any(o.startswith("decoded") for o in outputs)
+        def made(batch: pa.RecordBatch, first: int) -> pa.RecordBatch:
+            some = batch.slice(first, len(counts)).columns[: len(keep)]
+            return pa.RecordBatch.from_arrays([*some, pa.array(counts, pa.int64()), *(pa.array(columns[o], kinds[o][1]) for o in outputs)], [*keep, "n_tokens", *outputs])
+
         for batch in batches:
-            counts, columns = [], {o: [] for o in outputs}
+            first, size, counts, columns = 0, 0, [], {o: [] for o in outputs}
             for text in batch.column("__text").cast(pa.binary()):
+                if size > BATCH_BYTES:
+                    yield made(batch, first)
+                    first, size, counts, columns = first + len(counts), 0, [], {o: [] for o in outputs}
                 ids = bpe.encode(text.as_py())
                 decoded = bpe.decode(ids) if decodes else b""
                 counts.append(len(ids) // 4)
                 for o, to in columns.items():
                     value = ids if o.startswith("ids") else decoded
                     to.append(hashlib.sha256(value).hexdigest() if o.endswith("sha256") else value if o == "ids" else value.decode("utf-8"))
-            made = [pa.array(counts, pa.int64()), *(pa.array(columns[o], kinds[o][1]) for o in outputs)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *made], [*keep, "n_tokens", *outputs])
+                    size += len(to[-1])
+            yield made(batch, first)
 
     return source.mapInArrow(run, schema)
 

@@ -27,10 +27,10 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lumbung.llm.common import shared_folder, text_of
+from lumbung.llm.common import known_words, shared_folder, text_of
 
-#: Bytes after which a task begins another shard.
-SHARD_BYTES = 64 << 20
+#: Bytes and records after which a task begins another shard.
+SHARD_BYTES, SHARD_RECORDS = 64 << 20, 1 << 16
 #: Words that a worker remembers; a full table starts anew.
 REMEMBER = 1 << 19
 #: Fixed value of the record format: what is added to a rotated checksum.
@@ -142,12 +142,12 @@ def _files(uri: str):
 
 
 class LibraryWords:
-    """Ids through the tokenizers library, a word at a time.
+    """Ids through the tokenizers library, a word at a time where the vocabulary file allows it.
 
-    Every piece and special token of the vocabulary file lies within a stretch without ASCII white space, and so
+    In a file whose chain is the one of ``common``, every piece and special token of the vocabulary file lies within a stretch without ASCII white space, and so
     the ids of a text are those of its stretches, in order; each worker encodes a stretch once while it remembers it.
     Stretches of plain Latin letters and signs are cut into the pieces of the file's own pattern first, and the library's model
-    encodes each piece once; the library's whole chain takes the others.
+    encodes each piece once; the library's whole chain takes the others. With any other file it takes whole texts.
     """
 
     #: The file's pre-tokenising pattern over lower-cased text of these letters; a line end stands between stretches.
@@ -166,11 +166,13 @@ class LibraryWords:
         self.library.no_padding()
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        self.model = Tokenizer.from_str(json.dumps(spec | {"normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}, "added_tokens": []}))
+        suffix = spec["model"].get("end_of_word_suffix")
+        self.by_word = bool(suffix) and known_words(spec)
         ids = [*spec["model"]["vocab"].values(), *(t["id"] for t in spec["added_tokens"]), end_id]
         self.width = 2 if max(ids) < 1 << 16 else 4
-        if not (suffix := spec["model"].get("end_of_word_suffix")):
-            raise ValueError("pieces are told apart by the vocabulary's end-of-word suffix")
+        if not self.by_word:
+            return
+        self.model = Tokenizer.from_str(json.dumps(spec | {"normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}, "added_tokens": []}))
         self.ends = np.zeros(max(ids) + 1, bool)
         self.ends[[v for k, v in spec["model"]["vocab"].items() if k.endswith(suffix)]] = True
         self.known: dict[bytes, bytes] = {}
@@ -224,6 +226,11 @@ class LibraryWords:
             upto, size = at, 0
             while upto < len(texts) and (upto == at or size < block):
                 size, upto = size + len(texts[upto]), upto + 1
+            if not self.by_word:
+                for e in self.library.encode_batch_fast([t.decode("utf-8") for t in texts[at:upto]], add_special_tokens=False):
+                    yield self._bytes(e.ids)
+                at = upto
+                continue
             split = [t.split() for t in texts[at:upto]]
             new = set().union(*split).difference(self.known)
             if len(self.known) + len(new) > REMEMBER:
@@ -239,7 +246,7 @@ class LibraryWords:
 _WORDS: dict[tuple[str, int], LibraryWords] = {}
 
 
-def write_records(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 1, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+def write_records(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 1, shard_bytes: int = SHARD_BYTES, shard_records: int = SHARD_RECORDS) -> DataFrame:
     """Encodes every text and writes shards under ``folder``/shards and the index under ``folder``/index; returns the index.
 
     Text goes through one shuffle, into ranges of the id, and is encoded after it: ranges come from a sample of
@@ -266,22 +273,22 @@ def write_records(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 1,
         store.create_dir(root, recursive=True)
         attempt = uuid.uuid4().hex
         out = name = None
-        shard, offset, seen = -1, 0, 0
+        shard, offset, seen, held = -1, 0, 0, 0
         try:
             for batch in batches:
                 rows = []
                 texts = [x.as_py() for x in batch.column("__text").cast(pa.binary())]
                 for record in frames([begin + ids + end for ids in words.encode(texts)]):
-                    if out is None or offset and offset + len(record) > shard_bytes:
+                    if out is None or held == shard_records or offset and offset + len(record) > shard_bytes:
                         if out is not None:
                             out.close()
-                        shard, offset = shard + 1, 0
+                        shard, offset, held = shard + 1, 0, 0
                         name = f"{task:06d}-{shard:04d}-{attempt}.rec"
                         out = store.open_output_stream(f"{root}/{name}")
                     out.write(record)
                     n = (len(record) - 17) // words.width
                     rows.append((shard, name, offset, len(record), n, seen))
-                    offset, seen = offset + len(record), seen + n
+                    offset, seen, held = offset + len(record), seen + n, held + 1
                 cols = list(zip(*rows, strict=True)) or [()] * 6
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([task] * len(rows), pa.int32()), pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.string()), batch.column("doc_id"), *(pa.array(c, pa.int64()) for c in cols[2:])],
@@ -299,7 +306,7 @@ def write_records(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 1,
 def read_records(spark: SparkSession, folder: str, shuffle_seed: int | None = None) -> DataFrame:
     """The records of a folder, read from its shards: task, shard, offset, task_start, doc_id, n_tokens, ids, ids_crc32.
 
-    One row of index entries a shard tells a task what to read; a shard is bounded, so the row is. With
+    One row of index entries a shard tells a task what to read; a shard is bounded in bytes and in records, so the row is. With
     ``shuffle_seed`` each shard's records come in a random order, read by their offsets, and shards are dealt out
     at random; without it a shard is read from its beginning to its end.
     """

@@ -1,7 +1,6 @@
 """Records (1) and byte-pair encoding (8) against the library."""
 
 import hashlib
-import os
 import random
 import zlib
 
@@ -99,4 +98,29 @@ def test_odd_rows(spark, odd, none, tokenizer_path, library):
             by = {r["doc_id"]: r for r in out}
             assert by[1]["n_tokens"] == by[2]["n_tokens"] == by[3]["n_tokens"] == 0 and by[1]["decoded"] == ""
             assert bytes(by[4]["ids"]) == ids_of(library, odd.where("doc_id = 4").first()["text"])
-    assert os.path.isdir("/tmp")
+
+
+def test_another_tokenizer_file(spark, docs, texts, odd):
+    """A byte-level file with other pieces: the library's own chain cuts the texts."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library = Tokenizer.from_file(path)
+    words = records.LibraryWords(path, 50256)
+    assert not words.by_word
+    some = [*list(texts.values())[:150], "", "a  b\n\n c<|endoftext|>d \u00e9\u6f22\U0001f600", "'ll we've\t x"]
+    got = [np.frombuffer(x, f"<u{words.width}").astype("<u4").tobytes() for x in words.encode([t.encode() for t in some])]
+    assert got == [ids_of(library, t) for t in some] == [encoder(path).encode(t.encode()) for t in some]
+    for t, ids in zip(some, got, strict=True):
+        assert encoder(path).decode(ids).decode() == library.decode(np.frombuffer(ids, "<u4").tolist(), skip_special_tokens=False) == t
+    cut = got[-2][:-4]  # ends within a character
+    assert encoder(path).decode(cut).decode() == library.decode(np.frombuffer(cut, "<u4").tolist(), skip_special_tokens=False)
+
+
+def test_shards_of_many_empty_records(spark, tokenizer_path):
+    folder = shared_folder(spark, "test-many")
+    df = spark.range(0, 3000, 1, 2).selectExpr("id AS doc_id", "'' AS text")
+    index = records.write_records(df, tokenizer_path, folder, shard_records=100)
+    assert index.groupBy("file").count().agg({"count": "max"}).first()[0] == 100
+    assert records.read_records(spark, folder).where("n_tokens = 1").count() == 3000
