@@ -5,6 +5,7 @@ average. Each document's number of copies is the inverse of that Poisson distrib
 from its id, so any part of the data can be drawn again alone and repeats by chance neither vanish nor pile up.
 Copies are then put in a global random order: each has a hashed key, is dealt out by it and sorted by it.
 
+Rates are rounded to nine significant digits, so that a small one stays positive and any engine gets the same one.
 A source's mass is the code points of its texts, over all documents. A null source is a source of its own, a null or
 empty text has no mass; a source without mass gets a rate of 1. Rows that repeat an id share its number; a null
 id is replaced by the text's digest. A source with weight 0 gives no rows, as does an empty table.
@@ -24,17 +25,19 @@ SEED = 7
 
 def rates(docs: DataFrame, weights: dict[str | None, float] | None = None, total_mass: float | None = None, temperature: float = TEMPERATURE) -> DataFrame:
     """One row a source: source, mass, rate and cdf, the distribution function of the copies from 0 until it is 1."""
-    sums = docs.groupBy("source").agg(F.sum(F.length(text_of(docs))).cast("bigint").alias("mass"))
     spark = docs.sparkSession
+    sums = materialise(docs.groupBy("source").agg(F.sum(F.length(text_of(docs))).cast("bigint").alias("mass")), "mixing-mass")
     if weights is None:
         weighed = sums.withColumn("weight", F.pow(F.col("mass").cast("double"), F.lit(temperature)))
     else:
         given = spark.createDataFrame([(k, float(v)) for k, v in weights.items()], "source string, weight double").withColumnRenamed("source", "__source")
         weighed = sums.join(given, F.expr("source <=> __source"), "left").drop("__source").na.fill(0.0, ["weight"])
-    totals = weighed.agg(F.sum("weight").alias("all_weight"), F.sum("mass").alias("all_mass"))
-    target = F.lit(float(total_mass)) if total_mass is not None else F.col("all_mass")
-    rate = F.when(F.col("mass") == 0, 1.0).otherwise(F.round(F.col("weight") / F.col("all_weight") * target / F.col("mass"), 6))
-    out = weighed.join(totals).select("source", "mass", rate.alias("rate"))
+    all_weight, all_mass = weighed.agg(F.sum("weight"), F.sum("mass")).first()
+    target = float(total_mass if total_mass is not None else all_mass or 0)
+    exact = F.col("weight") / F.lit(all_weight or 1.0) * F.lit(target) / F.col("mass")
+    digits = F.pow(F.lit(10.0), 8 - F.floor(F.log10(exact)))
+    rate = F.when(F.col("mass") == 0, 1.0).when(exact > 0, F.round(exact * digits) / digits).otherwise(0.0)
+    out = weighed.select("source", "mass", rate.alias("rate"))
     # terms of the distribution from their logarithms, so that no rate is too large
     last = (F.col("rate") + 12 * F.sqrt("rate") + 40).cast("int")
     term = lambda a, k: a["log"] + F.ln("rate") - F.ln(k.cast("double"))
@@ -70,8 +73,8 @@ OP7_SQL = r"""
 WITH m AS (SELECT source, CAST(sum(length(coalesce(text, ''))) AS BIGINT) AS mass FROM documents GROUP BY source),
 w AS (SELECT source, mass, pow(CAST(mass AS DOUBLE), 0.5) AS weight FROM m),
 r AS (
-  SELECT source, CASE WHEN mass = 0 THEN 1.0 ELSE round(weight / (SELECT sum(weight) FROM w) * CAST((SELECT sum(mass) FROM w) AS DOUBLE) / mass, 6) END AS rate
-  FROM w),
+  SELECT source, CASE WHEN mass = 0 THEN 1.0 ELSE round(exact * pow(10.0, 8 - floor(log10(exact)))) / pow(10.0, 8 - floor(log10(exact))) END AS rate
+  FROM (SELECT source, mass, weight / (SELECT sum(weight) FROM w) * CAST((SELECT sum(mass) FROM w) AS DOUBLE) / mass AS exact FROM w)),
 terms AS (SELECT source, rate, k, exp(-rate + k * ln(rate) - lgamma(k + 1)) AS term FROM r, range(0, 100) AS g(k)),
 cdf AS (SELECT source, rate, k, sum(term) OVER (PARTITION BY source ORDER BY k) AS c FROM terms),
 u AS (
