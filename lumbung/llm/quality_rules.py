@@ -2,8 +2,9 @@
 
 Every text's counts are computed in its own row. Each ratio's distribution within (language, source) is kept as a
 mergeable sketch: counts of logarithmic bins with 32 steps to each doubling, so sketches of parts add up to the sketch
-of the whole and a quantile is within 1/32 of its value. A group of few documents uses its language's sketch, and a
-language of few documents the sketch of all. A ratio fails when it lies beyond the quartiles by several interquartile
+of the whole and a quantile is within 1/32 of its value. A group's quartiles are blended with its language's as if ``PRIOR_DOCS``
+documents of the language had come with its own, and a language's likewise with those of all, so a limit moves smoothly
+from the wider sketch to the group's own as the group grows. A ratio fails when it lies beyond the quartiles by several interquartile
 ranges; small spreads count as a stated least spread, so that clean documents of uniform groups stay.
 
 Null and empty texts have no words: all counts are 0 and the base rule rejects them. Null languages and sources are
@@ -23,11 +24,11 @@ from lumbung.llm.common import SPACE, SPACE_CHARS, documents, materialise, text_
 RATIOS: dict[str, tuple[str, str, str, int, int]] = {
     "symbols": ("n_symbols", "word_chars", "high", 4, 10_000),
     "dup_lines": ("n_dup_lines", "n_lines", "high", 4, 100_000),
-    "repeats": ("n_repeat_words", "n_words", "high", 4, 50_000),
+    "repeats": ("n_repeat_words", "n_words", "high", 4, 20_000),
     "word_length": ("word_chars", "n_words", "both", 4, 1_000_000),
 }
-#: Documents below which a sketch gives way to the next wider one.
-LEAST_DOCS = 100
+#: Documents that the next wider sketch counts for beside a group's own.
+PRIOR_DOCS = 100
 MILLION = 1_000_000
 
 
@@ -106,8 +107,8 @@ def sketches(counts: DataFrame) -> DataFrame:
     return each.groupBy("lang", "source", "name", "bin").agg(F.count(F.lit(1)).alias("n"))
 
 
-def limits(sketch: DataFrame, least_docs: int = LEAST_DOCS) -> DataFrame:
-    """(lang, source) and the limits low_<ratio>, high_<ratio> of each group, from its own or a wider sketch."""
+def limits(sketch: DataFrame, prior_docs: int = PRIOR_DOCS) -> DataFrame:
+    """(lang, source) and the limits low_<ratio>, high_<ratio> of each group, from its own and the wider sketches."""
     lang = sketch.groupBy("lang", "name", "bin").agg(F.sum("n").alias("n"))
     every = lang.groupBy("name", "bin").agg(F.sum("n").alias("n"))
     groups = sketch.select("lang", "source").distinct()
@@ -133,8 +134,9 @@ def limits(sketch: DataFrame, least_docs: int = LEAST_DOCS) -> DataFrame:
     for by, s, level in ((["lang", "source"], sketch, "own"), (["lang"], lang, "wide"), ([], every, "all")):
         q = quartiles(s, by, level)
         names = names.join(q, same(names, q, by), "left").select(*[names[c] for c in names.columns], q[level])
-    chosen = F.when(F.col("own.docs") >= least_docs, F.col("own")).when(F.col("wide.docs") >= least_docs, F.col("wide")).otherwise(F.col("all"))
-    names = names.select("lang", "source", "name", chosen.alias("q"))
+    blend = lambda near, far, q: f"({near}.docs * {near}.{q} + {prior_docs} * {far}.{q}) DIV ({near}.docs + {prior_docs})"
+    names = names.withColumn("wide", F.expr(f"named_struct('q1', {blend('wide', 'all', 'q1')}, 'q3', {blend('wide', 'all', 'q3')})"))
+    names = names.select("lang", "source", "name", F.expr(f"named_struct('q1', {blend('own', 'wide', 'q1')}, 'q3', {blend('own', 'wide', 'q3')})").alias("q"))
     least = F.create_map(*[F.lit(x) for k, v in RATIOS.items() for x in (k, v[4])])
     times = F.create_map(*[F.lit(x) for k, v in RATIOS.items() for x in (k, v[3])])
     both = F.create_map(*[F.lit(x) for k, v in RATIOS.items() for x in (k, v[2] == "both")])
@@ -146,7 +148,7 @@ def limits(sketch: DataFrame, least_docs: int = LEAST_DOCS) -> DataFrame:
     return names.groupBy("lang", "source").agg(*picks)
 
 
-def quality_rules(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",), least_docs: int = LEAST_DOCS) -> DataFrame:
+def quality_rules(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",), prior_docs: int = PRIOR_DOCS) -> DataFrame:
     """The carried columns with the counts, base_failed, failed (names of the failed ratios) and kept."""
     needed = tuple(dict.fromkeys((*carry, "lang", "source")))
     counts = base_counts(docs, needed)
@@ -155,7 +157,7 @@ def quality_rules(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",), least_d
     else:
         counts = materialise(counts, "quality-counts")
         sketch = sketches(counts)
-    limit = materialise(limits(materialise(sketch, "quality-sketches"), least_docs), "quality-limits")
+    limit = materialise(limits(materialise(sketch, "quality-sketches"), prior_docs), "quality-limits")
     joined = counts.join(limit.withColumnsRenamed({"lang": "__lang", "source": "__source"}), F.expr("lang <=> __lang AND source <=> __source"), "left")
     failed = [F.expr(f"CASE WHEN {ratio(k)} > high_{k} OR {ratio(k)} < low_{k} THEN '{k}' END") for k in RATIOS]
     joined = joined.withColumn("failed", F.when(F.col("base_failed"), F.array(F.lit("base"))).otherwise(F.array_compact(F.array(*failed))))
