@@ -433,7 +433,7 @@ def _apart(groups: DataFrame, found: DataFrame) -> DataFrame:
     return materialise(rows.join(ends, "sig", "left_semi"), "jaccard-apart")
 
 
-def _linked(sets: DataFrame, signed: DataFrame, links: DataFrame, percent: int) -> DataFrame:
+def _linked(sets: DataFrame, ids: DataFrame, signed: DataFrame, links: DataFrame, percent: int) -> DataFrame:
     """(doc_id, component) of all documents in links: those given and those between sets of a signature."""
     w, lost = 100 + percent, 100 - percent
     # P's own unshared shingles are in no other set, and count for P alone
@@ -459,6 +459,10 @@ def _linked(sets: DataFrame, signed: DataFrame, links: DataFrame, percent: int)
         found = materialise(components(links), "jaccard-components")
         apart = _apart(groups, found)
         release(groups, near, beside)
+        if turn == 0:  # few sets are still of interest
+            members = apart.select("k").union(apart.select("p")).distinct()
+            sets = materialise(sets.join(members, "k", "left_semi"), "jaccard-open")
+            old.append(sets)
         last = turn == ROUNDS - 1
         few = apart if last else apart.where(f"size <= {FEW}")
         if not few.isEmpty():
@@ -481,7 +485,7 @@ def _linked(sets: DataFrame, signed: DataFrame, links: DataFrame, percent: int)
         inner = F.struct(F.lit(1).alias("kind"), F.lit(1).alias("side"), up(F.col("s") - F.col("m_s") + 1).alias("need"))
         across = F.struct(F.lit(1).alias("kind"), F.lit(2).alias("side"), up(F.col("s") + F.col("m_s")).alias("need"))
         ranked = ranked.withColumn("how", F.explode(F.when(inside, F.array(inner)).otherwise(F.array(outer, across)))).where("place <= all - how.need + 1")
-        signed = ranked.select(F.xxhash64("p", "d", "how.kind").alias("sig"), "k", F.col("how.side").alias("side")).join(sets.select("k", "doc_id", "n", "weight"), "k").select("sig", "k", "doc_id", "n", "weight", "side")
+        signed = ranked.select(F.xxhash64("p", "d", "how.kind").alias("sig"), "k", F.col("how.side").alias("side")).join(sets.select("k", "n", "weight").join(ids, "k"), "k").select("sig", "k", "doc_id", "n", "weight", "side")
         old.append(listed)
     if pairwise:
         rows = None
@@ -509,25 +513,24 @@ def jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     total = classes.agg(F.sum("n")).first()[0] or 0
     bits = (-(-total // RANGE_ITEMS) - 1).bit_length() if total else 0
     shared = _shared_shingles(docs.where(docs["doc_id"].isNotNull()), n, percent, bits)
-    lists = materialise(shared, "jaccard-lists")
-    sets = materialise(lists.join(classes.select("digest", "class_id"), "digest").withColumnsRenamed({"digest": "k", "class_id": "doc_id"}), "jaccard-candidates")
-    release(lists)
+    sets = materialise(shared.withColumnRenamed("digest", "k"), "jaccard-candidates")
+    ids = materialise(sets.select("k").join(classes.select(F.col("digest").alias("k"), F.col("class_id").alias("doc_id")), "k"), "jaccard-ids")
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             got = [signatures(np.frombuffer(s.as_buffer(), np.uint64), np.frombuffer(o.as_buffer(), "<u2"), m.as_py(), percent) for s, o, m in zip(*(batch.column(c) for c in ("shared", "often", "n")), strict=True)]
             row = np.repeat(np.arange(len(got)), [len(g) for g in got])
             sig = np.concatenate([*got, np.empty(0, np.uint64)]).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(sig), *(batch.column(c).take(pa.array(row)) for c in ("k", "doc_id", "n", "weight"))], ["sig", "k", "doc_id", "n", "weight"])
+            yield pa.RecordBatch.from_arrays([pa.array(sig), *(batch.column(c).take(pa.array(row)) for c in ("k", "n", "weight"))], ["sig", "k", "n", "weight"])
 
-    signed = sets.mapInArrow(sign, "sig bigint, k binary, doc_id bigint, n bigint, weight bigint").withColumn("side", F.lit(0))
+    signed = sets.mapInArrow(sign, "sig bigint, k binary, n bigint, weight bigint").join(ids, "k").select("sig", "k", "doc_id", "n", "weight", F.lit(0).alias("side"))
 
     # rows of one id are one document: it links the classes of all its sets, and itself if a row of it has no set
     again = rows.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("__rows")).where("__rows > 1").select("doc_id")
     repeated = rows.join(again, "doc_id", "left_semi").join(classes.select("digest", "class_id"), "digest", "left")
     links = materialise(repeated.select(F.col("doc_id").alias("a"), F.coalesce("class_id", "doc_id").alias("b")).where("a <> b").distinct(), "jaccard-repeats")
-    found = _linked(sets, signed, links, percent)
-    release(sets)
+    found = _linked(sets, ids, signed, links, percent)
+    release(sets, ids)
     of_class = classes.select("digest", "class_id").join(found.withColumnRenamed("doc_id", "class_id"), "class_id", "left")
     full = rows.where("n > 0").join(of_class, "digest", "left").select("doc_id", "n", "class_id", F.coalesce("component", "class_id").alias("own"))
     empty = rows.where("n = 0").join(found, "doc_id", "left").select("doc_id", "n", F.col("doc_id").alias("class_id"), F.coalesce("component", "doc_id").alias("own"))
