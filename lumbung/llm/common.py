@@ -72,14 +72,26 @@ def unpacked(rows: DataFrame, like: DataFrame) -> DataFrame:
     return rows.select(*[F.col(c) if c in CORE else F.col("__rest").getField(c).alias(c) for c in like.columns])
 
 
-#: Rows of a side that may be sent to all executors; a side of more is joined by a shuffle.
-BROADCAST_ROWS = 1 << 20
-
-
-def checked_broadcast(df: DataFrame, purpose: str, most: int = BROADCAST_ROWS) -> DataFrame:
-    """A narrow table, written out and counted: sent to all executors if it has ``most`` rows at most, else as it is."""
-    out = materialise(df, purpose)
-    return F.broadcast(out) if out.count() <= most else out
+#: Bits of a table of hashes; it has at most this / 32768 rows of 4 KB each, whatever it is made of, and so can be sent to all executors.
+HASH_BITS = 1 << 26
+
+
+def hash_bits(keys: DataFrame, key: Column, purpose: str) -> DataFrame:
+    """Which hashes modulo HASH_BITS occur among some keys: 8 MB at most."""
+    place = F.pmod(key, F.lit(HASH_BITS)) + 1
+    table = keys.select(place.alias("p")).groupBy(F.bitmap_bucket_number("p").alias("__bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("__bits"))
+    return F.broadcast(materialise(table, purpose))
+
+
+def with_maybe(rows: DataFrame, key: Column, bits: DataFrame, name: str) -> DataFrame:
+    """``rows`` with a boolean: false if the key is surely not among those of ``bits``, else true."""
+    place = F.pmod(key, F.lit(HASH_BITS)) + 1
+    out = rows.withColumn("__place", place)
+    out = out.join(bits, F.bitmap_bucket_number("__place") == bits["__bucket"], "left")
+    at = F.bitmap_bit_position("__place")
+    byte = F.conv(F.hex(F.substring("__bits", (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    bit = F.shiftright(byte, 0).bitwiseAND(F.expr("shiftleft(1, CAST(bitmap_bit_position(__place) % 8 AS INT))")) != 0
+    return out.withColumn(name, F.coalesce(bit, F.lit(False))).drop("__place", "__bucket", "__bits")
 
 
 #: The normal form and the pieces of the vocabulary file whose words ``records`` and ``bpe`` cut by themselves.

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lumbung.llm.common import SPACE, checked_broadcast, documents, materialise, text_of
+from lumbung.llm.common import SPACE, documents, hash_bits, materialise, text_of, with_maybe
 
 PREFIX_CHARS = 256
 
@@ -67,31 +67,36 @@ def exact_dedup(docs: DataFrame, carry: tuple[str, ...] = (), digest_all: bool =
 def first_of_each(docs: DataFrame, prefix_chars: int = PREFIX_CHARS) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns, by the same refinement and the same choice.
 
-    ``docs`` is what ``packed`` makes. It is scanned for lengths and prefixes, for the full hashes of survivors, and for the result;
-    texts stay where they are as long as the surviving prefixes and the rows to drop are few enough to be sent out.
+    ``docs`` is what ``packed`` makes. It is scanned for lengths and prefixes, for the full hashes of survivors, and for the result. What is asked of
+    each row (does its prefix occur again, is it one to drop) is looked up in tables of bits of a fixed size, which are never wrong about a no; so
+    texts stay where they are but for those of rows to drop and a few others, which an exact join judges.
     """
     text = text_of(docs)
     keyed = docs.withColumns({"__plain": normalised(text), "__points": F.length(text)})
     keyed = keyed.withColumns({"__length": F.length("__plain"), "__prefix": F.xxhash64(F.substring("__plain", 1, prefix_chars))})
     counts = materialise(keyed.groupBy("__length", "__prefix").agg(F.count(F.lit(1)).alias("__count")), "exact-counts")
     lengths = counts.groupBy("__length").agg(F.sum("__count").alias("__all")).where("__all > 1").select("__length")
-    prefixes = counts.where("__count > 1").join(lengths, "__length", "left_semi").select("__length", "__prefix", F.lit(True).alias("__survives"))
-    prefixes = checked_broadcast(prefixes, "exact-prefixes")
-    hashed = keyed.join(prefixes, ["__length", "__prefix"], "left").withColumn("__full", F.when(F.col("__survives"), F.sha2("__plain", 256)))
+    prefixes = counts.where("__count > 1").join(lengths, "__length", "left_semi").select("__length", "__prefix")
+    key = F.xxhash64("__length", "__prefix")
+    hashed = with_maybe(keyed, key, hash_bits(prefixes, key, "exact-prefixes"), "__survives").withColumn("__full", F.when(F.col("__survives"), F.sha2("__plain", 256)))
 
-    rows = materialise(hashed.where("__survives").select("doc_id", "__points", "__full", F.monotonically_increasing_id().alias("__row")), "exact-survivors")
-    best = F.min(F.struct((-F.col("__points")).alias("p"), F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("i"), F.col("__row").alias("r"))).alias("__best")
+    rows = materialise(hashed.where("__survives").select("doc_id", "__points", "__full", F.xxhash64("__rest").alias("__tie"), F.monotonically_increasing_id().alias("__row")), "exact-survivors")
+    best = F.min(F.struct((-F.col("__points")).alias("p"), F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("i"), F.col("__tie").alias("t"), F.col("__row").alias("r"))).alias("__best")
     groups = rows.groupBy("__full").agg(F.count(F.lit(1)).alias("__size"), best).where("__size > 1").select("__full", F.col("__best.r").alias("__keeper"))
     judged = rows.join(groups, "__full").groupBy("doc_id", "__full").agg(F.count_if(F.col("__row") == F.col("__keeper")).alias("__stay"), F.count(F.lit(1)).alias("__n"))
-    marks = materialise(judged.where("__stay < __n"), "exact-marks").withColumnsRenamed({"doc_id": "__id", "__full": "__gone"})
+    marks = materialise(judged.where("__stay < __n").select(F.col("doc_id").alias("__id"), F.col("__full").alias("__gone"), "__stay"), "exact-marks")
+    bits = hash_bits(marks, F.xxhash64("__id", "__gone"), "exact-gone")
+    looked = with_maybe(hashed, F.xxhash64("doc_id", "__full"), bits, "__maybe")
+    surely = looked.where(~F.col("__maybe")).select(*docs.columns)
+    doubtful = looked.where("__maybe").select(*docs.columns, "__points", "__full", F.xxhash64("__rest").alias("__tie"))
     same = F.expr("doc_id <=> __id AND __full = __gone")
-    kept = hashed.join(checked_broadcast(marks, "exact-gone"), same, "left_anti").select(*docs.columns)
+    kept = surely.unionByName(doubtful.join(marks, same, "left_anti").select(*docs.columns))
     one_of = marks.where("__stay = 1").select("__id", "__gone")
     if one_of.isEmpty():
         return kept
-    # an id that repeats among equal texts: of its rows one stays
-    again = hashed.join(checked_broadcast(one_of, "exact-repeated"), same, "left_semi")
-    place = F.row_number().over(Window.partitionBy("doc_id", "__full").orderBy(F.desc("__points")))
+    # an id that repeats among equal texts: of its rows one stays, by its length and then by its other columns
+    again = doubtful.join(one_of, same, "left_semi")
+    place = F.row_number().over(Window.partitionBy("doc_id", "__full").orderBy(F.desc("__points"), "__tie", *[c for c in ("text", "lang", "source")]))
     return kept.unionByName(again.withColumn("__k", place).where("__k = 1").select(*docs.columns))
 
 
