@@ -2,7 +2,10 @@
 
 import hashlib
 import itertools
+import os
 import random
+import subprocess
+import sys
 from collections import defaultdict
 
 import numpy as np
@@ -11,7 +14,8 @@ import pytest
 from lumbung.llm import suffix_dedup
 from lumbung.llm.exact_dedup import OP2_SQL, exact_dedup, op2_exact_dedup
 from lumbung.llm.jaccard_join import components, jaccard_join, op9_jaccard_join, shingle_sets, word_hashes
-from lumbung.llm.suffix_sort import suffix_order
+from lumbung.llm.suffix_dedup import earlier_windows
+from lumbung.llm.suffix_sort import Store, suffix_order
 
 
 def test_op2_is_the_sql(spark, sf_dir, duck, same_rows):
@@ -77,17 +81,78 @@ def test_op4_odd_rows(odd, none):
     assert all(r["n_removed"] == 0 for r in rows if r["doc_id"] is None)
 
 
+def check_order(t, depth, store):
+    order, common = suffix_order(np.frombuffer(t, np.uint8), depth, store)
+    assert np.array_equal(np.sort(order), np.arange(len(t)))
+    heads = [t[i : i + depth] for i in order.tolist()]
+    for i in range(1, len(t)):
+        a, b = heads[i - 1], heads[i]
+        k = next((k for k in range(min(len(a), len(b))) if a[k] != b[k]), min(len(a), len(b)))
+        assert a <= b and common[i] == k
+
+
 def test_suffix_order_by_force():
     rng = random.Random(9)
     for n in [*range(0, 40), 60, 90]:
         for alphabet, depth in itertools.product((1, 2, 4), (3, 100)):
-            t = bytes(97 + rng.randrange(alphabet) for _ in range(n))
-            order, common = suffix_order(np.frombuffer(t, np.uint8), depth, base_names=rng.choice([0, 1000]), queue_bytes=rng.choice([0, 1 << 20]))
-            assert sorted(order.tolist()) == list(range(n))
-            for i in range(1, n):
-                a, b = t[order[i - 1] :], t[order[i] :]
-                k = next((k for k in range(min(len(a), len(b))) if a[k] != b[k]), min(len(a), len(b)))
-                assert a[:depth] <= b[:depth] and common[i] == min(depth, k)
+            check_order(bytes(97 + rng.randrange(alphabet) for _ in range(n)), depth, Store(rng.choice([0, 1 << 10, 1 << 20])))
+
+
+def test_suffix_order_recurses_and_spills():
+    rng = random.Random(5)
+    words = [bytes(97 + rng.randrange(20) for _ in range(rng.randrange(2, 9))) for _ in range(30)]
+    texts = [rng.randbytes(4000), bytes(97 + rng.randrange(3) for _ in range(5000)), b" ".join(rng.choice(words) for _ in range(900)), b"abcab" * 900, b"a" * 3000]
+    deepest = 0
+    for t, depth, memory in itertools.product(texts, (5, 50), (0, 2000)):
+        store = Store(memory)
+        check_order(t, depth, store)
+        deepest = max(deepest, store.levels)
+        assert store.spilled > len(t) or len(set(t)) == 1  # runs of one byte are served as they come
+    assert deepest >= 3
+
+
+def test_suffix_order_in_little_memory():
+    """24 MB of text in a process that may take 110 MB more than it began with; the arrays of a sort in memory would need some 700 MB."""
+    code = """
+import resource, sys
+import numpy as np
+from lumbung.llm.suffix_sort import Store, suffix_order
+rng = np.random.default_rng(1)
+words = [rng.integers(97, 123, rng.integers(2, 10)).astype(np.uint8).tobytes() for _ in range(5000)]
+store = Store(2 << 20)
+text = store.listed((np.frombuffer(b" ".join(words[i] for i in rng.integers(0, 5000, 20000).tolist()), np.uint8) for _ in range(190)), "u1")
+now = next(int(x.split()[1]) for x in open("/proc/self/status") if x.startswith("VmData")) << 10
+resource.setrlimit(resource.RLIMIT_DATA, (now + (110 << 20),) * 2)
+order, common = suffix_order(text, 50, store)
+assert len(text) > 24_000_000 and store.levels >= 3 and store.spilled > 5 * len(text)
+step = 997
+for i in range(1, len(text), step * 10):
+    a, b = (text[p : p + 50].tobytes() for p in order[i - 1 : i + 1].tolist())
+    assert a <= b and common[i] == next((k for k in range(min(len(a), len(b))) if a[k] != b[k]), min(len(a), len(b)))
+seen = np.zeros(len(text), bool)
+for a, z in store.blocks(len(text)):
+    seen[order[a:z]] = True
+assert seen.all()
+print("whole")
+"""
+    done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=600, env=os.environ | {"OMP_NUM_THREADS": "1", "OPENBLAS_NUM_THREADS": "1"})
+    assert done.stdout.strip() == "whole", done.stderr[-2000:]
+
+
+@pytest.mark.parametrize("memory", [0, 3000, 8 << 20])
+def test_earlier_windows_by_force(memory):
+    rng = random.Random(8)
+    base = bytes(97 + rng.randrange(3) for _ in range(400))
+    stretches = list({base[a : a + rng.randrange(12, 40)] for a in range(0, 380, 3)} | {b"a" * 30, b"a" * 25, b"b" * 9})
+    least = np.array([rng.randrange(50) for _ in stretches])
+    first = {}
+    for s, i in zip(stretches, least.tolist(), strict=True):
+        for k in range(len(s) - 9):
+            first[s[k : k + 10]] = min(first.get(s[k : k + 10], 99), i)
+    want = {(n, k) for n, (s, i) in enumerate(zip(stretches, least.tolist(), strict=True)) for k in range(len(s) - 9) if first[s[k : k + 10]] < i}
+    got = [(n, k) for n, a, z in zip(*(x.tolist() for x in earlier_windows(stretches, least, 10, Store(memory))), strict=True) for k in range(a, z + 1)]
+    assert set(got) == want and len(got) == len(want) > 50
+    assert [len(x) for x in earlier_windows([], np.empty(0, np.int64))] == [0, 0, 0]
 
 
 def components_by_force(texts, n, percent):
@@ -219,3 +284,17 @@ def test_components(spark):
     got = {r["doc_id"]: r["component"] for r in components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
     looped = {a for a, b in edges if a == b} - {x for a, b in edges if a != b for x in (a, b)}
     assert got == {x: root(x) for x in parent if x not in looped}
+
+
+def test_bits_are_right_about_a_no(spark):
+    from pyspark.sql import functions as F
+
+    from lumbung.llm.common import HASH_BITS, hash_bits, with_maybe
+
+    numbers = [0, 1, 7, 8, 9, 32767, 32768, 32769, 65535, HASH_BITS - 1, HASH_BITS, -1, -32768, 12345678901]
+    keys = spark.createDataFrame([(n,) for n in numbers[::2]], "k bigint")
+    rows = spark.createDataFrame([(n,) for n in numbers], "k bigint")
+    got = {r["k"]: r["m"] for r in with_maybe(rows, F.col("k"), hash_bits(keys, F.col("k"), "test-bits"), "m").collect()}
+    places = {n % HASH_BITS for n in numbers[::2]}
+    assert got == {n: n % HASH_BITS in places for n in numbers} and not all(got.values())
+    assert not any(r["m"] for r in with_maybe(rows, F.col("k"), hash_bits(keys.limit(0), F.col("k"), "test-bits"), "m").collect())

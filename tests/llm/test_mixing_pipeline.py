@@ -27,6 +27,12 @@ def test_mixing_meets_weights(spark):
     assert len(set(keys)) == len(keys)
 
 
+def test_a_tiny_weight_keeps_its_source(spark):
+    df = spark.createDataFrame([(1, "a" * 10, "tiny"), (2, "b" * 1000, "big"), (3, "c", "none")], "doc_id bigint, text string, source string")
+    got = {r["source"]: r["rate"] for r in rates(df, {"tiny": 1.0, "big": 1e-7, "none": 0.0}).collect()}
+    assert got["none"] == 0 and abs(got["big"] / (1e-7 / (1 + 1e-7) * 1011 / 1000) - 1) < 1e-8
+
+
 def test_large_rates(spark):
     df = spark.createDataFrame([(1, "a" * 3, "s"), (2, "b" * 2997, "t")], "doc_id bigint, text string, source string")
     n = mix(df, ("doc_id",), {"s": 1.0}).count()
