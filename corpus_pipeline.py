@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumbung.llm.bpe import encode_documents
-from lumbung.llm.common import CORE, checked_broadcast, documents, materialise, packed, unpacked
+from lumbung.llm.common import CORE, documents, hash_bits, materialise, packed, unpacked, with_maybe
 from lumbung.llm.exact_dedup import first_of_each
 from lumbung.llm.jaccard_join import jaccard_join
 from lumbung.llm.mixing import mix
@@ -35,9 +35,12 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of the least id in each component of five-word shingle similarity 0.8 or more."""
     joined = jaccard_join(docs, n=5, percent=80)
-    gone = joined.where("component_id <> doc_id").select(joined["doc_id"].alias("__gone")).distinct()
-    gone = checked_broadcast(gone, "near-gone")
-    return docs.join(gone, docs["doc_id"] == F.col("__gone"), "left_anti")
+    gone = materialise(joined.where("component_id <> doc_id").select(joined["doc_id"].alias("__gone")).distinct(), "near-gone")
+    key = F.xxhash64(F.col("__doc.doc_id").cast("bigint"))
+    # documents that are surely none of them stay where they are; the others are looked up
+    looked = with_maybe(docs.select(F.struct("*").alias("__doc")), key, hash_bits(gone, F.xxhash64(F.col("__gone").cast("bigint")), "near-bits"), "__maybe")
+    left = looked.where("__maybe").join(gone, F.expr("CAST(__doc.doc_id AS BIGINT) = __gone"), "left_anti").select("__doc")
+    return looked.where(~F.col("__maybe")).select("__doc").unionByName(left).select("__doc.*")
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
