@@ -1,11 +1,14 @@
-"""Text chains that need Unicode tables or dictionaries, as Arrow UDFs over batches of texts."""
+"""Text chains. Patterns run in the JVM; Arrow UDFs do what Spark has no expression for: entities, compatibility forms, dictionaries.
+
+Java's patterns know fewer characters as white space than Python's, so its four separators are named.
+"""
 
 from __future__ import annotations
 
 import html
 import re
 import unicodedata
-from collections.abc import Callable, Iterable, Iterator, Mapping
+from collections.abc import Callable, Iterable, Mapping
 
 import pandas as pd
 from pyspark.sql import Column
@@ -14,137 +17,191 @@ from pyspark.sql.types import StringType
 
 from lumbung.config import PROTECTED_TERMS
 
-Step = tuple[str, Callable[[str], str]]
+# What both chains take out or keep.
+URL = r"(?iU)(?:https?://|www\.)[^\s\x1c-\x1f]+"
+TAG = r"<[^>]+>"
+SPACE = r"(?U)[\s\x1c-\x1f]+"
+EMOJI = "\U0001f000-\U0001faff\u2600-\u27bf\ufe0f"  # as characters: Java looks behind by whole ones only if it sees them in the pattern
+KEYCAP = r"[0-9#*]\ufe0f?\u20e3"
+NOT_KEPT = r"(?U)[^\p{L}\p{Nd}\s\x1c-\x1f.,!?'\-]"
+PUNCTUATION_RUN = r"([.,!?'\-])\1+"
+LONG_NUMBER = r"(?U)(?<!\w)\d{6,}(?!\w)"
+SEPARATORS, ZERO_WIDTH = "\u2028\u2029\u00a0", "\u200b\u200c\u200d\u2060\ufeff"
+LETTER = r"[\p{L}\p{Nl}\p{No}]"
 
-_URL = re.compile(r"(?:https?://|www\.)\S+", re.I)
-_SPACE = re.compile(r"\s+")
-_REPEAT = re.compile(r"([^\W\d_])\1{2,}")
-# Fixed value: the characters between which a zero-width joiner belongs.
-_EMOJI = "\U0001f000-\U0001faff☀-➿️"
-_JOINER = re.compile(f"(?<![{_EMOJI}])‍|‍(?![{_EMOJI}])")
-_KEYCAP = re.compile("[0-9#*]️?⃣")
-_TABLE = dict.fromkeys(map(ord, "​‌‍⁠﻿")) | dict.fromkeys(map(ord, "   "), " ")
-#: Fixed value: punctuation that proposal texts keep.
-_KEPT = frozenset(".,!?' -")
+Step = Callable[[Column], Column]
 
-LIGHT_STEPS = ("hapus_html", "hapus_url", "hapus_kontrol_zero_width", "normalisasi_nfkc", "kurangi_huruf_berulang", "rapikan_spasi")
-PROPOSAL_STEPS = (
-    "nfkc", "normalisasi_pemisah_unicode", "hapus_url", "hapus_emoji_karakter_khusus", "ringkas_tanda_baca", "hapus_angka_panjang", "normalisasi_typo_huruf_berulang", "normalisasi_slang", "rapikan_spasi",
-)
 
+def _sent(change: Callable[[str], str], those: str) -> Step:
+    """``change`` as a column function that sends only texts to Python in which the pattern occurs."""
 
-def squeeze(text: str) -> str:
-    return _SPACE.sub(" ", text).strip()
+    @F.pandas_udf(StringType())
+    def run(batch: pd.Series) -> pd.Series:
+        return batch.map(change, na_action="ignore")
 
+    return lambda t: F.coalesce(run(F.when(t.rlike(those), t)), t)
 
-def _nfkc(text: str) -> str:
-    return unicodedata.normalize("NFKC", text)
+
+def _replaced(pattern: str, by: str = " ") -> Step:
+    return lambda t: F.regexp_replace(t, pattern, by)
+
+
+def nfkc(text: Column) -> Column:
+    """The compatibility form; plain ASCII is its own."""
+    return _sent(lambda t: unicodedata.normalize("NFKC", t), r"[^\x00-\x7f]")(text)
 
 
-def _no_controls(text: str) -> str:
-    kept = {"Cc": " ", "Cf": ""}
-    return "".join(c if c == "‍" else kept.get(unicodedata.category(c), c) for c in _JOINER.sub("", text))
+def without_markup(text: Column) -> Column:
+    """Entities as characters, then tags as spaces."""
+    return F.regexp_replace(_sent(html.unescape, "&")(text), TAG, " ")
 
 
-def light_steps(nfkc: bool = True) -> list[Step]:
-    """The light chain, in order."""
-    chain = (
-        lambda t: re.sub(r"<[^>]+>", " ", html.unescape(t)), lambda t: _URL.sub(" ", t), _no_controls, _nfkc, lambda t: _REPEAT.sub(r"\1\1", t), squeeze,
-    )
-    return [(k, f) for k, f in zip(LIGHT_STEPS, chain, strict=True) if nfkc or f is not _nfkc]
+def without_controls(text: Column) -> Column:
+    """Control characters as spaces and no format characters, but for joiners between two emoji."""
+    lone = rf"(?<![{EMOJI}])\u200d|\u200d(?![{EMOJI}])"
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(text, lone, ""), r"\p{Cc}", " "), r"[\p{Cf}&&[^\u200d]]", "")
 
 
-def phrases(terms: Iterable[str]) -> re.Pattern:
-    """Whole phrases in any case, longest first, any white space between their words."""
-    ordered = sorted({t for t in terms if t.strip()}, key=lambda t: (-len(t), t))
-    body = "|".join(r"\s+".join(map(re.escape, t.split())) for t in ordered)
-    return re.compile(rf"(?<!\w)(?:{body})(?!\w)" if body else r"(?!)", re.I)
+def tidy(text: Column) -> Column:
+    return F.regexp_replace(F.regexp_replace(text, SPACE, " "), "^ | $", "")
+
+
+#: The light chain, in order.
+LIGHT: dict[str, Step] = {
+    "hapus_html": without_markup,
+    "hapus_url": _replaced(URL),
+    "hapus_kontrol_zero_width": without_controls,
+    "normalisasi_nfkc": nfkc,
+    "kurangi_huruf_berulang": _replaced(rf"({LETTER})\1{{2,}}", "$1$1"),
+    "rapikan_spasi": tidy,
+}
+#: The proposal chain up to its dictionary, in order (S15 to S19); the steps after it need terms.
+PLAIN_PROPOSAL: dict[str, Step] = {
+    "nfkc": nfkc,
+    "normalisasi_pemisah_unicode": lambda t: F.translate(t, SEPARATORS + ZERO_WIDTH, " " * len(SEPARATORS)),
+    "hapus_url": _replaced(URL),
+    "hapus_emoji_karakter_khusus": lambda t: F.regexp_replace(F.regexp_replace(t, KEYCAP, " "), NOT_KEPT, " "),
+    "ringkas_tanda_baca": _replaced(PUNCTUATION_RUN, "$1"),
+    "hapus_angka_panjang": _replaced(LONG_NUMBER),
+}
+PROPOSAL_STEPS = (*PLAIN_PROPOSAL, "normalisasi_typo_huruf_berulang", "normalisasi_slang", "rapikan_spasi")
+
+
+def single_letters(protected: Iterable[str]) -> Step:
+    """Letters said three times or more become one, but not in protected phrases.
+
+    One pattern finds either, so that a phrase is passed over whole; in descending order a phrase comes before its own beginnings.
+    """
+    terms = [r"\s+".join(map(re.escape, t.split())) for t in sorted(set(protected), reverse=True) if t.strip()]
+    spared = rf"(?<!\w)(?:{'|'.join(terms)})(?!\w)" if terms else r"(?!)"
+    return _replaced(rf"(?iU)({spared})|(?-i:({LETTER})\2{{2,}})", "$1$2")
+
 
+class Phrases:
+    """Phrases as a tree of units (words, single signs, gaps), each path ending in what stands for the phrase."""
 
-def outside(pattern: re.Pattern, change: Callable[[str], str]) -> Callable[[str], str]:
-    """``change`` applied to all that the pattern does not match."""
+    UNIT = re.compile(r"\w+|\s+|[^\w\s]")
 
-    def run(text: str) -> str:
-        cuts = [0, *(x for m in pattern.finditer(text) for x in m.span()), len(text)]
-        return "".join(text[a:b] if k % 2 else change(text[a:b]) for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)))
+    def __init__(self, table: Mapping[str, str]):
+        self.tree: dict = {}
+        for phrase, value in table.items():
+            node = self.tree
+            for unit in self.units(phrase.strip()):
+                node = node.setdefault(self.key(unit), {})
+            if node is not self.tree:
+                node[None] = (" ".join(phrase.split()).casefold(), value)
+
+    @classmethod
+    def units(cls, text: str) -> list[str]:
+        return cls.UNIT.findall(text)
+
+    @staticmethod
+    def key(unit: str) -> str:
+        return " " if unit.isspace() else unit.casefold()
+
+    def spans(self, units: list[str], closed: set[int] = frozenset()) -> list[tuple[int, int, tuple[str, str]]]:
+        """The longest phrase from each unit on, left to right, apart from each other and from closed units."""
+        word = lambda i: 0 <= i < len(units) and (units[i][0].isalnum() or units[i][0] == "_")
+        found, at = [], 0
+        while at < len(units):
+            node, best, i = self.tree, None, at
+            while i < len(units) and i not in closed and (node := node.get(self.key(units[i]))) is not None:
+                i += 1
+                if None in node and not (word(i - 1) and word(i)):
+                    best = (at, i, node[None])
+            if best and not (word(at) and word(at - 1)):
+                found.append(best)
+                at = best[1]
+            else:
+                at += 1
+        return found
+
+
+#: How a replacement follows what it replaces: the first test that holds.
+STYLES = ((str.isupper, str.upper), (str.istitle, lambda w: w[:1].upper() + w[1:]), (bool, str))
+
+
+def standard_words(slang: Mapping[str, str], protected: Iterable[str]) -> Callable[[str], tuple[str, list[dict[str, str]]]]:
+    """A function from a text to the text with standard words, and the replacements made (key, standard)."""
+    known, spared = Phrases(slang), Phrases(dict.fromkeys(protected, ""))
+
+    def run(text: str) -> tuple[str, list[dict[str, str]]]:
+        units, made = Phrases.units(text), []
+        closed = {i for a, z, _ in spared.spans(units) for i in range(a, z)}
+        out, done = [], 0
+        for a, z, (key, standard) in known.spans(units, closed):
+            source = "".join(units[a:z])
+            new = next(style(standard) for test, style in STYLES if test(source))
+            out += [*units[done:a], new]
+            done = z
+            if new != source:
+                made.append({"key": key, "standard": standard})
+        return "".join([*out, *units[done:]]), made
 
     return run
 
 
-def in_style_of(source: str, word: str) -> str:
-    """All capitals stay so, a capital first letter as well."""
-    if source.isupper():
-        return word.upper()
-    return word[:1].upper() + word[1:] if source.istitle() else word
-
-
-def proposal_steps(slang: Mapping[str, str] | None = None, protected: Iterable[str] = PROTECTED_TERMS, traced: list | None = None) -> list[Step]:
-    """The proposal chain, in order (S15 to S20); replacements are noted in ``traced`` as (key, standard)."""
-    words = {squeeze(k).casefold(): v for k, v in (slang or {}).items()}
-    shield, known = phrases(protected), phrases(words)
-
-    def replaced(m: re.Match) -> str:
-        key = _SPACE.sub(" ", m.group()).casefold()
-        out = in_style_of(m.group(), words[key])
-        if traced is not None and out != m.group():
-            traced.append((key, words[key]))
-        return out
-
-    chain = (
-        _nfkc,
-        lambda t: t.translate(_TABLE),
-        lambda t: _URL.sub(" ", t),
-        lambda t: "".join(c if c in _KEPT or c.isalpha() or c.isdecimal() or c.isspace() else " " for c in _KEYCAP.sub(" ", t)),
-        lambda t: re.sub(r"([.,!?'\-])\1+", r"\1", t),
-        lambda t: re.sub(r"(?<!\w)\d{6,}(?!\w)", " ", t),
-        outside(shield, lambda t: _REPEAT.sub(r"\1", t)),
-        outside(shield, lambda t: known.sub(replaced, t)),
-        squeeze,
-    )
-    return list(zip(PROPOSAL_STEPS, chain, strict=True))
-
-
-def run_steps(text: str | None, steps: list[Step]) -> tuple[str, list[bool]]:
-    """The text after all steps, and which of them changed it."""
-    text, changed = text or "", []
-    for _, step in steps:
+def _chained(text: Column, steps: Mapping[str, Step]) -> tuple[Column, list[Column]]:
+    """The text after all steps, and for each whether it changed the text."""
+    changed = []
+    for name, step in steps.items():
         new = step(text)
-        changed.append(new != text)
+        changed.append((new != text).alias(name))
         text = new
     return text, changed
 
 
-def clean_light(text: Column, nfkc: bool = True) -> Column:
+def clean_light(text: Column, with_nfkc: bool = True) -> Column:
     """struct(text, one boolean for each step that changed it)."""
-    names = [k for k, _ in light_steps(nfkc)]
-
-    @F.pandas_udf("text string, " + ", ".join(f"{k} boolean" for k in names))
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        steps = light_steps(nfkc)
-        for batch in batches:
-            got = [run_steps(t, steps) for t in batch]
-            yield pd.DataFrame([(t, *c) for t, c in got], columns=["text", *names])
-
-    return run(text)
+    out, changed = _chained(F.coalesce(text, F.lit("")), {k: f for k, f in LIGHT.items() if with_nfkc or k != "normalisasi_nfkc"})
+    return F.struct(out.alias("text"), *changed)
 
 
 def clean_proposal(text: Column, slang: Mapping[str, str] | None = None, protected: Iterable[str] = PROTECTED_TERMS) -> Column:
     """struct(text, one boolean for each step, slang: array of (key, standard) replacements)."""
     slang, protected = dict(slang or {}), tuple(protected)
 
-    @F.pandas_udf("text string, " + ", ".join(f"{k} boolean" for k in PROPOSAL_STEPS) + ", slang array<struct<key:string,standard:string>>")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        traced: list = []
-        steps = proposal_steps(slang, protected, traced)
-        for batch in batches:
-            rows = []
-            for t in batch:
-                traced.clear()
-                out, changed = run_steps(t, steps)
-                rows.append((out, *changed, [{"key": k, "standard": v} for k, v in traced]))
-            yield pd.DataFrame(rows, columns=["text", *PROPOSAL_STEPS, "slang"])
+    @F.pandas_udf("text string, slang array<struct<key:string,standard:string>>")
+    def replaced(batch: pd.Series) -> pd.DataFrame:
+        run = standard_words(slang, protected)
+        return pd.DataFrame([run(t) for t in batch], columns=["text", "slang"])
 
-    return run(text)
+    letters, changed = _chained(F.coalesce(text, F.lit("")), PLAIN_PROPOSAL | {PROPOSAL_STEPS[-3]: single_letters(protected)})
+    if slang:
+        result = replaced(letters)
+        words, made = result["text"], result["slang"]
+    else:
+        words, made = letters, F.array().cast("array<struct<key:string,standard:string>>")
+    out = tidy(words)
+    return F.struct(out.alias("text"), *changed, (words != letters).alias(PROPOSAL_STEPS[-2]), (out != words).alias(PROPOSAL_STEPS[-1]), made.alias("slang"))
+
+
+def squeeze(text: str) -> str:
+    return re.sub(r"\s+", " ", text).strip()
+
+
+def _nfkc(text: str) -> str:
+    return unicodedata.normalize("NFKC", text)
 
 
 @F.pandas_udf(StringType())

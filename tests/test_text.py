@@ -1,29 +1,26 @@
 from pyspark.sql import functions as F
 
-from lumbung.functions.text import LexicalChain, clean_light, clean_proposal, light_steps, proposal_steps, review_key, run_steps
+from lumbung.functions.text import LexicalChain, clean_light, clean_proposal, review_key, standard_words
 
 
-def light(t):
-    return run_steps(t, light_steps())[0]
+def cleaned(spark, texts, chain, field="text"):
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, v string")
+    return [r[0] for r in df.select("i", chain(F.col("v")).alias("c")).orderBy("i").select(f"c.{field}").collect()]
 
 
-def test_light():
-    assert light("bagusss&nbsp;<b>sekali</b> 5000mAh") == "baguss sekali 5000mAh"
-    assert light("lihat https://a.b/c?d ya​​") == "lihat ya"
-    assert light("👨‍👩‍👧 a‍b\tﬁ") == "👨‍👩‍👧 ab fi"
-    assert light(None) == ""
+def test_light(spark):
+    texts = ["bagusss&nbsp;<b>sekali</b> 5000mAh", "lihat https://a.b/c?d ya\u200b\u200b", "\U0001f468\u200d\U0001f469\u200d\U0001f467 a\u200db\t\ufb01", None, "&lt;b&gt;aaaa 1111 \u2460\u2460\u2460", "a\x1cb\u00a0\u00a0c"]
+    assert cleaned(spark, texts, clean_light) == ["baguss sekali 5000mAh", "lihat ya", "\U0001f468\u200d\U0001f469\u200d\U0001f467 ab fi", "", "aa 1111 111", "a b c"]
+    assert cleaned(spark, ["\ufb01"], lambda c: clean_light(c, False)) == ["\ufb01"]
 
 
-def test_proposal():
-    clean = lambda t, **k: run_steps(t, proposal_steps(**k))[0]
-    assert clean("Bagusss!!! 👍 1️⃣ 12345678 www.x.y") == "Bagus!"
-    assert clean("a​b c d") == "ab c d"
-    assert clean("gk BGT Gk", slang={"gk": "tidak", "bgt": "banget"}) == "tidak BANGET Tidak"
-    assert clean("bukan  ori kw", slang={"ori": "asli", "kw": "tiruan"}) == "bukan ori kw"
-    assert clean("!?!?") == "!?!?"
-    traced = []
-    run_steps("gk gk", proposal_steps({"gk": "tidak"}, traced=traced))
-    assert traced == [("gk", "tidak")] * 2
+def test_proposal(spark):
+    texts = ["Bagusss!!! \U0001f44d 1\ufe0f\u20e3 12345678 www.x.y", "a\u200bb\u2028c\u00a0d", "!?!?", "*\u20e3 #\u20e3 a_b", "Oriii ORI bukan  ori kwww KW"]
+    assert cleaned(spark, texts, clean_proposal) == ["Bagus!", "ab c d", "!?!?", "a b", "Ori ORI bukan ori kw KW"]
+    slang = {"gk": "tidak", "bgt": "banget", "ori": "asli", "kw": "tiruan", "bukan kw": "asli", "tdk  bs": "tidak bisa", "tdk": "tidak", "jum'at": "Jumat"}
+    texts = ["gk BGT Gk", "bukan  ori kw", "tdk   bs tdk, bsa", "Tdk Bs", "bukan kw", "jum'at jum'ata xjum'at", "gkgk gk"]
+    assert cleaned(spark, texts, lambda c: clean_proposal(c, slang)) == ["tidak BANGET Tidak", "bukan ori kw", "tidak bisa tidak, bsa", "Tidak bisa", "bukan kw", "Jumat jum'ata xjum'at", "gkgk tidak"]
+    assert standard_words({"gk": "tidak", "ya": "ya"}, ())("gk gk ya") == ("tidak tidak ya", [{"key": "gk", "standard": "tidak"}] * 2)
 
 
 def test_columns(spark):
