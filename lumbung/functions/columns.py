@@ -162,8 +162,8 @@ def softmax(*logits: Column) -> list[Column]:
     return [F.exp(x - top) / total for x in logits]
 
 
-def observation(kind: str, negative: Column, neutral: Column, positive: Column, epsilon: float = 1e-6, logits: tuple[Column, ...] | None = None) -> Column:
-    """The array a sequence model sees: prob, logit (the scorer's own), alr (against neutral) or clr (PR26)."""
+def observation(kind: str, negative: Column, neutral: Column, positive: Column, epsilon: float = 1e-6, logits: tuple[Column, ...] | None = None, reference: str = "p_netral") -> Column:
+    """The array a sequence model sees: prob, logit (the scorer's own), alr (against the reference) or clr (PR26)."""
     if kind == "prob":
         return F.array(negative, neutral, positive)
     if kind == "logit":
@@ -172,7 +172,9 @@ def observation(kind: str, negative: Column, neutral: Column, positive: Column,
         return F.array(*[x.cast("double") for x in logits])
     a, b, c = (F.ln(F.greatest(F.least(x, F.lit(1.0)), F.lit(epsilon))) for x in (negative, neutral, positive))
     if kind == "alr":
-        return F.array(a - b, c - b)
+        logs = dict(zip(PROBABILITIES, (a, b, c), strict=True))
+        base = logs.pop(reference)
+        return F.array(*[x - base for x in logs.values()])
     if kind == "clr":
         mean = (a + b + c) / 3
         return F.array(a - mean, b - mean, c - mean)
@@ -221,6 +223,28 @@ def shop_and_product(file: Column) -> Column:
     return F.struct(trimmed(F.regexp_extract(stem, r"^(.*)_([^_]*)$", 1)).alias("shop"), trimmed(F.regexp_extract(stem, r"^(.*)_([^_]*)$", 2)).alias("product"), stem.contains("_").alias("ok"))
 
 
+def file_mapping(file: Column) -> Column:
+    """A mapping row for a file of no mapping: shop, product, key, status, where the name comes from and notes (PR14)."""
+    stem = F.regexp_replace(file, r"(?i)(\.csv)+$", "")
+    parts = shop_and_product(file)
+    several = F.length(stem) - F.length(F.replace(stem, F.lit("_"), F.lit(""))) > 1
+    whole = parts["ok"] & (parts["shop"] != "") & (parts["product"] != "")
+    notes = (
+        (several, "lebih dari satu underscore; dipisah pada underscore terakhir"),
+        (F.regexp_count(F.lower(file), F.lit(r"\.csv")) > 1, "akhiran .csv berulang dibuang"),
+        (file.rlike("[\"']"), "nama memuat tanda kutip"),
+        ((file != trimmed(file)) | stem.rlike(r"\s$| _|_ "), "spasi di ujung/di sekitar underscore dibuang"),
+        (is_copy_name(file), "nama berakhiran salinan; akhiran tetap di nama_produk - cek"),
+    )
+    noted = F.concat_ws("; ", *[F.when(cond, text) for cond, text in notes])
+    return F.struct(
+        file.alias("file"), F.when(parts["ok"], parts["shop"]).otherwise("").alias("nama_toko"), F.when(parts["ok"], parts["product"]).otherwise(trimmed(stem)).alias("nama_produk"),
+        F.when(whole, F.concat_ws("|", F.lower(parts["shop"]), F.lower(parts["product"]))).otherwise("").alias("product_key"), F.when(whole, "ok").otherwise("perlu_cek").alias("status"),
+        F.when(~parts["ok"], "tanpa underscore - cek manual").when(several, "underscore terakhir").otherwise("nama file").alias("sumber_nama"),
+        F.when(~parts["ok"], "nama berkas tanpa '_' ; toko tidak dapat diturunkan").when(~whole, "toko/produk kosong").otherwise(noted).alias("catatan"),
+    )
+
+
 def is_copy_name(file: Column) -> Column:
     """'x copy', 'x copy 2', 'x (1)' (S14)."""
     return F.regexp_replace(file, r"(?i)(\.csv)+$", "").rlike(r"(?i)(\s+copy(\s*\d+)?|\s*\(\d+\))\s*$")
@@ -265,6 +289,24 @@ def legacy_text(text: Column) -> Column:
     return squeezed(F.regexp_replace(t, r"(.)\1{2,}", "$1$1"))
 
 
+def combined_review(*columns: Column) -> Column:
+    """Several review columns as one text, each in the retired normal form."""
+    return squeezed(F.concat_ws(" ", *[legacy_text(F.coalesce(c, F.lit(""))) for c in columns]))
+
+
+def written_time(timestamp: Column, has_time: Column) -> Column:
+    """A day, with its time only where one is known; empty for none."""
+    return F.coalesce(F.when(has_time, F.date_format(timestamp, "yyyy-MM-dd HH:mm")), F.date_format(timestamp, "yyyy-MM-dd"), F.lit(""))
+
+
+def letters(number: Column) -> Column:
+    """A, B, ... Z, AA, AB, ... for 0, 1, ...."""
+    # digits run from 1 to 26, so a number loses one before each division
+    step = lambda a, _: F.when(a["rest"] > 0, F.struct(F.floor((a["rest"] - 1) / 26).alias("rest"), F.concat(F.char((65 + (a["rest"] - 1) % 26).cast("int")), a["text"]).alias("text"))).otherwise(a)
+    first = F.struct((number + 1).cast("bigint").alias("rest"), F.lit("").alias("text"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(14)), first, step, lambda a: a["text"])
+
+
 def safe_name(name: Column) -> Column:
     """A file name without odd characters."""
     plain = F.regexp_replace(F.regexp_replace(trimmed(name), r"(?U)[^\w\-.]+", "_"), "^-+|-+$", "")

@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from typing import TYPE_CHECKING
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumbung.functions.columns import digit_mask, squeezed, trimmed, word_count
+from lumbung.functions.columns import digit_mask, joined_light, squeezed, trimmed, word_count
+from lumbung.functions.text import LIGHT, clean_light
+
+if TYPE_CHECKING:
+    from lumbung.operators.clean import CleanResult
 
 
 def timestamp_patterns(reviews: DataFrame) -> DataFrame:
@@ -57,8 +63,61 @@ def ledger(entries: list[tuple[str, str, DataFrame, Column, Column, str]]) -> Da
     return out
 
 
-def cleaning_ledger(rows: DataFrame, reviews: DataFrame) -> DataFrame:
-    """What each stage of cleaning kept."""
+def light_changes(rows: DataFrame) -> DataFrame:
+    """(rule, n): kept rows that each step of the light chain changed."""
+    c = rows.where("drop_reason IS NULL").select(clean_light(joined_light(F.col("fragments"))).alias("c"))
+    return step_counts(c.select("c.*"), list(LIGHT))
+
+
+#: Why cells of a review column are not part of a review.
+CELL_REASONS = {
+    "tanggal": "nilai berupa tanggal (kolom bergeser saat scrape)", "tanggal_relatif": "nilai berupa tanggal relatif", "url": "nilai berupa URL", "angka": "nilai tanpa huruf, hanya angka (durasi video, +N foto, dsb.)",
+    "label_aspek": "label aspek berakhiran ':' -> dipindah ke aspect_tags", "nama_tersamar": "nama pengguna tersamar (x***y)", "penanda_penjual": "penanda balasan penjual", "simbol": "hanya simbol/tanda baca tanpa huruf/angka/emoji",
+}
+
+
+def cleaning_ledger(run: CleanResult) -> DataFrame:
+    """What each of six stages of a cleaning run kept, and why the rest is left out (A11): files, rows, cells, the light chain, flags, timestamps."""
+    n, count = F.count("*"), F.count_if
+    mapping, rows, r, cells = run.mapping, run.rows, run.reviews, run.tagged.where("value <> ''")
+    in_review, text = F.col("role") == "review_text", F.col("use") == "fragment"
+    full, kept = count(~F.col("drop_reason").eqNullSafe(F.lit("sel_kosong"))), count(F.col("drop_reason").isNull())
+    empty, short = F.col("is_empty"), F.col("is_short")
+    fixed = ledger(
+        [
+            ("1_file", "pemetaan -> status ok", mapping, n, count(F.col("status") == "ok"), "baris pemetaan"),
+            ("1_file", "file ok -> file diproses", run.manifest.join(mapping.where("status = 'ok'"), "file", "left_semi"), n, count(F.col("n_baris_sumber") > 0), "file"),
+            ("2_baris", "baris tanpa sel teks terisi", rows, n, full, "baris sumber"),
+            ("2_baris", "baris yang selnya hanya non-teks", rows, full, kept, "baris sumber"),
+            ("3_fragmen", "sel kolom review_text -> fragmen review", cells.where(in_review), n, count(text), "sel"),
+            ("5_flag", "is_empty", r, n, count(~empty), "baris"),
+            ("5_flag", "is_short", r, count(~empty), count(~empty & ~short), "baris"),
+            ("5_flag", "is_technical_duplicate", r, count(~empty & ~short), count(F.col("include_for_inference")), "baris"),
+            ("5_flag", "is_text_duplicate (hanya ditandai)", r, n, n, "baris"),
+        ]
+    )
+    row = lambda df, stage, rule, before, after, unit, reason: df.select(F.lit(stage).alias("stage"), rule.alias("rule"), before.cast("bigint").alias("before"), after.cast("bigint").alias("after"), (before - after).cast("bigint").alias("affected"), F.lit(unit).alias("unit"), reason.alias("reason"))
+    named = F.coalesce(*[F.when(F.col("kind") == k, v) for k, v in CELL_REASONS.items()], F.col("kind"))
+    kinds = cells.where(in_review & ~text).groupBy("kind").agg(n.alias("n"))
+    other = cells.where(~in_review & (F.col("kind") == "teks")).groupBy("role").agg(n.alias("n"))
+    total = r.agg(n.alias("total"))
+    status = r.groupBy("timestamp_status").agg(n.alias("n")).join(F.broadcast(total))  # one row
+    lost = F.when(F.col("timestamp_status").isin("ok", "relatif_dikonversi"), 0).otherwise(F.col("n"))
+    changes = light_changes(rows).join(F.broadcast(total))
+    parts = [
+        row(kinds, "3_fragmen_rinci", F.concat(F.lit("review_text: "), "kind"), F.col("n"), F.lit(0), "sel", named),
+        row(other, "3_fragmen_rinci", F.concat(F.lit("sel berhuruf di kolom berperan "), "role"), F.col("n"), F.lit(0), "sel", F.lit("peran kolom bukan review_text (lihat column_map.csv); tidak masuk review")),
+        row(changes, "4_text_light", F.col("rule"), F.col("total"), F.col("total") - F.col("n"), "baris (berubah = terdampak)", F.lit("pembersihan minimal; baris tetap ada")),
+        row(status, "6_timestamp", F.concat(F.lit("status "), "timestamp_status"), F.col("total"), F.col("total") - lost, "baris", F.concat(F.col("n").cast("string"), F.lit(" baris"))),
+    ]
+    out = fixed.withColumn("reason", F.lit(""))
+    for p in parts:
+        out = out.unionByName(p)
+    return out
+
+
+def flag_ledger(rows: DataFrame, reviews: DataFrame) -> DataFrame:
+    """The short form of the ledger, from rows and flagged reviews alone."""
     n, count = F.count("*"), F.count_if
     return ledger(
         [
@@ -177,6 +236,12 @@ def protected_counts(before: Column, after: Column, terms: tuple[str, ...]) -> C
     return F.array(*out)
 
 
+def slang_alternatives(source: DataFrame) -> DataFrame:
+    """(key, n, standards) of keys that have several standards in a raw dictionary."""
+    s = source.select(F.lower(squeezed(F.col("slang"))).alias("key"), squeezed(F.col("formal")).alias("standard")).where("key <> '' AND standard <> ''")
+    return s.groupBy("key").agg(F.array_sort(F.collect_set("standard")).alias("standards")).where(F.size("standards") > 1).select("key", F.size("standards").cast("bigint").alias("n"), "standards")
+
+
 def slang_source_profile(source: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rows of a raw dictionary with the first reason to leave each out, and the key loss with its gate.
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lumbung.config import CleanConfig
 from lumbung.functions.columns import SELLER_STYLE, classify, joined_light, joined_review, relative_parts, schema_family, timestamp_fields, trimmed, word_count
+from lumbung.functions.ranks import numbered
 from lumbung.functions.text import clean_light, fragment_key
 
 
@@ -99,11 +100,17 @@ def date_only_candidates(df: DataFrame) -> DataFrame:
 def duplicate_files(files: DataFrame) -> DataFrame:
     """(file, file_dup_group): files of equal content, groups numbered FD01... by their first file."""
     groups = files.groupBy("sha256").agg(F.count("*").alias("n"), F.min("file").alias("first")).where("n > 1")
-    number = F.row_number().over(Window.orderBy("first"))  # one row a group of equal files
-    groups = groups.withColumn("file_dup_group", F.concat(F.lit("FD"), F.lpad(number.cast("string"), 2, "0")))
+    number = F.col("number").cast("string")
+    groups = numbered(groups, "first").withColumn("file_dup_group", F.concat(F.lit("FD"), F.when(F.length(number) < 2, F.lpad(number, 2, "0")).otherwise(number)))
     return files.join(groups.select("sha256", "file_dup_group"), "sha256").select("file", "file_dup_group")
 
 
+def same_key_groups(groups: DataFrame, mapping: DataFrame) -> DataFrame:
+    """(file_dup_group, n, satu_kunci): groups of equal files, and whether all of one have the same product key."""
+    g = groups.join(mapping.select("file", "product_key"), "file", "left").groupBy("file_dup_group")
+    return g.agg(F.count("*").alias("n"), (F.count_distinct("product_key") == 1).alias("satu_kunci"))
+
+
 def manifest(rows: DataFrame, reviews_: DataFrame, mapping: DataFrame) -> DataFrame:
     """One row a file: source rows, why rows were dropped, what came out, and whether all are accounted for."""
     source = rows.groupBy("file").agg(F.count("*").alias("n_baris_sumber"), F.count_if(F.col("drop_reason") == "sel_kosong").alias("n_sel_kosong"), F.count_if(F.col("drop_reason") == "hanya_bukan_teks").alias("n_hanya_bukan_teks"))
@@ -130,6 +137,7 @@ class CleanResult:
     manifest: DataFrame
     anchors: DataFrame
     duplicates: DataFrame
+    mapping: DataFrame
 
 
 def clean_folder(files: DataFrame, cells: DataFrame, mapping: DataFrame, config: CleanConfig | None = None, overrides: DataFrame | None = None, vocabulary: DataFrame | None = None) -> CleanResult:
@@ -138,6 +146,8 @@ def clean_folder(files: DataFrame, cells: DataFrame, mapping: DataFrame, config:
     from lumbung.sources.files import timestamp_anchors
 
     config = config or CleanConfig()
+    if "status" not in mapping.columns:
+        mapping = mapping.withColumn("status", F.lit("ok"))
     files = files.join(mapping.select("file"), "file", "left_semi")
     groups = duplicate_files(files)
     if config.exclude_duplicate_files:
@@ -152,7 +162,7 @@ def clean_folder(files: DataFrame, cells: DataFrame, mapping: DataFrame, config:
     headers = cells.groupBy("file").agg(F.collect_set("column").alias("columns")).select("file", schema_family(F.col("columns")).alias("schema_family"))
     out = with_flags(reviews(rows, mapping, anchors, headers, config), config)
     out = out.join(groups.withColumnRenamed("file", "source_file"), "source_file", "left").na.fill("", ["file_dup_group"])
-    return CleanResult(out, roles, rows, tagged, manifest(rows, out, mapping), anchors, groups)
+    return CleanResult(out, roles, rows, tagged, manifest(rows, out, mapping), anchors, groups, mapping)
 
 
 def legacy_clean(df: DataFrame, min_length: int = 2) -> DataFrame:

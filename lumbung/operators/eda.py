@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumbung.functions.columns import FUNCTION_WORDS, LABELS, PROBABILITIES, argmax_label, brand, capacity, color, length_class, length_classes, max_probability, ngrams, percent, tokens, word_count
+from lumbung.functions.columns import FUNCTION_WORDS, LABELS, PROBABILITIES, argmax_label, brand, capacity, color, length_class, length_classes, letters, max_probability, ngrams, percent, tokens, word_count
+from lumbung.functions.ranks import numbered
 
 
 def _unpivoted(row: DataFrame, name: str, value: str) -> DataFrame:
@@ -95,33 +96,64 @@ def greatest_jump(df: DataFrame, by: str, order: list[str], value: str) -> DataF
     return steps.groupBy(by).agg(best).select(by, F.col("b.jump").alias("max_jump"), (-F.col("b.k")).alias("at"))
 
 
-def prediction_summary(scored: DataFrame) -> DataFrame:
-    """One row: labels, mean probabilities, uncertain share, token lengths, and the worst sum."""
+def prediction_summary(scored: DataFrame, short_words: int = 2) -> DataFrame:
+    """One row: empty and very short texts, labels and their shares, mean probabilities, uncertain ones, token lengths, and the worst sum.
+
+    Without a column text there are no very short ones.
+    """
+    words = word_count(F.col("text")) if "text" in scored.columns else F.lit(None)
     p = [F.col(c) for c in PROBABILITIES]
     label = argmax_label(*p)
     return scored.agg(
         F.count("*").alias("n"), F.count(p[0]).alias("n_scored"), *[F.count_if(label == k).alias(f"n_{k}") for k in LABELS], *[F.avg(c).alias(f"mean_{c}") for c in PROBABILITIES], F.count_if(max_probability(*p) < 0.6).alias("n_uncertain"),
         F.percentile("n_token", F.lit(0.5)).alias("token_median"), F.percentile("n_token", F.lit(0.95)).alias("token_p95"), F.max("n_token").alias("token_max"), F.count_if(F.col("truncated")).alias("n_truncated"), F.max(F.abs(p[0] + p[1] + p[2] - 1)).alias("worst_sum"),
+        F.count_if(p[0].isNull()).alias("n_empty"), F.count_if(p[0].isNotNull() & (words <= short_words)).alias("n_very_short"), *[percent(F.count_if(label == k), F.count(p[0])).alias(f"pct_{k}") for k in LABELS], percent(F.count_if(F.col("truncated")), F.count(p[0])).alias("pct_truncated"),
     )
 
 
 def overview(reviews: DataFrame) -> DataFrame:
-    """(measure, key, n) of a raw review table: shops, products, brands, ratings, months, variants (A27, PR28).
+    """(measure, key, n) of a raw review table: shops, products, brands, ratings, months, variants, words and repeated texts (A27, PR28).
 
-    reviews: nama_toko, nama_produk, rating, timestamp, variation.
+    reviews: nama_toko, nama_produk, rating, timestamp, variation, and text where there is one.
     """
     values = {"toko": F.col("nama_toko"), "produk": F.col("nama_produk"), "merek": brand(F.col("nama_produk")), "rating": F.col("rating").cast("string"), "bulan": F.date_format("timestamp", "yyyy-MM"), "kapasitas": capacity(F.col("variation")), "warna": color(F.col("variation"))}
     each = reviews.select(F.explode(F.array(*[F.struct(F.lit(k).alias("measure"), c.alias("key")) for k, c in values.items()])).alias("x")).select("x.*").where("key IS NOT NULL")
-    return each.groupBy("measure", "key").agg(F.count("*").alias("n"))
+    out = each.groupBy("measure", "key").agg(F.count("*").alias("n"))
+    if "text" not in reviews.columns:
+        return out
+    words = reviews.select(F.explode(F.filter(tokens(F.col("text")), lambda w: (F.length(w) >= 3) & ~w.isin(*FUNCTION_WORDS))).alias("key"))
+    again = reviews.where(F.coalesce("text", F.lit("")) != "").groupBy(F.xxhash64("text"), F.md5("text")).agg(F.count("*").alias("n"))
+    twice = again.agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).cast("bigint").alias("n")).select(F.lit("teks_berulang").alias("measure"), F.lit("").alias("key"), "n")
+    return out.unionByName(words.groupBy("key").agg(F.count("*").alias("n")).select(F.lit("kata").alias("measure"), "key", "n")).unionByName(twice)
+
+
+def mean_rating(reviews: DataFrame, by: str = "nama_produk") -> DataFrame:
+    """Ratings and their mean for each product."""
+    return reviews.where(F.col("rating").isNotNull()).groupBy(by).agg(F.count("*").alias("n"), F.avg("rating").alias("rating"))
+
+
+def described(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(column, n, mean, std, min, q25, median, q75, max) of numbers."""
+    parts = [(F.count, "n"), (F.avg, "mean"), (F.stddev_samp, "std"), (F.min, "min"), (lambda c: F.percentile(c, F.lit(0.25)), "q25"), (lambda c: F.percentile(c, F.lit(0.5)), "median"), (lambda c: F.percentile(c, F.lit(0.75)), "q75"), (F.max, "max")]
+    row = df.agg(*[f(F.col(c).cast("double")).cast("double").alias(f"{c}__{name}") for c in columns for f, name in parts])
+    each = [F.struct(F.lit(c).alias("column"), *[F.col(f"{c}__{name}").alias(name) for _, name in parts]) for c in columns]
+    return row.select(F.explode(F.array(*each)).alias("x")).select("x.*")
+
+
+def histogram(df: DataFrame, column: str, low: float, high: float, bins: int) -> DataFrame:
+    """(bin, n) of equal bins from low to high, the last one closed, also those without rows."""
+    at = F.least(F.floor((F.col(column) - low) / ((high - low) / bins)), F.lit(bins - 1)).cast("int")
+    got = df.where((F.col(column) >= low) & (F.col(column) <= high)).groupBy(at.alias("bin")).agg(F.count("*").alias("n"))
+    return df.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin")).join(got, "bin", "left").na.fill(0, ["n"])
 
 
 def evenly_spaced(df: DataFrame, order: list[str], n: int) -> DataFrame:
     """n rows at even distances of the order."""
     total = df.count()
     if total <= n:
-        return df.orderBy(*order)
+        return df
     at = sorted({round(i * (total - 1) / max(n - 1, 1)) + 1 for i in range(n)})
-    return df.withColumn("__k", F.row_number().over(Window.orderBy(*order))).where(F.col("__k").isin(at)).drop("__k")
+    return numbered(df, *order, name="__k").where(F.col("__k").isin(at)).drop("__k")
 
 
 def hash_sample(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
@@ -132,7 +164,4 @@ def hash_sample(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
 def anonymous_labels(df: DataFrame, column: str, order: str, prefix: str = "Toko") -> DataFrame:
     """(column, label): 'Toko A', 'Toko B', ... 'Toko AA' in order of first appearance (T10); one row a name."""
     firsts = df.groupBy(column).agg(F.min(order).alias("first"))
-    number = F.row_number().over(Window.orderBy("first", column)) - 1
-    letter = lambda k: F.char((k + 65).cast("int"))
-    name = F.when(number < 26, letter(number)).otherwise(F.concat(letter(F.floor(number / 26) - 1), letter(number % 26)))
-    return firsts.select(column, F.concat_ws(" ", F.lit(prefix), name).alias("label"))
+    return numbered(firsts, "first", column).select(column, F.concat_ws(" ", F.lit(prefix), letters(F.col("number") - 1)).alias("label"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lumbung.functions.columns import is_copy_name, name_key
+
 
 def overlap_pairs(keys: DataFrame, hashes: DataFrame | None = None, min_percent: float = 30.0) -> DataFrame:
     """File pairs with the multiset intersection of their review keys, as a share of each (J9); equal contents are 100 %.
@@ -33,6 +35,13 @@ def directed(pairs: DataFrame) -> DataFrame:
     return one.unionByName(pairs.select(F.col("file_b").alias("file"), F.col("file_a").alias("partner"), F.col("pct_b").alias("pct"), "identical"))
 
 
+def best_partners(pairs: DataFrame) -> DataFrame:
+    """Each file's best partner: the greatest share, equal contents first, then by name (T4)."""
+    most = pairs.groupBy("file").agg(F.max(F.struct("pct", "identical")).alias("m"))
+    tied = pairs.join(most, "file").where("pct = m.pct AND identical = m.identical").groupBy("file", "pct", "identical").agg(F.min("partner").alias("partner"))
+    return tied.select("file", "partner", "pct", "identical")
+
+
 def exclusions(files: list[tuple[str, bool]], pairs: list[tuple[str, str, float, bool]], threshold: float = 80.0) -> dict[str, tuple[str, float, bool]]:
     """Files to leave out with their partner, share and whether contents are equal; each decision depends on those before.
 
@@ -52,6 +61,31 @@ def exclusions(files: list[tuple[str, bool]], pairs: list[tuple[str, str, float,
     return out
 
 
+def name_groups(files: DataFrame) -> DataFrame:
+    """(key, files): files whose names are alike, of groups with a new one (X7). files: file, is_new."""
+    g = files.withColumn("key", name_key(F.col("file"))).groupBy("key").agg(F.array_sort(F.collect_set("file")).alias("files"), F.bool_or("is_new").alias("any_new"))
+    return g.where((F.size("files") > 1) & F.col("any_new")).select("key", "files")
+
+
+def key_clashes(keys: DataFrame) -> DataFrame:
+    """(product_key, n) of keys that several files have, old and new ones together."""
+    return keys.where(F.coalesce("product_key", F.lit("")) != "").groupBy("product_key").agg(F.count("*").alias("n")).where("n > 1")
+
+
+def suggestions(files: DataFrame, clashes: DataFrame, threshold: float = 80.0) -> DataFrame:
+    """(file, usulan): what to do with each file, and why (X6). files: file, product_key, n_reviews, pct, excluded."""
+    f = files.join(clashes.select("product_key", F.lit(True).alias("clash")), "product_key", "left")
+    share = F.expr("format_number(pct, '0.######')")
+    notes = (
+        (F.col("n_reviews") == 0, F.lit("0 ulasan terbaca (cleaning akan melewati berkas); cek skema")),
+        (F.col("pct") >= threshold, F.concat(F.lit("tumpang tindih "), share, F.lit("% tanpa nama salinan; tinjau manual"))),
+        (F.coalesce("clash", F.lit(False)), F.lit("product_key sama dengan berkas lain (digabung jadi satu produk)")),
+        (is_copy_name(F.col("file")), F.lit("bernama salinan tetapi tidak memenuhi aturan; tinjau")),
+    )
+    said = F.concat_ws("; ", *[F.when(cond, text) for cond, text in notes])
+    return f.select("file", F.when(F.col("excluded"), "kecualikan (aturan salinan)").when(said == "", "pertahankan").otherwise(said).alias("usulan"))
+
+
 def revised_mapping(mapping: DataFrame, new: DataFrame, excluded: DataFrame, own: str) -> DataFrame:
     """Old rows and new files, the table's own row and left-out files marked (PR15, U2).
 

@@ -2,21 +2,28 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lumbung.functions.ranks import numbered
+
+
+def _shuffled(ids: DataFrame, seed: int) -> DataFrame:
+    """product_id, its place k in the random order, and their number n."""
+    order = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("product_id").cast("string")))
+    ranked = numbered(ids, order, "product_id", name="k")
+    return ranked.withColumn("n", F.lit(ranked.count()))
+
 
 def product_split(products: DataFrame, train: float = 0.8, validation: float = 0.1, test: float = 0.1, seed: int = 42) -> DataFrame:
     """(product_id, split) with floor sizes for train and validation and the rest for test.
 
-    The random order is that of a hash of seed and id; one row a product is ranked, which is small beside the reviews.
+    The random order is that of a hash of seed and id.
     """
     if min(train, validation, test) < 0 or abs(train + validation + test - 1) > 1e-9:
         raise ValueError("the three shares must add up to 1")
     ids = products.select("product_id").where("product_id IS NOT NULL").distinct()
-    total = ids.agg(F.count("*").alias("n"))
-    rank = F.row_number().over(Window.orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("product_id").cast("string"))), "product_id"))
-    ranked = ids.withColumn("k", rank).join(F.broadcast(total))  # one row
+    ranked = _shuffled(ids, seed)
     a, b = F.floor(F.col("n") * train), F.floor(F.col("n") * validation)
     return ranked.select("product_id", F.when(F.col("k") <= a, "train").when(F.col("k") <= a + b, "validation").otherwise("test").alias("split"))
 
@@ -24,8 +31,7 @@ def product_split(products: DataFrame, train: float = 0.8, validation: float = 0
 def temporary_split(products: DataFrame, test: float = 0.2, seed: int = 42) -> DataFrame:
     """Train and test with max(1, round(n * test)) test products."""
     ids = products.select("product_id").where("product_id IS NOT NULL").distinct()
-    rank = F.row_number().over(Window.orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("product_id").cast("string"))), "product_id"))
-    ranked = ids.withColumn("k", rank).join(F.broadcast(ids.agg(F.count("*").alias("n"))))  # one row
+    ranked = _shuffled(ids, seed)
     return ranked.select("product_id", F.when(F.col("k") <= F.greatest(F.lit(1), F.bround(F.col("n") * test)), "test").otherwise("train").alias("split"))
 
 
