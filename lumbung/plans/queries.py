@@ -5,7 +5,9 @@ Documents stand for reviews (a language is a product, a source a file), events f
 
 from __future__ import annotations
 
+import itertools
 import logging
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -83,18 +85,6 @@ def date_only(spark: SparkSession, d: str) -> DataFrame:
     return clean.date_only_candidates(flagged(spark, d))
 
 
-@query(
-    "dedup_keep_first",
-    "SELECT lang, doc_id FROM (SELECT lang, doc_id, row_number() OVER (PARTITION BY lang, text ORDER BY doc_id) AS k FROM documents) WHERE k = 1",
-)
-def dedup_keep_first(spark: SparkSession, d: str) -> DataFrame:
-    """W7."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("lang", "text").orderBy("doc_id")
-    return table(spark, d, "documents").withColumn("k", F.row_number().over(w)).where("k = 1").select("lang", "doc_id")
-
-
 @query(
     "product_summary",
     f"""WITH {REVIEWS} SELECT product_id, string_agg(DISTINCT source_file, ' | ' ORDER BY source_file) AS nama_toko, count(*) AS n_baris, count(*) FILTER (WHERE include_for_inference) AS n_include,
@@ -150,14 +140,10 @@ def text_quality(spark: SparkSession, d: str) -> DataFrame:
     UNION ALL SELECT 'keluaran', 'masuk inferensi', count(*), count(*) FILTER (WHERE include_for_inference), 'ulasan' FROM flags)""",
 )
 def cleaning_ledger(spark: SparkSession, d: str) -> DataFrame:
-    """A11 X1."""
+    """The library's short form; the full one is folder_ledger's."""
     r = flagged(spark, d)
-    return audits.ledger(
-        [
-            ("teks", "teks kosong setelah dibersihkan", r, F.count("*"), F.count_if(~F.col("is_empty")), "ulasan"), ("duplikat", "duplikat teknis", r, F.count("*"), F.count_if(~F.col("is_technical_duplicate")), "ulasan"),
-            ("keluaran", "masuk inferensi", r, F.count("*"), F.count_if(F.col("include_for_inference")), "ulasan"),
-        ]
-    )
+    rows = r.select(F.lit(None).cast("string").alias("drop_reason"))
+    return audits.flag_ledger(rows, r).where("rule IN ('teks kosong setelah dibersihkan', 'duplikat teknis', 'masuk inferensi')")
 
 
 @query("funnel", f"""WITH {REVIEWS}, b AS (SELECT product_id, count(*) AS n, count(*) FILTER (WHERE include_for_inference AND ts IS NOT NULL) AS u FROM flags GROUP BY 1)
@@ -258,9 +244,15 @@ def role_assignment(spark: SparkSession, d: str) -> DataFrame:
     return profile.column_roles(cells(spark, d)).select("file", F.col("column").alias("col"), "role", F.round("cooccurrence", 6).alias("cooccurrence"))
 
 
-@query("rebuilt_rows", None)
+@query(
+    "rebuilt_rows",
+    f"""WITH roles AS ({ORACLE_SQL["role_assignment"]}), {PROFILE_SQL}, c AS (SELECT k.*, role, role = 'review_text' AND kind = 'teks' AS fragment FROM k JOIN roles ON roles.file = k.file AND roles.col = k.col)
+    SELECT file, row_order, CAST(count(*) FILTER (WHERE fragment) AS INTEGER) AS n_fragments, CAST(count(*) FILTER (WHERE role = 'review_text' AND kind = 'label_aspek' OR role = 'aspect_tag' AND v <> '') AS INTEGER) AS n_tags,
+    coalesce(max(v) FILTER (WHERE role = 'timestamp'), '') AS timestamp_raw, CASE WHEN count(*) FILTER (WHERE fragment) > 0 THEN NULL WHEN bool_or(role = 'review_text' AND kind <> 'kosong') THEN 'hanya_bukan_teks' ELSE 'sel_kosong' END AS drop_reason,
+    coalesce(bool_or(fragment AND regexp_matches(v, '{STYLE}')), FALSE) AS seller_reply_suspect FROM c GROUP BY file, row_order""",
+)
 def rebuilt_rows(spark: SparkSession, d: str) -> DataFrame:
-    """PR7 PR8 PR9 (rows only: it follows inferred roles)."""
+    """PR7 PR8 PR9."""
     c = cells(spark, d)
     rows = clean.rebuilt_rows(clean.tagged_cells(c, profile.column_roles(c)))
     return rows.select("file", "row_order", F.size("fragments").alias("n_fragments"), F.size("tags").alias("n_tags"), "timestamp_raw", "drop_reason", "seller_reply_suspect")
@@ -277,20 +269,6 @@ def fragment_join(spark: SparkSession, d: str) -> DataFrame:
     return f.select("conv_id", C.joined_review(F.col("f")).alias("review"), C.joined_light(F.col("f")).alias("light"))
 
 
-@query(
-    "manifest_stats",
-    f"""WITH {REVIEWS} SELECT source_file AS file, count(*) AS n_keluar, count(*) FILTER (WHERE include_for_inference) AS n_include, count(*) FILTER (WHERE ts IS NULL) AS n_nat,
-    round(100.0 * count(*) FILTER (WHERE ts IS NULL) / count(*), 2) AS pct_nat, CAST(coalesce(max(q.good), 0) AS BIGINT) AS n_good FROM flags
-    LEFT JOIN (SELECT source, count(*) AS good FROM documents JOIN labels USING (doc_id) WHERE quality = 1 GROUP BY source) q ON q.source = source_file GROUP BY source_file""",
-)
-def manifest_stats(spark: SparkSession, d: str) -> DataFrame:
-    """A3 A4 J2."""
-    r = flagged(spark, d)
-    by = r.groupBy(F.col("source_file").alias("file")).agg(F.count("*").alias("n_keluar"), F.count_if(F.col("include_for_inference")).alias("n_include"), F.count_if(F.col("timestamp").isNull()).alias("n_nat"))
-    good = table(spark, d, "documents").join(table(spark, d, "labels").where("quality = 1"), "doc_id").groupBy(F.col("source").alias("file")).agg(F.count("*").alias("n_good"))
-    return by.join(good, "file", "left").na.fill(0, ["n_good"]).withColumn("pct_nat", F.round(100.0 * F.col("n_nat") / F.col("n_keluar"), 2))
-
-
 @query(
     "duplicate_groups",
     """WITH s AS (SELECT doc_id AS file, sha256(coalesce(text, '')) AS h FROM documents), g AS (SELECT h, min(file) AS first FROM s GROUP BY h HAVING count(*) > 1)
@@ -447,16 +425,13 @@ def rolling_mean(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "max_jump",
-    f"""WITH {SCORED}, j AS (SELECT user_id, row_number() OVER w - 1 AS k, round(abs(p_negatif - lag(p_negatif) OVER w), 9) AS jump FROM p WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
+    f"""WITH {SCORED}, j AS (SELECT user_id, row_number() OVER w - 1 AS k, abs(round(p_negatif, 9) - lag(round(p_negatif, 9)) OVER w) AS jump FROM p WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
     SELECT user_id, round(max(jump), 6) AS max_jump, CAST(arg_max(k, (jump, -k)) AS INTEGER) AS at FROM j WHERE jump IS NOT NULL GROUP BY user_id""",
 )
 def max_jump(spark: SparkSession, d: str) -> DataFrame:
     """W11."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    steps = scored(spark, d).select("user_id", (F.row_number().over(w) - 1).alias("at"), F.round(F.abs(F.col("p_negatif") - F.lag("p_negatif").over(w)), 9).alias("jump")).where("jump IS NOT NULL")
-    return steps.groupBy("user_id").agg(F.max(F.struct("jump", (-F.col("at")).alias("k"))).alias("b")).select("user_id", F.round("b.jump", 6).alias("max_jump"), (-F.col("b.k")).alias("at"))
+    s = scored(spark, d).withColumn("p", F.round("p_negatif", 9))
+    return eda.greatest_jump(s, "user_id", ["ts", "event_id"], "p").select("user_id", F.round("max_jump", 6).alias("max_jump"), "at")
 
 
 @query(
@@ -528,14 +503,6 @@ def export_summary(spark: SparkSession, d: str) -> DataFrame:
     return sequences.export_summary(sequences.audit_table(export_source(spark, d))).withColumn("value", F.round("value", 6))
 
 
-@query("export_invariants", f"WITH {AUDIT} SELECT CAST(15 AS BIGINT) AS checks, CAST(0 AS BIGINT) AS violations")
-def export_invariants(spark: SparkSession, d: str) -> DataFrame:
-    """No invariant of a sound export is violated."""
-    source = export_source(spark, d)
-    audit = sequences.audit_table(source)
-    return sequences.export_checks(source, audit, sequences.sequence_table(audit)).agg(F.count("*").alias("checks"), F.sum("violations").cast("bigint").alias("violations"))
-
-
 @query(
     "sequence_lengths",
     f"""WITH {SCORED}, t AS (SELECT user_id, count(*) AS t FROM p WHERE ts IS NOT NULL GROUP BY user_id)
@@ -571,12 +538,6 @@ def identical_pairs(spark: SparkSession, d: str) -> DataFrame:
     return overlap.overlap_pairs(keys, h).select("file_a", "file_b", "identical")
 
 
-@query("new_keys", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL)")
-def new_keys(spark: SparkSession, d: str) -> DataFrame:
-    """J8 U3."""
-    return table(spark, d, "customer").join(table(spark, d, "orders"), F.expr("c_custkey = o_custkey"), "left_anti").select("c_custkey")
-
-
 @query("known_keys", "SELECT c_custkey, c_name FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)")
 def known_keys(spark: SparkSession, d: str) -> DataFrame:
     """J7."""
@@ -667,7 +628,7 @@ def token_frequency(spark: SparkSession, d: str) -> DataFrame:
 @query("cooccurrence", f"WITH {PMI} SELECT word, seed, CAST(joint AS BIGINT) AS joint FROM j")
 def cooccurrence(spark: SparkSession, d: str) -> DataFrame:
     """J11."""
-    return lexicon.near_seeds(lexical_docs(spark, d), [*SEEDS[0], *SEEDS[1]], 10).groupBy("word", "seed").agg(F.sum("n").cast("bigint").alias("joint"))
+    return lexicon.joint_counts(lexical_docs(spark, d), [*SEEDS[0], *SEEDS[1]], 10)
 
 
 @query(
@@ -680,10 +641,25 @@ def semantic_orientation(spark: SparkSession, d: str) -> DataFrame:
     return lexicon.semantic_orientation(lexical_docs(spark, d), *SEEDS).select("word", "n", F.round("so", 6).alias("so"))
 
 
-@query("bootstrap_ci")
+_BOUNDS = list(itertools.accumulate(2.718281828459045**-1 / math.factorial(k) for k in range(12)))
+_DRAWN = "CAST('0x' || substr(md5('42:' || CAST(i AS VARCHAR) || ':' || CAST(doc_id AS VARCHAR)), 1, 13) AS BIGINT) / 4503599627370496.0"
+
+
+@query(
+    "bootstrap_ci",
+    rf"""WITH {PMI}, x AS (SELECT doc_id, i, {_DRAWN} AS u FROM documents, range(50) AS g(i)), d AS (SELECT doc_id, -1 AS iter, 1 AS times FROM documents UNION ALL SELECT doc_id, i, {" + ".join(f"CASE WHEN u >= {b!r} THEN 1 ELSE 0 END" for b in _BOUNDS)} FROM x),
+    uc AS (SELECT doc_id, word, count(*) AS c FROM u GROUP BY 1, 2), fw AS (SELECT iter, word, sum(c * times) AS n FROM uc JOIN d USING (doc_id) WHERE times > 0 GROUP BY 1, 2), tot AS (SELECT iter, sum(n) AS total FROM fw GROUP BY 1),
+    jd AS (SELECT a.doc_id, a.word, b.word AS seed, count(*) AS c FROM u a JOIN u b ON a.doc_id = b.doc_id AND b.word IN ('with', 'and', 'that', 'der') AND a.i <> b.i AND abs(a.i - b.i) <= 10 GROUP BY 1, 2, 3),
+    jj AS (SELECT iter, word, seed, sum(c * times) AS joint FROM jd JOIN d USING (doc_id) WHERE times > 0 GROUP BY 1, 2, 3),
+    s AS (SELECT f.iter, f.word, jj.seed, ln(CAST(jj.joint AS DOUBLE) * tot.total / (CAST(f.n AS DOUBLE) * g.n)) AS pmi FROM fw f JOIN jj ON jj.iter = f.iter AND jj.word = f.word JOIN fw g ON g.iter = f.iter AND g.word = jj.seed JOIN tot ON tot.iter = f.iter WHERE f.n >= 2),
+    o AS (SELECT f.iter, f.word, f.n, coalesce(sum(pmi) FILTER (WHERE seed IN ('with', 'and')), 0) / 2 - coalesce(sum(pmi) FILTER (WHERE seed IN ('that', 'der')), 0) / 2 AS so FROM fw f LEFT JOIN s ON s.iter = f.iter AND s.word = f.word WHERE f.n >= 2 GROUP BY 1, 2, 3),
+    r AS (SELECT word, CAST(max(n) FILTER (WHERE iter < 0) AS BIGINT) AS n, max(so) FILTER (WHERE iter < 0) AS so, quantile_cont(so, 0.025) FILTER (WHERE iter >= 0) AS low, quantile_cont(so, 0.975) FILTER (WHERE iter >= 0) AS high, count(so) FILTER (WHERE iter >= 0) AS n_iter FROM o GROUP BY word)
+    SELECT word, n, round(so, 5) AS so, round(low, 5) AS low, round(high, 5) AS high, n_iter, CASE WHEN round(low, 9) <= 0 AND round(high, 9) >= 0 THEN 'discard' WHEN low > 0 THEN 'genuine' ELSE 'counterfeit' END AS label FROM r WHERE n IS NOT NULL AND n_iter > 0""",
+)
 def bootstrap_ci(spark: SparkSession, d: str) -> DataFrame:
-    """A33 (rows only: 50 resamples, drawn by hashes)."""
-    return lexicon.bootstrap(lexical_docs(spark, d), *SEEDS, LexiconConfig())
+    """50 resamples, drawn by md5."""
+    out = lexicon.bootstrap(lexical_docs(spark, d), *SEEDS, LexiconConfig())
+    return out.select("word", "n", *[F.round(c, 5).alias(c) for c in ("so", "low", "high")], "n_iter", "label")
 
 
 @query("events_json", "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
@@ -704,14 +680,6 @@ def anonymous(spark: SparkSession, d: str) -> DataFrame:
     return eda.anonymous_labels(table(spark, d, "documents"), "source", "doc_id")
 
 
-@query("overview_counts", r"""WITH v AS (SELECT 'merek' AS measure, CASE WHEN starts_with(p_name, 'Samsung') THEN 'Samsung' ELSE 'Lainnya' END AS key FROM part UNION ALL SELECT 'toko', p_brand FROM part UNION ALL SELECT 'kapasitas', CAST(p_size AS VARCHAR) || '/128GB' FROM part)
-    SELECT measure, key, count(*) AS n FROM v GROUP BY 1, 2""")
-def overview_counts(spark: SparkSession, d: str) -> DataFrame:
-    """A27 PR18 PR28."""
-    r = table(spark, d, "part").selectExpr("p_brand AS nama_toko", "p_name AS nama_produk", "CAST(NULL AS INT) AS rating", "CAST(NULL AS TIMESTAMP_NTZ) AS timestamp", "'Kapasitas ' || CAST(p_size AS STRING) || '/128GB' AS variation")
-    return eda.overview(r).where("measure IN ('merek', 'toko', 'kapasitas')")
-
-
 @query("clean_light_pages")
 def clean_light_pages(spark: SparkSession, d: str) -> DataFrame:
     """S1 to S6, A28 (rows only: compatibility forms and HTML entities are beyond SQL)."""
@@ -730,20 +698,23 @@ def clean_proposal_documents(spark: SparkSession, d: str) -> DataFrame:
 
 
 def fake_model():
-    """A tokenizer and a forward function without a model's weights, for tests and checks of the scorer."""
-    import zlib
-
+    """A tokenizer and a forward function without a model's weights, for tests and checks of the scorer: a word's id is its length."""
     import numpy as np
 
-    weights = np.random.default_rng(0).normal(size=(600, 3))
-    return (lambda texts: [[1, *(2 + zlib.crc32(w.encode()) % 597 for w in t.split()), 599] for t in texts]), (lambda ids: np.array([weights[x].mean(axis=0) * 4 for x in ids]))
+    return (lambda texts: [[0, *map(len, t.split()), 0] for t in texts]), (lambda ids: np.array([[sum(x) / 100, len(x) / 20, 1.0] for x in ids]))
 
 
-@query("scored_documents")
+@query(
+    "scored_documents",
+    rf"""WITH w AS (SELECT doc_id, list_transform(list_filter(regexp_split_to_array(coalesce(text, ''), '\s+'), lambda x: x <> ''), lambda x: length(x)) AS l FROM documents),
+    m AS (SELECT doc_id, len(l) AS n, list_sum(l[1:127]) / 100.0 AS a, least(len(l) + 2, 128) / 20.0 AS b FROM w), e AS (SELECT *, exp(a - greatest(a, b, 1.0)) AS x, exp(b - greatest(a, b, 1.0)) AS y, exp(1.0 - greatest(a, b, 1.0)) AS z FROM m)
+    SELECT doc_id, CASE WHEN n > 0 THEN round(x / (x + y + z), 6) END AS p_positif, CASE WHEN n > 0 THEN round(y / (x + y + z), 6) END AS p_netral, CASE WHEN n > 0 THEN round(z / (x + y + z), 6) END AS p_negatif, CASE WHEN n > 0 THEN round(a, 6) END AS logit_positif,
+    CASE WHEN n > 0 THEN CAST(n + 2 AS BIGINT) END AS n_token, CASE WHEN n > 0 THEN n + 2 > 128 END AS truncated, CASE WHEN n > 0 THEN CASE WHEN z >= y AND z >= x THEN 'negatif' WHEN y >= x THEN 'netral' ELSE 'positif' END END AS label_argmax FROM e""",
+)
 def scored_documents(spark: SparkSession, d: str) -> DataFrame:
-    """S36 S37 T9 U of the scorer (rows only: any forward function)."""
+    """S36 T9 J13 of the scorer, with a forward function that SQL can repeat."""
     out = score.score_texts(table(spark, d, "documents").select("doc_id", "text"), "text", fake_model, {0: "Positive", 1: "Neutral", 2: "Negative"})
-    return out.drop("text")
+    return out.select("doc_id", *[F.round(c, 6).alias(c) for c in ("p_positif", "p_netral", "p_negatif", "logit_positif")], "n_token", "truncated", "label_argmax")
 
 
 @query("hmm_features")

@@ -46,9 +46,9 @@ def unique_headers(names: list[str]) -> list[str]:
 
 
 def read_files(spark: SparkSession, folder: str, pattern: str = "*.csv") -> DataFrame:
-    """file, length, modified, sha256 and content of each file (SC13)."""
+    """file, length, modified, sha256 and content of each file (SC13). A file in a folder ``file=name`` has that name."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder)
-    name = F.url_decode(F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\+", "%2B"))
+    name = files["file"].cast("string") if "file" in files.columns else F.url_decode(F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\+", "%2B"))
     return files.select(name.alias("file"), "length", F.col("modificationTime").alias("modified"), F.sha2("content", 256).alias("sha256"), "content")
 
 

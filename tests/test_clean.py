@@ -124,7 +124,7 @@ def test_sources_and_sinks(spark, tmp_path):
     assert files_.unique_headers(["a", "b", "a"]) == ["a", "b", "a.1"] and files_.decoded(b"caf\xe9")[1] == "cp1252"
     df = spark.createDataFrame([(1, 'a "b", c'), (2, "d e")], "k int, t string")
     sinks.write_new(df, str(tmp_path / "out"))
-    assert sinks.is_done(str(tmp_path / "out"))
+    assert sinks.is_done(spark, str(tmp_path / "out"))
     with pytest.raises(Exception, match="(?i)exists"):
         sinks.write_new(df, str(tmp_path / "out"))
     sinks.write_csv(df.orderBy("k"), str(tmp_path / "o.csv"))
