@@ -105,7 +105,7 @@ def hash_sample(spark: SparkSession, d: str) -> DataFrame:
 
 SUMMARY = f"""WITH {SCORED}, x AS (SELECT p.*, event_id % 23 = 0 AS empty, event_id % 200 AS n_token, {LABEL} AS label, event_id % 4 AS words FROM p)
 SELECT count(*) AS n, count(*) FILTER (WHERE NOT empty) AS n_scored, count(*) FILTER (WHERE empty) AS n_empty, count(*) FILTER (WHERE NOT empty AND words <= 2) AS n_very_short,
-round(100.0 * count(*) FILTER (WHERE NOT empty AND label = 'negatif') / count(*) FILTER (WHERE NOT empty), 1) AS pct_negatif, count(*) FILTER (WHERE NOT empty AND label = 'netral') AS n_netral, round(100.0 * count(*) FILTER (WHERE NOT empty AND n_token > 128) / count(*) FILTER (WHERE NOT empty), 1) AS pct_truncated,
+round_even(100.0 * count(*) FILTER (WHERE NOT empty AND label = 'negatif') / count(*) FILTER (WHERE NOT empty), 2) AS pct_negatif, count(*) FILTER (WHERE NOT empty AND label = 'netral') AS n_netral, round_even(100.0 * count(*) FILTER (WHERE NOT empty AND n_token > 128) / count(*) FILTER (WHERE NOT empty), 2) AS pct_truncated,
 round(avg(p_netral) FILTER (WHERE NOT empty), 6) AS mean_p_netral, CAST(quantile_cont(n_token, 0.5) FILTER (WHERE NOT empty) AS DOUBLE) AS token_median, max(n_token) FILTER (WHERE NOT empty) AS token_max, max(abs(p_negatif + p_netral + p_positif - 1)) FILTER (WHERE NOT empty) < 1e-9 AS sums FROM x"""
 
 
@@ -116,7 +116,7 @@ def prediction_report(spark: SparkSession, d: str) -> DataFrame:
     s = scored(spark, d).withColumns({c: F.when(~empty, p) for c, p in zip(C.PROBABILITIES, probs(), strict=True)})
     s = s.withColumns({"n_token": F.when(~empty, F.col("event_id") % 200), "truncated": ~empty & (F.col("event_id") % 200 > 128), "text": F.when(~empty, F.repeat(F.lit("kata "), (F.col("event_id") % 4).cast("int")))})
     r = eda.prediction_summary(s)
-    return r.select("n", "n_scored", "n_empty", "n_very_short", F.round("pct_negatif", 1).alias("pct_negatif"), "n_netral", F.round("pct_truncated", 1).alias("pct_truncated"), F.round("mean_p_netral", 6).alias("mean_p_netral"), "token_median", "token_max", (F.col("worst_sum") < 1e-9).alias("sums"))
+    return r.select("n", "n_scored", "n_empty", "n_very_short", "pct_negatif", "n_netral", "pct_truncated", F.round("mean_p_netral", 6).alias("mean_p_netral"), "token_median", "token_max", (F.col("worst_sum") < 1e-9).alias("sums"))
 
 
 @query("version_comparison", f"WITH {SCORED}, a AS (SELECT event_id, {LABEL} AS label FROM p WHERE event_id % 3 <> 0), b AS (SELECT event_id, CASE WHEN event_id % 5 = 0 THEN 'netral' ELSE {LABEL} END AS label FROM p WHERE event_id % 7 <> 0) SELECT a.label AS lama, count(*) FILTER (WHERE b.label = 'negatif') AS negatif, count(*) FILTER (WHERE b.label = 'netral') AS netral, count(*) FILTER (WHERE b.label = 'positif') AS positif FROM a JOIN b USING (event_id) GROUP BY a.label")
