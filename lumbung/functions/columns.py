@@ -52,9 +52,9 @@ def word_count(c: Column) -> Column:
     return F.when(trimmed(c) == "", 0).otherwise(F.size(F.split(trimmed(c), r"(?U)\s+"))).cast("bigint")
 
 
-def classify(value: Column) -> Column:
+def classify(value: Column, is_trimmed: bool = False) -> Column:
     """What a cell holds, by the first rule that fits (PR1)."""
-    t = trimmed(F.coalesce(value, F.lit("")))
+    t = value if is_trimmed else trimmed(F.coalesce(value, F.lit("")))
     rules = [
         (F.lower(t).isin(*NULL_WORDS), "kosong"),
         (t.rlike(DATE), "tanggal"),

@@ -16,7 +16,7 @@ from lumbung.functions.text import clean_light, fragment_key
 def tagged_cells(cells: DataFrame, roles: DataFrame, vocabulary: DataFrame | None = None) -> DataFrame:
     """Cells with role and kind, and ``use``: fragment, tag or other. Approved aspect words are tags (PR8)."""
     c = cells.join(roles.select("file", "column", "role"), ["file", "column"]).withColumn("value", trimmed(F.coalesce(F.col("value"), F.lit(""))))
-    c = c.withColumn("kind", classify(F.col("value")))
+    c = c.withColumn("kind", classify(F.col("value"), is_trimmed=True))
     approved: Column = F.lit(False)
     if vocabulary is not None:
         c = c.withColumn("key", F.when((F.col("role") == "review_text") & (F.col("kind") == "teks"), fragment_key("value")))

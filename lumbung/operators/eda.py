@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumbung.functions.columns import FUNCTION_WORDS, LABELS, PROBABILITIES, argmax_label, brand, capacity, color, length_class, length_classes, letters, max_probability, ngrams, percent, tokens, word_count
+from lumbung.functions.columns import FUNCTION_WORDS, LABELS, PROBABILITIES, argmax_label, brand, capacity, color, length_class, length_classes, letters, max_probability, percent, tokens, word_count
 from lumbung.functions.ranks import numbered
 
 
@@ -57,9 +59,12 @@ def time_validity(reviews: DataFrame) -> DataFrame:
 def top_ngrams(texts: DataFrame, n: int = 1, k: int = 20, stopwords: tuple[str, ...] = tuple(FUNCTION_WORDS)) -> DataFrame:
     """The k most frequent n-grams, ties by name; single stop words go, longer ones only if all of them are."""
     stop = F.array(*[F.lit(w) for w in stopwords]) if stopwords else F.array().cast("array<string>")
-    words = texts.select(tokens(F.col("text")).alias("w"))
-    grams = words.select(F.explode(ngrams(F.col("w"), n)).alias("ngram"))
-    grams = grams.where(~F.forall(F.split("ngram", " "), lambda w: F.array_contains(stop, w)))
+    words = texts.select(tokens(F.col("text")).alias("w")).where(F.size("w") >= n)
+    # stop words are marked once for each word, before any n-gram is joined
+    words = words.withColumn("s", F.transform("w", lambda w: F.array_contains(stop, w)))
+    all_stop = lambda i: reduce(lambda a, b: a & b, [F.get("s", i + k) for k in range(n)])
+    at = F.filter(F.sequence(F.lit(0), F.size("w") - n), lambda i: ~all_stop(i))
+    grams = words.select(F.explode(F.transform(at, lambda i: F.array_join(F.slice("w", i + 1, n), " "))).alias("ngram"))
     return grams.groupBy("ngram").agg(F.count("*").alias("frekuensi")).orderBy(F.desc("frekuensi"), "ngram").limit(k)
 
 

@@ -10,6 +10,7 @@ from lumbung.functions import text as T
 from lumbung.functions.ranks import numbered
 from lumbung.operators import audits, clean, eda, hmm, overlap, profile, score, sequences, split
 from lumbung.plans.queries import AUDIT, LABEL, SCORED, WORDS, export_source, probs, query, scored, table
+from lumbung.sources import sinks
 
 
 @query("numbered_rows", "SELECT l_orderkey, l_linenumber, row_number() OVER (ORDER BY l_shipdate, l_orderkey, l_linenumber) AS number FROM lineitem")
@@ -314,3 +315,13 @@ def classification_metrics(spark: SparkSession, d: str) -> DataFrame:
     """The scorer's metrics (section 2.11)."""
     l_ = scored(spark, d).select("event_id", C.argmax_label(*probs()).alias("a")).withColumn("b", F.when(F.col("event_id") % 5 == 0, "netral").otherwise(F.col("a")))
     return score.classification_metrics(l_, "a", "b").select(*[F.round(c, 6).alias(c) for c in ("accuracy", "macro_f1", "weighted_f1")])
+
+
+@query("sequence_file", f"WITH {SCORED}, t AS (SELECT *, count(*) OVER (PARTITION BY user_id) AS n, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS k FROM p) SELECT user_id AS product_id, CAST(k AS INTEGER) AS step, round(p_negatif, 9) AS p_negatif, round(p_positif, 9) AS p_positif FROM t WHERE n >= 3")
+def sequence_file(spark: SparkSession, d: str) -> DataFrame:
+    """SK6 H1: sequences of differing lengths, written as arrays and read again."""
+    s = sequences.build_sequences(scored(spark, d).withColumnsRenamed({"user_id": "product_id", "ts": "timestamp", "event_id": "row_order"}))
+    path = sinks.shared_folder(spark, "sequences")
+    sinks.write_new(s, path)
+    steps = spark.read.parquet(path).select("product_id", F.posexplode("steps").alias("step", "s"))
+    return steps.select("product_id", "step", F.round(F.col("s.x")[0], 9).alias("p_negatif"), F.round(F.col("s.x")[2], 9).alias("p_positif"))
