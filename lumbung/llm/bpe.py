@@ -24,7 +24,7 @@ from lumbung.llm.common import documents, known_words, text_of
 #: Stands for the end-of-word suffix inside pieces; byte-level alphabets have no such character.
 END = "\ue000"
 #: Remembered words, pieces and pairs of one worker; a full table starts anew.
-REMEMBER = 1 << 19
+REMEMBER = 1 << 18
 #: Bytes of results after which a worker hands on what it has.
 BATCH_BYTES = 16 << 20
 
