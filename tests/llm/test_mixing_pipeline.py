@@ -1,6 +1,7 @@
 """Mixing (7) against its SQL, and the pipeline's stages against brute-force versions of each."""
 
 import hashlib
+import math
 from collections import Counter
 
 import numpy as np
@@ -45,6 +46,30 @@ def test_mixing_odd_rows(odd, none):
     assert Counter(r["doc_id"] for r in rows)[6] % 2 == 0 and {"score", "kept", "copy_no", "rate", "mix_key"} <= set(rows[0].asDict())
 
 
+def copies_by_force(docs, seed=7):
+    """{row: copies} of rows (doc_id, text, source), from the definition of the Poisson distribution."""
+    mass = Counter()
+    for _, text, source in docs:
+        mass[source] += len(text or "")
+    weight = {k: m**0.5 for k, m in mass.items()}
+    rate = {}
+    for k, m in mass.items():
+        exact = weight[k] / sum(weight.values()) * sum(mass.values()) / m if m else 1.0
+        rate[k] = float(f"{exact:.8e}")
+    out = []
+    for i, text, source in docs:
+        key = str(i) if i is not None else hashlib.md5((text or "").encode()).hexdigest()
+        u = int(hashlib.md5(f"{seed}:copies:{key}".encode()).hexdigest()[:13], 16) / 2**52
+        n, term = 0, math.exp(-rate[source])
+        below = term
+        while u >= below:
+            n += 1
+            term *= rate[source] / n
+            below += term
+        out.append(n)
+    return out
+
+
 def stage(name):
     return dict(cp.STAGES)[name]
 
@@ -55,9 +80,11 @@ def test_stage_names():
 
 def test_pipeline_by_force(spark, sf_dir, docs, library):
     from test_dedup import components_by_force
+    from test_quality import verdicts_by_force
 
     out = cp.materialise(stage("quality rules")(spark, docs, sf_dir), "t")
-    assert out.columns == docs.columns and 0.7 < out.count() / docs.count() < 1
+    verdicts = verdicts_by_force({r["doc_id"]: (r["text"] or "", r["lang"], r["source"]) for r in docs.collect()})
+    assert out.columns == docs.columns and {r["doc_id"] for r in out.collect()} == {i for i, kept in verdicts.items() if kept} and out.count() < docs.count()
     good = {r["doc_id"]: r for r in out.collect()}
     out = cp.materialise(stage("exact dedup")(spark, out, sf_dir), "t")
     best = {}
@@ -72,7 +99,9 @@ def test_pipeline_by_force(spark, sf_dir, docs, library):
     assert {r["doc_id"] for r in out.collect()} == heads and out.columns == docs.columns
     out = cp.materialise(stage("mixing sources to target weights")(spark, out, sf_dir), "t")
     mixed = Counter(r["doc_id"] for r in out.collect())
-    assert set(mixed) <= heads and out.columns == docs.columns
+    rows = [(i, good[i]["text"], good[i]["source"]) for i in heads]
+    want = Counter({i: n for (i, _, _), n in zip(rows, copies_by_force(rows), strict=True) if n})
+    assert mixed == want and out.columns == docs.columns
     done = stage("BPE encoding and decoding")(spark, out, sf_dir).collect()
     assert Counter(r["doc_id"] for r in done) == mixed
     for r in done[:80]:
@@ -89,7 +118,19 @@ def test_stages_on_odd_rows(spark, odd, none, name):
     ids = Counter(r["doc_id"] for r in out.select("doc_id").collect())
     if name != cp.STAGES[-1][0]:
         assert out.columns == odd.columns and out.dtypes == odd.dtypes
+    rows = odd.collect()
+    if name == "quality rules":
+        from test_quality import counts_by_force
+
+        base = [counts_by_force(r["text"] or "") for r in rows]
+        assert ids == Counter(r["doc_id"] for r, n in zip(rows, base, strict=True) if n[0] >= 10 and 100 * n[4] <= 20 * n[0])
     if name == "exact dedup":
-        assert ids == {3: 1, 4: 1, 6: 1, 7: 1, 8: 1, 9: 1, 10: 1} or ids[6] + ids[7] == 1
+        assert ids == {3: 1, 4: 1, 6: 1, 7: 1, 8: 1, 9: 1, 10: 1}
+    if name == "mixing sources to target weights":
+        copies = copies_by_force([(r["doc_id"], r["text"], r["source"]) for r in rows])
+        assert ids == Counter({i: n for i in {r["doc_id"] for r in rows} if (n := sum(c for r, c in zip(rows, copies, strict=True) if r["doc_id"] == i))})
+    if name == "BPE encoding and decoding":
+        got = {r["doc_id"]: r["n_tokens"] for r in out.where("doc_id IN (1, 2, 3, 6)").collect()}
+        assert ids == Counter(r["doc_id"] for r in rows) and got[1] == got[2] == got[3] == 0 < got[6]
     if name == "n-gram Jaccard join":
         assert ids[4] == 1 and ids[5] == 0 and ids[None] == 2
