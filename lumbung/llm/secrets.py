@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import json
 import math
+import zlib
 from collections import Counter
 from functools import cache
 
@@ -51,6 +52,8 @@ TREES, DEPTH, SEED = 32, 9, 3
 GENERATED = 4000
 #: Letters of a dictionary word at least.
 WORD_LETTERS = 4
+#: Bits of the table of words.
+WORD_BITS = 1 << 22
 
 
 @cache
@@ -70,17 +73,27 @@ def dictionary(path: str) -> tuple[tuple[str, ...], dict[str, float]]:
     return tuple(words), {a + b: math.log((pairs[a + b] + 1) / ahead[a]) for a in letters for b in letters}
 
 
+@cache
+def word_bits(path: str) -> bytes:
+    """The dictionary as bits at the words' CRC-32 modulo WORD_BITS: one small value in a plan. One in a hundred other strings counts as a word."""
+    out = bytearray(WORD_BITS // 8)
+    for w in dictionary(path)[0]:
+        at = zlib.crc32(w.encode()) % WORD_BITS
+        out[at // 8] |= 1 << at % 8
+    return bytes(out)
+
+
 def features(found: DataFrame, dictionary_path: str) -> DataFrame:
     """Adds the forest's columns to rows with value, assigned, before, after (the words beside) and path."""
-    words, pairs = dictionary(dictionary_path)
+    _, pairs = dictionary(dictionary_path)
     v = F.col("value")
     share = lambda pattern: (F.length(v) - F.length(F.regexp_replace(v, pattern, ""))) / F.greatest(F.length(v), F.lit(1))
     classes = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(v, "[a-z]+", "a"), "[A-Z]+", "B"), "[0-9]+", "1"), "[^aB1]+", "-")
     # words of a name in small letters, in capitals or in both
     parts = F.transform(F.regexp_extract_all(v, F.lit("[A-Z]?[a-z]{3,}|[A-Z]{4,}"), F.lit(0)), F.lower)
-    found = found.withColumn("__parts", parts)
-    listed = ", ".join(f"'{w}'" for w in words)  # a set of a fixed size, in the plan as one
-    known = F.aggregate(F.expr(f"filter(__parts, w -> w IN ({listed}))"), F.lit(0), lambda n, w: n + F.length(w))
+    found = found.withColumns({"__parts": parts, "__words": F.lit(word_bits(dictionary_path))})
+    bit = f"shiftright(CAST(conv(hex(substring(__words, CAST(crc32(w) % {WORD_BITS} DIV 8 AS INT) + 1, 1)), 16, 10) AS INT), CAST(crc32(w) % 8 AS INT)) % 2 = 1"
+    known = F.aggregate(F.expr(f"filter(__parts, w -> {bit})"), F.lit(0), lambda n, w: n + F.length(w))
     table = F.expr(f"array({', '.join(f'{x!r}D' for x in pairs.values())})")
     two = F.transform(F.sequence(F.lit(1), F.greatest(F.length(v) - 1, F.lit(1))), lambda i: F.lower(F.substring(v, i, F.lit(2))))
     place = lambda x: (F.ascii(x) - 97) * 26 + F.ascii(F.substring(x, 2, 1)) - 96
@@ -102,7 +115,7 @@ def features(found: DataFrame, dictionary_path: str) -> DataFrame:
             "f_beside_false": (F.col("before").rlike(BESIDE_FALSE) | F.col("after").rlike(BESIDE_FALSE)).cast("double"),
             "f_path": F.coalesce(F.col("path"), F.lit("")).rlike(FALSE_PATH).cast("double"),
         }
-    ).drop("__parts")
+    ).drop("__parts", "__words")
 
 
 def generated_findings(spark: SparkSession, dictionary_path: str, n: int = GENERATED) -> DataFrame:

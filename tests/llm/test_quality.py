@@ -312,6 +312,18 @@ def test_false_findings_and_odd_rows(spark, odd, none, tokenizer_path):
     assert {i for i, v in got.items() if all(v)} == {1, 5, 6, 7, 8, 9, 10} and len(got[5]) == 2
 
 
+def test_dictionary_coverage(spark, tokenizer_path):
+    words, pairs = secrets.dictionary(tokenizer_path)
+    known = [w for w in words[:: len(words) // 300] if len(w) >= 4]
+    odd = ["qzxvkq", "wjqpfz", "xkcdqz", "zzqqxx", "vvbnqw"]
+    df = spark.createDataFrame([(w.upper() + "_" + str(i), True, "", "", None) for i, w in enumerate([*known, *odd])], "value string, assigned boolean, before string, after string, path string")
+    rows = secrets.features(df, tokenizer_path).select("value", "f_words", "f_letters").collect()
+    for r in rows:
+        w = r["value"].split("_")[0].lower()
+        assert r["f_words"] == pytest.approx(len(w) / len(r["value"]) if w in set(known) else 0)
+        assert r["f_letters"] == pytest.approx(np.mean([pairs[w[k : k + 2]] for k in range(len(w) - 1)]))
+
+
 def test_forest_of_given_findings(spark, tokenizer_path):
     """Labels of documents decide: here findings in tests are the true ones."""
     texts = [(i, f"token = {'%040x' % (i * 7919**9 % 16**40)} x", "tests/a" if i % 2 else "src/b") for i in range(1, 200)]
