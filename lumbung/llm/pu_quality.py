@@ -211,9 +211,15 @@ def _summed(rows: DataFrame, of: Callable[[np.ndarray], np.ndarray], width: int)
     return out
 
 
-def _sample(rows: DataFrame, most: int) -> np.ndarray:
-    """The measures of at most ``most`` rows, those of the smallest hashed ids, on the driver in an order of their own."""
-    got = rows.orderBy(F.xxhash64("doc_id"), "doc_id", "__x").limit(most).select("__x").collect()
+def _some(rows: DataFrame, most: int, n: int, *tie: str) -> DataFrame:
+    """At most ``most`` of ``n`` rows, those of the smallest hashed ids; a share of about 1.2 times that goes into the sort."""
+    share = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) < (1.2 * most + 200) / max(n, 1) * float(1 << 40)
+    return rows.where(share).orderBy(F.xxhash64("doc_id"), "doc_id", *tie).limit(most)
+
+
+def _sample(rows: DataFrame, most: int, n: int) -> np.ndarray:
+    """The measures of at most ``most`` rows on the driver, in an order of their own."""
+    got = _some(rows, most, n, "__x").select("__x").collect()
     out = np.frombuffer(b"".join(r[0] for r in got), "<f4").reshape(len(got), MEASURES).astype(float)
     return out[np.lexsort(out.T)] if len(out) else out
 
@@ -222,8 +228,9 @@ def train(measures: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, seed
     """Fits on rows (doc_id, __x) whose ids are not held out: trusted ones (quality 1) and web text as it comes. Returns the network and the prior."""
     pool = measures.where(~held_out(measures["doc_id"]) & measures["doc_id"].isNotNull())
     trusted = labels.where((labels["quality"] == 1) & ~held_out(labels["doc_id"]) & labels["doc_id"].isNotNull())
-    ids = trusted.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
-    good = _sample(pool.join(F.broadcast(ids), "doc_id", "left_semi"), fit_rows)  # at most fit_rows ids
+    known = trusted.select("doc_id").distinct()
+    ids = _some(known, fit_rows, known.count())
+    good = _sample(pool.join(F.broadcast(ids), "doc_id", "left_semi"), fit_rows, fit_rows)  # at most fit_rows ids
     sums = _summed(pool, lambda x: np.concatenate([[len(x)], x.sum(axis=0), (x * x).sum(axis=0)]), 1 + 2 * MEASURES)
     n = int(sums[0])
     if not len(good) or not n:
@@ -232,11 +239,11 @@ def train(measures: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, seed
     scale = np.sqrt(np.maximum(square - mean * mean, 0)) + 1e-3
     rng = np.random.default_rng(seed)
     good = good[rng.permutation(len(good))]
-    web, half = _sample(pool, fit_rows), len(good) // 2
+    web, half = _sample(pool, fit_rows, n), len(good) // 2
 
     # the first classifier learns from half of the rows and is tried on the other half
     odd = F.xxhash64("doc_id").bitwiseAND(F.lit(1)) == 1
-    learned = _sample(pool.where(~odd), fit_rows)
+    learned = _sample(pool.where(~odd), fit_rows, n // 2)
     if half and len(learned):
         first = told_apart(rng, good[:half], learned, mean, scale)
         at = thresholds(first.logits(good[half:]))
