@@ -141,7 +141,8 @@ def train(docs: DataFrame, fit_docs: int = FIT_DOCS) -> tuple[list[str], np.ndar
     keys = near.select("doc_id", "lang", "__text").distinct()
     first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "__text")
     keys = keys.withColumn("__n", F.row_number().over(first)).where(F.col("__n") <= fit_docs).drop("__n")
-    sample = near.join(keys, ["doc_id", "lang", "__text"], "left_semi").groupBy("doc_id", "lang", "__text").agg(F.max("text").alias("text"))
+    # at most fit_docs narrow rows for each of the languages, so they can be sent to all executors; else texts would be dealt out
+    sample = near.join(F.broadcast(keys), ["doc_id", "lang", "__text"], "left_semi").groupBy("doc_id", "lang", "__text").agg(F.max("text").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
