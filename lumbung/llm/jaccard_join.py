@@ -15,9 +15,11 @@ a signature, so that a class of c shingles stands c - 1 losses; the prefix is ex
 more than e. The number of classes follows the set's size, so that there are about as many pairs as shingles; a set near
 the border of two sizes has the signatures of both. Links between different sets always share a signature.
 
-Frequencies are exact and of all sets. Shingles that only one set has come first in the order; they can be no signature, so
+Frequencies are exact and of all sets, but for those of common shingles, which 16 sets of one block of text have: all of these count as equally
+frequent, above all others, and their sets do not meet in one task. Shingles that only one set has come first in the order; they can be no signature, so
 they are only counted, and a set that has more of them than it may lose can link with nothing and goes no further.
-Fingerprints travel to the task of their range in packed blocks; only shared ones come back, with their frequency.
+Fingerprints travel to the task of their range in packed blocks; only shared ones come back, with their frequency. Of common ones a block sends one
+each to the range's task, and which sets have them straight on.
 
 Verification. Sets of a signature are compared with one of them, the pivot P: the set of the most frequent shingles. Let x
 be the number of shingles by which a set differs from P (P's own unshared ones left out). Two sets A and B differ by x_A + x_B - 2c, where c counts
@@ -47,6 +49,8 @@ from lumbung.llm.common import documents, materialise, release, text_of
 RANGE_ITEMS, BLOCK_BYTES = 2 << 20, 8 << 20
 #: Sets that may share a shingle for it to be rare.
 RARE = 8
+#: Sets of one block that make a shingle common: it is then not counted any further.
+COMMON, COUNTED = 16, 65534
 #: Sets of a signature that are compared pairwise at once. Rounds of pivots before larger groups are, too.
 FEW, ROUNDS = 8, 3
 #: Bytes up to which a word's fingerprint is a sum over its places.
@@ -217,6 +221,11 @@ def _unpack(data: bytes, *kinds: str) -> list[np.ndarray]:
     return out
 
 
+def _bucket(digests: np.ndarray, bits: int) -> np.ndarray:
+    """The range of each digest, by its first bits."""
+    return np.frombuffer(digests.tobytes(), ">u8")[::2].astype(np.uint64) >> _U(64 - bits) if bits else np.zeros(len(digests), np.uint64)
+
+
 def _shared_shingles(docs: DataFrame, n: int, percent: int, bits: int) -> DataFrame:
     """(digest, n, weight, shared, often): the sets with enough shingles that other sets have too, these, how many sets have each, and the sum of that.
 
@@ -230,15 +239,43 @@ def _shared_shingles(docs: DataFrame, n: int, percent: int, bits: int) -> DataFr
 
         def blocks(sets: list[np.ndarray], digests: list[bytes]) -> pa.RecordBatch:
             h, own = np.concatenate(sets), np.repeat(np.arange(len(sets), dtype=np.uint32), [len(s) for s in sets])
-            part = (h >> _U(64 - bits)).astype(np.int32) if bits else np.zeros(len(h), np.int32)
-            order = np.argsort(part, kind="stable")
-            parts, start = np.unique(part[order], return_index=True)
-            table, sizes, out = np.frombuffer(b"".join(digests), "V16"), np.array([len(s) for s in sets], "<u4"), []
-            for i in np.split(order, start[1:]):
-                used, times = np.unique(own[i], return_counts=True)  # a set's shingles are together
-                rest = h[i] << _U(bits)
-                out.append(_pack((rest >> _U(32)).astype("<u4"), (rest >> _U(16) & _U(0xFFFF)).astype("<u2"), times.astype("<u4"), table[used], sizes[used]))
-            return pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array(out, pa.binary())], ["part", "block"])
+            table, sizes = np.frombuffer(b"".join(digests), "V16"), np.array([len(s) for s in sets], "<u4")
+            by_hash = np.argsort(h)
+            first = np.flatnonzero(np.concatenate([[True], h[by_hash[1:]] != h[by_hash[:-1]]]))
+            times = np.diff(np.append(first, len(h)))
+            common = np.zeros(len(h), bool)
+            common[by_hash] = np.repeat(times >= COMMON, times)
+            hot = h[by_hash[first[times >= COMMON]]]
+            part_of = lambda x: (x >> _U(64 - bits)).astype(np.int32) if bits else np.zeros(len(x), np.int32)
+            rest = lambda x: ((x << _U(bits) >> _U(32)).astype("<u4"), (x << _U(bits) >> _U(16) & _U(0xFFFF)).astype("<u2"))
+            to, direct, out = [], [], []
+
+            left = np.flatnonzero(~common)
+            part, hot_part = part_of(h[left]), part_of(hot)  # hot ones ascend, and so do their parts
+            order = left[np.argsort(part, kind="stable")]
+            ends, hot_ends = (np.searchsorted(np.sort(x), np.arange((1 << bits) + 1)) for x in (part, hot_part))
+            for p in np.flatnonzero((np.diff(ends) > 0) | (np.diff(hot_ends) > 0)).tolist():
+                i = order[ends[p] : ends[p + 1]]
+                used, n = np.unique(own[i], return_counts=True)  # a set's shingles are together
+                out.append(_pack(*rest(h[i]), n.astype("<u4"), table[used], sizes[used], *rest(hot[hot_ends[p] : hot_ends[p + 1]])))
+                to.append(p)
+                direct.append(-1)
+
+            i = np.flatnonzero(common)
+            if len(i):  # sets by their digests' ranges, with the range's number in each fingerprint
+                used, n = np.unique(own[i], return_counts=True)
+                of_set = np.argsort(table[used])
+                starts = np.cumsum(n) - n
+                whole = part_of(h[i]).astype(np.uint64) << _U(48) | h[i] << _U(bits) >> _U(16)
+                bucket = _bucket(table[used][of_set], bits)
+                edges = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]]))
+                for a, z in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                    some = of_set[a:z]
+                    at = np.repeat(starts[some] - (np.cumsum(n[some]) - n[some]), n[some]) + np.arange(n[some].sum())
+                    out.append(_pack(table[used[some]], sizes[used[some]], n[some].astype("<u4"), whole[at]))
+                    to.append(int(bucket[a]))
+                    direct.append(int(bucket[a]))
+            return pa.RecordBatch.from_arrays([pa.array(to, pa.int32()), pa.array(direct, pa.int32()), pa.array(out, pa.binary())], ["part", "direct", "block"])
 
         sets, digests, size = [], [], 0
         for batch in batches:
@@ -260,7 +297,8 @@ def _shared_shingles(docs: DataFrame, n: int, percent: int, bits: int) -> DataFr
             yield blocks(sets, digests)
 
     def count(part: int, held: list[bytes]) -> Iterator[pa.RecordBatch]:
-        got = [_unpack(b, "<u4", "<u2", "<u4", "V16", "<u4") for b in held]
+        got = [_unpack(b, "<u4", "<u2", "<u4", "V16", "<u4", "<u4", "<u2") for b in held]
+        common = np.unique(np.concatenate([g[5].astype(np.uint64) << _U(16) | g[6] for g in got]))
         offset = np.cumsum([0, *(len(g[3]) for g in got)])[:-1]
         own = np.concatenate([np.repeat(np.arange(o, o + len(g[2]), dtype=np.uint32), g[2]) for g, o in zip(got, offset, strict=True)])
         h = np.concatenate([g[0].astype(np.uint64) << _U(16) | g[1] for g in got])
@@ -273,14 +311,14 @@ def _shared_shingles(docs: DataFrame, n: int, percent: int, bits: int) -> DataFr
         h, own = h[order], own[order]
         start = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
         times = np.diff(np.append(start, len(h)))
-        often = np.repeat(np.minimum(times, 65535).astype("<u2"), times)
+        often = np.repeat(np.where(np.isin(h[start], common, assume_unique=True), COUNTED + 1, np.minimum(times, COUNTED)).astype("<u2"), times)
         keep = np.flatnonzero(often > 1)
         keep = keep[np.argsort(own[keep], kind="stable")]
         h, own, often = h[keep], own[keep], often[keep]
         start = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]])) if len(own) else np.empty(0, np.int64)
         of, times = own[start], np.diff(np.append(start, len(own)))
         # digests are sorted, and so each bucket of them is a stretch
-        bucket = np.frombuffer(digests[of].tobytes(), ">u8")[::2].astype(np.uint64) >> _U(64 - bits) if bits else np.zeros(len(of), np.int64)
+        bucket = _bucket(digests[of], bits)
         first = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(of) else np.empty(0, np.int64)
         cuts, out, to = np.append(start, len(own)), [], []
         for lo, hi in zip(first.tolist(), [*first[1:].tolist(), len(of)], strict=False):
@@ -293,7 +331,10 @@ def _shared_shingles(docs: DataFrame, n: int, percent: int, bits: int) -> DataFr
     def receive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, held = None, []
         for batch in batches:
-            for k, v in zip(batch.column("part").to_pylist(), batch.column("block"), strict=True):
+            for k, straight, v in zip(batch.column("part").to_pylist(), batch.column("direct").to_pylist(), batch.column("block"), strict=True):
+                if straight >= 0:
+                    yield pa.RecordBatch.from_arrays([pa.array([straight], pa.int32()), pa.array([-1], pa.int32()), pa.array([v.as_py()], pa.binary())], ["bucket", "part", "block"])
+                    continue
                 if k != current and held:
                     yield from count(current, held)
                     held = []
@@ -303,17 +344,24 @@ def _shared_shingles(docs: DataFrame, n: int, percent: int, bits: int) -> DataFr
             yield from count(current, held)
 
     def gathered(held: list[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
-        got = [(part, *_unpack(b, "V16", "<u4", "<u4", "<u4", "<u2", "<u2")) for part, b in held]
-        digests, of = np.unique(np.concatenate([g[1] for g in got]), return_inverse=True)
+        got = []
+        for part, b in held:
+            if part < 0:
+                table, sizes, times, h = _unpack(b, "V16", "<u4", "<u4", "<u8")
+                got.append((table, sizes, times, h, np.full(len(h), COUNTED + 1, "<u2")))
+            else:
+                table, sizes, times, high, low, often = _unpack(b, "V16", "<u4", "<u4", "<u4", "<u2", "<u2")
+                got.append((table, sizes, times, _U(part) << _U(48) | high.astype(np.uint64) << _U(16) | low, often))
+        digests, of = np.unique(np.concatenate([g[0] for g in got]), return_inverse=True)
         sizes = np.zeros(len(digests), np.int64)
-        sizes[of] = np.concatenate([g[2] for g in got])
-        own = np.repeat(of, np.concatenate([g[3] for g in got]))
-        # a set with fewer shared shingles than any link needs is out
-        enough = 100 * np.bincount(own, minlength=len(digests)) >= percent * sizes
-        keep = np.flatnonzero(enough[own])
-        h = np.concatenate([_U(g[0]) << _U(48) | g[4].astype(np.uint64) << _U(16) | g[5] for g in got])[keep]
-        own, often = own[keep], np.concatenate([g[6] for g in got])[keep]
+        sizes[of] = np.concatenate([g[1] for g in got])
+        own = np.repeat(of, np.concatenate([g[2] for g in got]))
+        h, often = np.concatenate([g[3] for g in got]), np.concatenate([g[4] for g in got])
+        del got
         order = np.lexsort((h, own))
+        order = order[np.concatenate([[True], (own[order[1:]] != own[order[:-1]]) | (h[order[1:]] != h[order[:-1]])])]  # copies of a set in several blocks
+        # a set with fewer shared shingles than any link needs is out
+        order = order[(100 * np.bincount(own[order], minlength=len(digests)) >= percent * sizes)[own[order]]]
         h, own, often = h[order], own[order], often[order]
         start = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]])) if len(own) else np.empty(0, np.int64)
         ends = np.append(start[1:], len(own))
@@ -335,7 +383,7 @@ def _shared_shingles(docs: DataFrame, n: int, percent: int, bits: int) -> DataFr
         if held:
             yield from gathered(held)
 
-    sent = _texts(docs).mapInArrow(send, "part int, block binary")
+    sent = _texts(docs).mapInArrow(send, "part int, direct int, block binary")
     shared = sent.repartition("part").sortWithinPartitions("part").mapInArrow(receive, "bucket int, part int, block binary")
     return shared.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(collect, "digest binary, n bigint, weight bigint, shared binary, often binary")
 
