@@ -229,6 +229,7 @@ def file_mapping(file: Column) -> Column:
     parts = shop_and_product(file)
     several = F.length(stem) - F.length(F.replace(stem, F.lit("_"), F.lit(""))) > 1
     whole = parts["ok"] & (parts["shop"] != "") & (parts["product"] != "")
+    # fixed values: the notes
     notes = (
         (several, "lebih dari satu underscore; dipisah pada underscore terakhir"),
         (F.regexp_count(F.lower(file), F.lit(r"\.csv")) > 1, "akhiran .csv berulang dibuang"),

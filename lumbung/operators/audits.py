@@ -81,6 +81,7 @@ def cleaning_ledger(run: CleanResult) -> DataFrame:
     n, count = F.count("*"), F.count_if
     mapping, rows, r, cells = run.mapping, run.rows, run.reviews, run.tagged.where("value <> ''")
     in_review, text = F.col("role") == "review_text", F.col("use") == "fragment"
+    # fixed values: names of stages and rules
     full, kept = count(~F.col("drop_reason").eqNullSafe(F.lit("sel_kosong"))), count(F.col("drop_reason").isNull())
     empty, short = F.col("is_empty"), F.col("is_short")
     fixed = ledger(

@@ -76,6 +76,7 @@ def suggestions(files: DataFrame, clashes: DataFrame, threshold: float = 80.0) -
     """(file, usulan): what to do with each file, and why (X6). files: file, product_key, n_reviews, pct, excluded."""
     f = files.join(clashes.select("product_key", F.lit(True).alias("clash")), "product_key", "left")
     share = F.expr("format_number(pct, '0.######')")
+    # fixed values: the notes
     notes = (
         (F.col("n_reviews") == 0, F.lit("0 ulasan terbaca (cleaning akan melewati berkas); cek skema")),
         (F.col("pct") >= threshold, F.concat(F.lit("tumpang tindih "), share, F.lit("% tanpa nama salinan; tinjau manual"))),
