@@ -19,14 +19,14 @@ from collections.abc import Iterator
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
-from lumbung.llm.common import documents, known_words, text_of
+from lumbung.llm.common import documents, give_back, known_words, text_of, tidy
 
 #: Stands for the end-of-word suffix inside pieces; byte-level alphabets have no such character.
 END = "\ue000"
 #: Remembered words, pieces and pairs of one worker; a full table starts anew.
-REMEMBER = 1 << 18
+REMEMBER = 1 << 17
 #: Bytes of results after which a worker hands on what it has.
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 4 << 20
 
 
 class _Memo(dict):
@@ -229,6 +229,7 @@ def encoder(path: str) -> BacktrackingEncoder:
     """One encoder for each worker process and vocabulary file."""
     if path not in _ENCODERS:
         _ENCODERS[path] = BacktrackingEncoder(path)
+        give_back()  # what reading the file took
     return _ENCODERS[path]
 
 
@@ -265,7 +266,7 @@ def encode_documents(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_i
                     size += len(to[-1])
             yield made(batch, first)
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(tidy(run), schema)
 
 
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

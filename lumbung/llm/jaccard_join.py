@@ -43,7 +43,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lumbung.llm.common import documents, materialise, release, text_of
+from lumbung.llm.common import documents, materialise, release, text_of, tidy
 
 #: Fingerprints for each range: what a task holds at a time. Text bytes that a task gathers before it sends its blocks.
 RANGE_ITEMS, BLOCK_BYTES = 2 << 20, 8 << 20
@@ -200,7 +200,7 @@ def _set_rows(docs: DataFrame, n: int) -> DataFrame:
             got = [(len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest()) for s in shingle_sets([t.as_py() for t in batch.column("__text").cast(pa.binary())], n)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([k for k, _ in got], pa.int64()), pa.array([d for _, d in got], pa.binary())], ["doc_id", "n", "digest"])
 
-    return _texts(docs).mapInArrow(run, "doc_id bigint, n bigint, digest binary")
+    return _texts(docs).mapInArrow(tidy(run), "doc_id bigint, n bigint, digest binary")
 
 
 def _pack(*arrays: np.ndarray) -> bytes:
@@ -383,9 +383,9 @@ def _shared_shingles(docs: DataFrame, n: int, percent: int, bits: int) -> DataFr
         if held:
             yield from gathered(held)
 
-    sent = _texts(docs).mapInArrow(send, "part int, direct int, block binary")
-    shared = sent.repartition("part").sortWithinPartitions("part").mapInArrow(receive, "bucket int, part int, block binary")
-    return shared.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(collect, "digest binary, n bigint, weight bigint, shared binary, often binary")
+    sent = _texts(docs).mapInArrow(tidy(send), "part int, direct int, block binary")
+    shared = sent.repartition("part").sortWithinPartitions("part").mapInArrow(tidy(receive), "bucket int, part int, block binary")
+    return shared.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(tidy(collect), "digest binary, n bigint, weight bigint, shared binary, often binary")
 
 
 def _beside(sets: DataFrame, pairs: DataFrame, more: tuple[str, ...] = ()) -> DataFrame:
@@ -406,7 +406,7 @@ def _compared(sets: DataFrame, pairs: DataFrame) -> DataFrame:
                 common.append(len(x) + len(y) - len(np.unique(np.concatenate([x, y]))))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(common, pa.int64())], ["a", "b", "common"])
 
-    return _beside(sets, pairs).mapInArrow(run, "a binary, b binary, common bigint")
+    return _beside(sets, pairs).mapInArrow(tidy(run), "a binary, b binary, common bigint")
 
 
 def _differences(sets: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -432,7 +432,7 @@ def _differences(sets: DataFrame, pairs: DataFrame) -> DataFrame:
             if parts:
                 yield rows()
 
-    return _beside(sets, pairs, ("s",)).mapInArrow(run, "p binary, k binary, s bigint, d bigint")
+    return _beside(sets, pairs, ("s",)).mapInArrow(tidy(run), "p binary, k binary, s bigint, d bigint")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -571,7 +571,7 @@ def jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
             sig = np.concatenate([*got, np.empty(0, np.uint64)]).view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(sig), *(batch.column(c).take(pa.array(row)) for c in ("k", "n", "weight"))], ["sig", "k", "n", "weight"])
 
-    signed = sets.mapInArrow(sign, "sig bigint, k binary, n bigint, weight bigint").join(ids, "k").select("sig", "k", "doc_id", "n", "weight", F.lit(0).alias("side"))
+    signed = sets.mapInArrow(tidy(sign), "sig bigint, k binary, n bigint, weight bigint").join(ids, "k").select("sig", "k", "doc_id", "n", "weight", F.lit(0).alias("side"))
 
     # rows of one id are one document: it links the classes of all its sets, and itself if a row of it has no set
     again = rows.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("__rows")).where("__rows > 1").select("doc_id")

@@ -124,3 +124,28 @@ def test_shards_of_many_empty_records(spark, tokenizer_path):
     index = records.write_records(df, tokenizer_path, folder, shard_records=100)
     assert index.groupBy("file").count().agg({"count": "max"}).first()[0] == 100
     assert records.read_records(spark, folder).where("n_tokens = 1").count() == 3000
+
+
+def test_workers_give_memory_back():
+    """A task's freed memory goes back to the system at its end, also from below what stays."""
+    import subprocess
+    import sys
+
+    code = """
+import os
+from lumbung.llm.common import tidy
+
+def held():
+    with open("/proc/self/statm") as f:
+        return int(f.read().split()[1]) * os.sysconf("SC_PAGESIZE") >> 20
+
+def run(batches):
+    some = [os.urandom(4000) for _ in range(50_000)]
+    keep.append(os.urandom(4000))  # lies above them
+    yield len(some)
+
+keep, before = [], held()
+assert list(tidy(run)([])) == [50_000]
+assert held() - before < 60, held() - before
+"""
+    subprocess.run([sys.executable, "-c", code], check=True)
