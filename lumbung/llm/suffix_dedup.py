@@ -144,6 +144,32 @@ def _by_key(batches: Iterator, key: str, value: str) -> Iterator[list[bytes]]:
         yield held
 
 
+def _dealt(keys: np.ndarray, counts: np.ndarray, values: np.ndarray, bits: int):
+    """Rows (bucket, block) of the numbers of each text, one for each range of the ascending keys, whatever the number of texts."""
+    bucket = np.frombuffer(keys.tobytes(), ">u4")[::4].astype(np.int64) >> (32 - bits)
+    ends = np.append(0, np.cumsum(counts))
+    edges = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]]))
+    out = [_pack(keys[a:z], counts[a:z].astype("<u4"), values[ends[a] : ends[z]].astype("<u4")) for a, z in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
+    return _batch({"bucket": (bucket[edges[:-1]].tolist(), "int"), "block": (out, "binary")})
+
+
+def _by_text(blocks: DataFrame, name: str) -> DataFrame:
+    """(key, ``name``): all numbers of each text, one row a text."""
+
+    def run(batches: Iterator) -> Iterator:
+        for held in _by_key(batches, "bucket", "block"):
+            got = [_unpack(b, "V16", "<u4", "<u4") for b in held]
+            keys, of = np.unique(np.concatenate([g[0] for g in got]), return_inverse=True)
+            own = np.repeat(of, np.concatenate([g[1] for g in got]))
+            values = np.concatenate([g[2] for g in got])[np.argsort(own, kind="stable")]
+            ends = np.append(0, np.cumsum(np.bincount(own, minlength=len(keys))))
+            for lo in range(0, len(keys), 4096):
+                some = range(lo, min(lo + 4096, len(keys)))
+                yield _batch({"key": ([keys[i].tobytes() for i in some], "binary"), name: ([values[ends[i] : ends[i + 1]].tobytes() for i in some], "binary")})
+
+    return blocks.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, f"key binary, {name} binary")
+
+
 def _anchor_blocks(texts: DataFrame, bits: int, length: int) -> DataFrame:
     """Blocks (range, block) of fingerprints, positions and text keys. A task takes each text once."""
 
@@ -177,8 +203,8 @@ def _anchor_blocks(texts: DataFrame, bits: int, length: int) -> DataFrame:
     return texts.select("key", "b").mapInArrow(run, "part int, block binary")
 
 
-def _shared_anchors(blocks: DataFrame) -> DataFrame:
-    """(key, places): positions of anchors whose fingerprint occurs in more than one text."""
+def _shared_anchors(blocks: DataFrame, bits: int) -> DataFrame:
+    """(bucket, block): positions of anchors whose fingerprint occurs in more than one text, by text."""
 
     def run(batches: Iterator) -> Iterator:
         for held in _by_key(batches, "part", "block"):
@@ -198,13 +224,10 @@ def _shared_anchors(blocks: DataFrame) -> DataFrame:
             if not len(both):
                 continue
             own, at = both >> _U(32), (both & _U(0xFFFFFFFF)).astype("<u4")
-            start = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
-            ends = np.append(start[1:], len(own))
-            for lo in range(0, len(start), 4096):
-                some = list(zip(start[lo : lo + 4096].tolist(), ends[lo : lo + 4096].tolist(), strict=True))
-                yield _batch({"key": ([keys[int(own[a])].tobytes() for a, _ in some], "binary"), "places": ([at[a:z].tobytes() for a, z in some], "binary")})
+            used, counts = np.unique(own.astype(np.int64), return_counts=True)
+            yield _dealt(keys[used], counts, at, bits)
 
-    return blocks.repartition("part").sortWithinPartitions("part").mapInArrow(run, "key binary, places binary")
+    return blocks.repartition("part").sortWithinPartitions("part").mapInArrow(run, "bucket int, block binary")
 
 
 def _stretches(texts: DataFrame, bits: int, length: int) -> DataFrame:
@@ -215,7 +238,7 @@ def _stretches(texts: DataFrame, bits: int, length: int) -> DataFrame:
         for rows in _gathered(batches, "key", "first", "b", "places"):
             shard, low, high, own, offset = [], [], [], [], []
             for n, (_, _, b, places) in enumerate(rows):
-                at = np.unique(np.concatenate([np.frombuffer(x, "<u4") for x in places])).astype(np.int64)
+                at = np.unique(np.frombuffer(places, "<u4")).astype(np.int64)
                 h = _mixed(fingerprints(b, ANCHOR)[at] ^ _U(0x5851F42D4C957F2D))
                 shard.append((h >> _U(64 - bits)).astype(np.int32) if bits else np.zeros(len(h), np.int32))
                 low.append(np.maximum(at - around, 0))
@@ -293,8 +316,8 @@ def _not_alone(stretches: list[bytes], of: np.ndarray, offset: np.ndarray) -> np
     return np.unique(np.array([n for some in by.values() if len(some) > 1 for n in some], np.int64))
 
 
-def _spans(blocks: DataFrame, length: int) -> DataFrame:
-    """(key, spans): pairs of positions whose bytes are repeats, by text."""
+def _spans(blocks: DataFrame, bits: int, length: int) -> DataFrame:
+    """(bucket, block): pairs of positions whose bytes are repeats, by text."""
 
     def run(batches: Iterator) -> Iterator:
         for held in _by_key(batches, "shard", "block"):
@@ -339,17 +362,14 @@ def _spans(blocks: DataFrame, length: int) -> DataFrame:
             own = of_text[own]
             order = np.lexsort((high, low, own))
             low, high, own = low[order], high[order], own[order]
-            edges = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]])) if len(own) else np.empty(0, np.int64)
-            for k in range(0, len(edges), 4096):
-                some, out = edges[k : k + 4096].tolist(), []
-                upto = [*edges[k + 1 : k + 1 + len(some)].tolist()]
-                upto += [len(own)] * (len(some) - len(upto))
-                for a, z in zip(some, upto, strict=True):
-                    x, y = _merged(low[a:z], high[a:z])
-                    out.append(np.stack([x, y], axis=1).astype("<u4").tobytes())
-                yield _batch({"key": ([names[own[a]].tobytes() for a in some], "binary"), "spans": (out, "binary")})
+            if not len(own):
+                continue
+            used, first = np.unique(own, return_index=True)
+            merged = [_merged(low[a:z], high[a:z]) for a, z in zip(first.tolist(), [*first[1:].tolist(), len(own)], strict=True)]
+            pairs = np.concatenate([np.stack(m, axis=1).ravel() for m in merged])
+            yield _dealt(names[used], np.array([2 * len(x) for x, _ in merged]), pairs, bits)
 
-    return blocks.repartition("shard").sortWithinPartitions("shard").mapInArrow(run, "key binary, spans binary")
+    return blocks.repartition("shard").sortWithinPartitions("shard").mapInArrow(run, "bucket int, block binary")
 
 
 def _merged(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -373,12 +393,13 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     firsts = materialise(texts.groupBy("key").agg(F.min("doc_id").alias("first"), F.first(F.octet_length("b")).alias("n")), "repeat-texts")
     total = firsts.agg(F.sum("n")).first()[0] or 0
 
-    shared = materialise(_shared_anchors(_anchor_blocks(texts, _bits(total, RANGE_BYTES), length)), "repeat-anchors")
-    places = shared.groupBy("key").agg(F.collect_list("places").alias("places")).join(firsts.select("key", "first"), "key")
+    ranges, shards = _bits(total, RANGE_BYTES), _bits(total, SHARD_BYTES)
+    shared = materialise(_shared_anchors(_anchor_blocks(texts, ranges, length), ranges), "repeat-anchors")
+    places = _by_text(shared, "places").join(firsts.select("key", "first"), "key")
     ours = texts.join(places.hint("shuffle_hash"), "key").where("doc_id = first").select("key", "first", "b", "places")
-    spans = materialise(_spans(_stretches(ours, _bits(total, SHARD_BYTES), length), length), "repeat-spans")
+    spans = materialise(_spans(_stretches(ours, shards, length), ranges, length), "repeat-spans")
 
-    found = firsts.select("key", "first").join(spans.groupBy("key").agg(F.collect_list("spans").alias("spans")), "key", "left")
+    found = firsts.select("key", "first").join(_by_text(spans, "spans"), "key", "left")
     joined = rows.join(found.hint("shuffle_hash"), "key", "left").select("doc_id", "b", (F.col("doc_id") > F.col("first")).alias("copy"), F.when(F.col("doc_id") == F.col("first"), F.col("spans")).alias("spans"))
 
     def run(batches: Iterator) -> Iterator:
@@ -392,7 +413,7 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                 if copy.as_py():
                     low, high = np.array([0]), np.array([len(b)])
                 elif spans:
-                    pairs = np.concatenate([np.frombuffer(s, "<u4").reshape(-1, 2) for s in spans]).astype(np.int64)
+                    pairs = np.frombuffer(spans, "<u4").reshape(-1, 2).astype(np.int64)
                     pairs = pairs[np.argsort(pairs[:, 0], kind="stable")]
                     low, high = _merged(pairs[:, 0], pairs[:, 1])
                 left = b"".join(b[a:z] for a, z in zip([0, *high.tolist()], [*low.tolist(), len(b)], strict=True))

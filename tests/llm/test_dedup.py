@@ -72,6 +72,25 @@ def test_op4_on_runs_and_edges(spark):
     assert results(suffix_dedup.suffix_dedup(df)) == spans_by_force(texts)
 
 
+def test_op4_sends_blocks_and_not_texts(spark, monkeypatch):
+    """What ranges and shards find goes on in a block for each range of texts: not in a row for each text of each range."""
+    rng = random.Random(5)
+    passages = ["".join(rng.choice("abcdefgh ") for _ in range(90)) for _ in range(40)]
+    texts = {i: " ".join([str(rng.random()), *rng.sample(passages, 12)]) for i in range(300)}
+    kept, sent = suffix_dedup.materialise, {}
+
+    def counted(df, purpose):
+        out = kept(df, purpose)
+        sent[purpose] = out.count()
+        return out
+
+    monkeypatch.setattr(suffix_dedup, "materialise", counted)
+    monkeypatch.setattr(suffix_dedup, "RANGE_BYTES", 100_000)
+    df = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    assert results(suffix_dedup.suffix_dedup(df)) == spans_by_force(texts)
+    assert 0 < sent["repeat-anchors"] <= 16 and 0 < sent["repeat-spans"] <= 16
+
+
 def test_op4_odd_rows(odd, none):
     assert suffix_dedup.suffix_dedup(none).count() == 0
     rows = suffix_dedup.suffix_dedup(odd).collect()
