@@ -103,16 +103,16 @@ def unpacked(rows: DataFrame, like: DataFrame) -> DataFrame:
 HASH_BITS = 1 << 26
 
 
-def hash_bits(keys: DataFrame, key: Column, purpose: str) -> DataFrame:
-    """Which hashes modulo HASH_BITS occur among some keys: 8 MB at most."""
-    place = F.pmod(key, F.lit(HASH_BITS)) + 1
+def hash_bits(keys: DataFrame, key: Column, purpose: str, size: int = HASH_BITS) -> DataFrame:
+    """Which hashes modulo ``size`` occur among some keys: 8 MB at most by default."""
+    place = F.pmod(key, F.lit(size)) + 1
     table = keys.select(place.alias("p")).groupBy(F.bitmap_bucket_number("p").alias("__bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("__bits"))
     return F.broadcast(materialise(table, purpose))
 
 
-def with_maybe(rows: DataFrame, key: Column, bits: DataFrame, name: str) -> DataFrame:
+def with_maybe(rows: DataFrame, key: Column, bits: DataFrame, name: str, size: int = HASH_BITS) -> DataFrame:
     """``rows`` with a boolean: false if the key is surely not among those of ``bits``, else true."""
-    place = F.pmod(key, F.lit(HASH_BITS)) + 1
+    place = F.pmod(key, F.lit(size)) + 1
     out = rows.withColumn("__place", place)
     out = out.join(bits, F.bitmap_bucket_number("__place") == bits["__bucket"], "left")
     at = F.bitmap_bit_position("__place")

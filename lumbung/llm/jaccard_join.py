@@ -43,7 +43,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lumbung.llm.common import documents, materialise, release, text_of, tidy
+from lumbung.llm.common import documents, hash_bits, materialise, release, text_of, tidy, with_maybe
 
 #: Fingerprints for each range: what a task holds at a time. Text bytes that a task gathers before it sends its blocks.
 RANGE_ITEMS, BLOCK_BYTES = 2 << 20, 8 << 20
@@ -53,6 +53,8 @@ RARE = 8
 COMMON, COUNTED = 16, 65534
 #: Sets of a signature that are compared pairwise at once. Rounds of pivots before larger groups are, too.
 FEW, ROUNDS = 8, 3
+#: Bits of the tables of sets that are still looked up: 1 MB each.
+OPEN_BITS = 1 << 23
 #: Bytes up to which a word's fingerprint is a sum over its places.
 SHORT_WORD = 64
 
@@ -388,8 +390,15 @@ def _shared_shingles(docs: DataFrame, n: int, percent: int, bits: int) -> DataFr
     return shared.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(tidy(collect), "digest binary, n bigint, weight bigint, shared binary, often binary")
 
 
+def _open(sets: DataFrame, keys: DataFrame) -> DataFrame:
+    """The sets of some keys ``k``, and maybe a few others: sets are long, and only those that a join asks for go through its shuffle."""
+    bits = hash_bits(keys, F.xxhash64("k"), "jaccard-bits", OPEN_BITS)
+    return with_maybe(sets, F.xxhash64("k"), bits, "__maybe", OPEN_BITS).where("__maybe").drop("__maybe")
+
+
 def _beside(sets: DataFrame, pairs: DataFrame, more: tuple[str, ...] = ()) -> DataFrame:
     """The pairs (a, b) with the shared shingles of both, as set_a and set_b."""
+    sets = _open(sets, pairs.select(F.col("a").alias("k")).union(pairs.select("b")))
     one, two = (sets.select(F.col("k").alias(c), F.col("shared").alias(f"set_{c}")) for c in "ab")
     return pairs.join(one, "a").join(two, "b").select("a", "b", *more, "set_a", "set_b")
 
@@ -509,7 +518,7 @@ def _linked(sets: DataFrame, ids: DataFrame, signed: DataFrame, links: DataFrame
         release(groups, near, beside)
         if turn == 0:  # few sets are still of interest
             members = apart.select("k").union(apart.select("p")).distinct()
-            sets = materialise(sets.join(members, "k", "left_semi"), "jaccard-open")
+            sets = materialise(_open(sets, members), "jaccard-open")
             old.append(sets)
         last = turn == ROUNDS - 1
         few = apart if last else apart.where(f"size <= {FEW}")
@@ -521,6 +530,8 @@ def _linked(sets: DataFrame, ids: DataFrame, signed: DataFrame, links: DataFrame
             break
         # differences that no other set of the pivot has stand for losses only
         some = judged.join(many, ["p", "k"], "left_semi")
+        some = materialise(some, "jaccard-some")
+        old.append(some)
         listed = materialise(_differences(sets, some.select(F.col("p").alias("a"), F.col("k").alias("b"), "s")), "jaccard-differences")
         often = listed.groupBy("p", "d").agg(F.count(F.lit(1)).alias("often")).where("often > 1")
         order = Window.partitionBy("p", "k").orderBy("often", "d")

@@ -11,6 +11,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
+from lumbung.llm import jaccard_join as jaccard
 from lumbung.llm import suffix_dedup
 from lumbung.llm.exact_dedup import OP2_SQL, exact_dedup, op2_exact_dedup
 from lumbung.llm.jaccard_join import components, jaccard_join, op9_jaccard_join, shingle_sets, word_hashes
@@ -255,6 +256,16 @@ def test_join_of_a_large_group_of_near_copies(spark, n, percent, length, edits,
     assert joined(jaccard_join(df, n, percent)) == expected
 
 
+def test_comparing_a_pair_reads_its_sets_only(spark):
+    """Sets that no pair asks for do not go through the joins of a comparison."""
+    sets = spark.createDataFrame([(i.to_bytes(16, "big"), np.arange(i, i + 9, dtype="<u8").tobytes()) for i in range(2000)], "k binary, shared binary")
+    pairs = spark.createDataFrame([((7).to_bytes(16, "big"), (9).to_bytes(16, "big")), ((7).to_bytes(16, "big"), (1900).to_bytes(16, "big"))], "a binary, b binary")
+    assert sorted(r["common"] for r in jaccard._compared(sets, pairs).collect()) == [0, 7]
+    keys = pairs.selectExpr("a AS k").union(pairs.select("b"))
+    left = {int.from_bytes(r["k"], "big") for r in jaccard._open(sets, keys).collect()}
+    assert left >= {7, 9, 1900} and len(left) < 10
+
+
 def test_words_of_equal_sums():
     """Words that sums of powers cannot tell apart have fingerprints of their own."""
     for size in (8, 64, 1024, 4096):
