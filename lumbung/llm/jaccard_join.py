@@ -18,8 +18,10 @@ the border of two sizes has the signatures of both. Links between different sets
 Frequencies are exact and of all sets, but for those of common shingles, which 16 sets of one block of text have: all of these count as equally
 frequent, above all others, and their sets do not meet in one task. Shingles that only one set has come first in the order; they can be no signature, so
 they are only counted, and a set that has more of them than it may lose can link with nothing and goes no further.
-Fingerprints travel to the task of their range in packed blocks; only shared ones come back, with their frequency. Of common ones a block sends one
-each to the range's task, and which sets have them straight on.
+Fingerprints travel to the task of their range in packed blocks, beside the set's number in its block; only shared ones come back, with their
+frequency, to where the block's table of digests is sent. Of common ones a block sends one each to the range's task, and which sets have them straight on.
+Of equal sets only the first is sent, but for a few that a table of bits cannot tell from it. Those count as sets of their own: then shingles that
+no other set has may pass for shared ones, which costs time and changes no link.
 
 Verification. Sets of a signature are compared with one of them, the pivot P: the set of the most frequent shingles. Let x
 be the number of shingles by which a set differs from P (P's own unshared ones left out). Two sets A and B differ by x_A + x_B - 2c, where c counts
@@ -223,25 +225,45 @@ def _unpack(data: bytes, *kinds: str) -> list[np.ndarray]:
     return out
 
 
-def _bucket(digests: np.ndarray, bits: int) -> np.ndarray:
-    """The range of each digest, by its first bits."""
-    return np.frombuffer(digests.tobytes(), ">u8")[::2].astype(np.uint64) >> _U(64 - bits) if bits else np.zeros(len(digests), np.uint64)
+def _planes(numbers: np.ndarray) -> np.ndarray:
+    """The first bytes of all numbers of 4 bytes, then all second ones and so on: small numbers are packed to little."""
+    return np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T)
+
+
+def _numbers(planes: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(planes.reshape(4, -1).T).view("<u4").ravel()
+
+
+def _gaps(own: np.ndarray) -> np.ndarray:
+    """Ascending numbers, packed as their differences."""
+    return _planes(np.diff(own.astype(np.int64), prepend=0))
+
+
+def _from_gaps(planes: np.ndarray) -> np.ndarray:
+    return np.cumsum(_numbers(planes), dtype=np.int64)
 
 
 def _shared_shingles(docs: DataFrame, n: int, percent: int, bits: int) -> DataFrame:
     """(digest, n, weight, shared, often): the sets with enough shingles that other sets have too, these, how many sets have each, and the sum of that.
 
-    A task takes each set once; copies in several tasks are told apart by their digests in the ranges' tasks. What these find goes to
-    the tasks of the digests' ranges, packed as well.
+    A set goes by its number in its block. A block's table of digests and sizes is sent once, to where the ranges' tasks send what they
+    find of the block, so what a shingle costs does not grow with the number of ranges. A task takes each set once; a copy in another
+    task counts as another set there, which gives both more shared shingles than they need, and a row each.
     """
     import pyarrow as pa
+    from pyspark import TaskContext
+
+    sent_as = ["part", "block", "direct", "data"]
+    found_as = ["block", "part", "data"]
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
 
-        def blocks(sets: list[np.ndarray], digests: list[bytes]) -> pa.RecordBatch:
+        def blocks(sets: list[np.ndarray], digests: list[bytes], number: int) -> pa.RecordBatch:
             h, own = np.concatenate(sets), np.repeat(np.arange(len(sets), dtype=np.uint32), [len(s) for s in sets])
-            table, sizes = np.frombuffer(b"".join(digests), "V16"), np.array([len(s) for s in sets], "<u4")
+            table, sizes = np.frombuffer(b"".join(digests), np.uint8), np.array([len(s) for s in sets], "<u4")
+            name = hashlib.blake2b(table.tobytes(), digest_size=8, key=f"{TaskContext.get().partitionId()} {number}".encode())
+            block = int.from_bytes(name.digest(), "little", signed=True)
             by_hash = np.argsort(h)
             first = np.flatnonzero(np.concatenate([[True], h[by_hash[1:]] != h[by_hash[:-1]]]))
             times = np.diff(np.append(first, len(h)))
@@ -250,36 +272,27 @@ def _shared_shingles(docs: DataFrame, n: int, percent: int, bits: int) -> DataFr
             hot = h[by_hash[first[times >= COMMON]]]
             part_of = lambda x: (x >> _U(64 - bits)).astype(np.int32) if bits else np.zeros(len(x), np.int32)
             rest = lambda x: ((x << _U(bits) >> _U(32)).astype("<u4"), (x << _U(bits) >> _U(16) & _U(0xFFFF)).astype("<u2"))
-            to, direct, out = [], [], []
+            to, out = [], []
 
             left = np.flatnonzero(~common)
             part, hot_part = part_of(h[left]), part_of(hot)  # hot ones ascend, and so do their parts
             order = left[np.argsort(part, kind="stable")]
             ends, hot_ends = (np.searchsorted(np.sort(x), np.arange((1 << bits) + 1)) for x in (part, hot_part))
             for p in np.flatnonzero((np.diff(ends) > 0) | (np.diff(hot_ends) > 0)).tolist():
-                i = order[ends[p] : ends[p + 1]]
-                used, n = np.unique(own[i], return_counts=True)  # a set's shingles are together
-                out.append(_pack(*rest(h[i]), n.astype("<u4"), table[used], sizes[used], *rest(hot[hot_ends[p] : hot_ends[p + 1]])))
+                i = order[ends[p] : ends[p + 1]]  # a set's shingles are together
+                out.append(_pack(*rest(h[i]), _gaps(own[i]), *rest(hot[hot_ends[p] : hot_ends[p + 1]])))
                 to.append(p)
-                direct.append(-1)
 
+            # common shingles go straight on with the table, with the range's number in each fingerprint
             i = np.flatnonzero(common)
-            if len(i):  # sets by their digests' ranges, with the range's number in each fingerprint
-                used, n = np.unique(own[i], return_counts=True)
-                of_set = np.argsort(table[used])
-                starts = np.cumsum(n) - n
-                whole = part_of(h[i]).astype(np.uint64) << _U(48) | h[i] << _U(bits) >> _U(16)
-                bucket = _bucket(table[used][of_set], bits)
-                edges = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]]))
-                for a, z in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-                    some = of_set[a:z]
-                    at = np.repeat(starts[some] - (np.cumsum(n[some]) - n[some]), n[some]) + np.arange(n[some].sum())
-                    out.append(_pack(table[used[some]], sizes[used[some]], n[some].astype("<u4"), whole[at]))
-                    to.append(int(bucket[a]))
-                    direct.append(int(bucket[a]))
-            return pa.RecordBatch.from_arrays([pa.array(to, pa.int32()), pa.array(direct, pa.int32()), pa.array(out, pa.binary())], ["part", "direct", "block"])
-
-        sets, digests, size = [], [], 0
+            whole = part_of(h[i]).astype(np.uint64) << _U(48) | h[i] << _U(bits) >> _U(16)
+            answers = np.array([len(to)], "<u4")
+            out.append(_pack(table, sizes, _gaps(own[i]), whole, answers))
+            to.append(block % (1 << bits))
+            direct = [False] * (len(to) - 1) + [True]
+            return pa.RecordBatch.from_arrays([pa.array(to, pa.int32()), pa.array([block] * len(to), pa.int64()), pa.array(direct), pa.array(out, pa.binary())], sent_as)
+
+        sets, digests, size, number = [], [], 0, 0
         for batch in batches:
             for s in shingle_sets([t.as_py() for t in batch.column("__text").cast(pa.binary())], n):
                 if not has_partners(len(s), percent):
@@ -293,90 +306,75 @@ def _shared_shingles(docs: DataFrame, n: int, percent: int, bits: int) -> DataFr
                 digests.append(digest)
                 size += 8 * len(s)
                 if size > BLOCK_BYTES:
-                    yield blocks(sets, digests)
-                    sets, digests, size = [], [], 0
+                    yield blocks(sets, digests, number)
+                    sets, digests, size, number = [], [], 0, number + 1
         if sets:
-            yield blocks(sets, digests)
+            yield blocks(sets, digests, number)
 
-    def count(part: int, held: list[bytes]) -> Iterator[pa.RecordBatch]:
-        got = [_unpack(b, "<u4", "<u2", "<u4", "V16", "<u4", "<u4", "<u2") for b in held]
-        common = np.unique(np.concatenate([g[5].astype(np.uint64) << _U(16) | g[6] for g in got]))
-        offset = np.cumsum([0, *(len(g[3]) for g in got)])[:-1]
-        own = np.concatenate([np.repeat(np.arange(o, o + len(g[2]), dtype=np.uint32), g[2]) for g, o in zip(got, offset, strict=True)])
+    def count(part: int, held: list[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
+        got = [_unpack(b, "<u4", "<u2", "u1", "<u4", "<u2") for _, b in held]
+        common = np.unique(np.concatenate([g[3].astype(np.uint64) << _U(16) | g[4] for g in got]))
+        ends = np.cumsum([0, *(len(g[0]) for g in got)]).tolist()
         h = np.concatenate([g[0].astype(np.uint64) << _U(16) | g[1] for g in got])
-        digests, first, of = np.unique(np.concatenate([g[3] for g in got]), return_index=True, return_inverse=True)
-        sizes = np.concatenate([g[4] for g in got])[first]
-        del got
-        once = first[of[own]] == own  # the same set from another task is the same set
-        h, own = h[once], of[own[once]]
-        order = np.argsort(h, kind="stable")
-        h, own = h[order], own[order]
-        start = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+        order = np.argsort(h)
+        h = h[order]
+        start = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.empty(0, np.int64)
         times = np.diff(np.append(start, len(h)))
-        often = np.repeat(np.where(np.isin(h[start], common, assume_unique=True), COUNTED + 1, np.minimum(times, COUNTED)).astype("<u2"), times)
-        keep = np.flatnonzero(often > 1)
-        keep = keep[np.argsort(own[keep], kind="stable")]
-        h, own, often = h[keep], own[keep], often[keep]
-        start = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]])) if len(own) else np.empty(0, np.int64)
-        of, times = own[start], np.diff(np.append(start, len(own)))
-        # digests are sorted, and so each bucket of them is a stretch
-        bucket = _bucket(digests[of], bits)
-        first = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(of) else np.empty(0, np.int64)
-        cuts, out, to = np.append(start, len(own)), [], []
-        for lo, hi in zip(first.tolist(), [*first[1:].tolist(), len(of)], strict=False):
-            a, z = int(cuts[lo]), int(cuts[hi])
-            out.append(_pack(digests[of[lo:hi]], sizes[of[lo:hi]], times[lo:hi].astype("<u4"), (h[a:z] >> _U(16)).astype("<u4"), (h[a:z] & _U(0xFFFF)).astype("<u2"), often[a:z]))
-            to.append(int(bucket[lo]))
-        n = len(out)
-        yield pa.RecordBatch.from_arrays([pa.array(to, pa.int32()), pa.array([part] * n, pa.int32()), pa.array(out, pa.binary())], ["bucket", "part", "block"])
+        often = np.empty(len(h), "<u2")
+        often[order] = np.repeat(np.where(np.isin(h[start], common, assume_unique=True), COUNTED + 1, np.minimum(times, COUNTED)).astype("<u2"), times)
+        del h, order
+        out = []
+        for g, a, z in zip(got, ends[:-1], ends[1:], strict=True):
+            keep = often[a:z] > 1
+            out.append(_pack(g[0][keep], g[1][keep], _gaps(_from_gaps(g[2])[keep]), _planes(often[a:z][keep])))
+        yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in held], pa.int64()), pa.array([part] * len(out), pa.int32()), pa.array(out, pa.binary())], found_as)
 
     def receive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, held = None, []
         for batch in batches:
-            for k, straight, v in zip(batch.column("part").to_pylist(), batch.column("direct").to_pylist(), batch.column("block"), strict=True):
-                if straight >= 0:
-                    yield pa.RecordBatch.from_arrays([pa.array([straight], pa.int32()), pa.array([-1], pa.int32()), pa.array([v.as_py()], pa.binary())], ["bucket", "part", "block"])
+            for k, block, straight, v in zip(*(batch.column(c).to_pylist() for c in sent_as[:3]), batch.column("data"), strict=True):
+                if straight:
+                    yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([-1], pa.int32()), pa.array([v.as_py()], pa.binary())], found_as)
                     continue
                 if k != current and held:
                     yield from count(current, held)
                     held = []
                 current = k
-                held.append(v.as_py())
+                held.append((block, v.as_py()))
         if held:
             yield from count(current, held)
 
     def gathered(held: list[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
-        got = []
+        tables = [_unpack(b, "V16", "<u4", "u1", "<u8", "<u4") for part, b in held if part < 0]
+        if len(tables) != 1 or tables[0][4][0] != len(held) - 1:
+            raise ValueError("a block's table and the ranges' answers do not belong together: the documents came in another order when a task was run again")
+        table, sizes, own, h, _ = tables[0]
+        owns, hs, oftens = [_from_gaps(own)], [h], [np.full(len(h), COUNTED + 1, "<u2")]
         for part, b in held:
-            if part < 0:
-                table, sizes, times, h = _unpack(b, "V16", "<u4", "<u4", "<u8")
-                got.append((table, sizes, times, h, np.full(len(h), COUNTED + 1, "<u2")))
-            else:
-                table, sizes, times, high, low, often = _unpack(b, "V16", "<u4", "<u4", "<u4", "<u2", "<u2")
-                got.append((table, sizes, times, _U(part) << _U(48) | high.astype(np.uint64) << _U(16) | low, often))
-        digests, of = np.unique(np.concatenate([g[0] for g in got]), return_inverse=True)
-        sizes = np.zeros(len(digests), np.int64)
-        sizes[of] = np.concatenate([g[1] for g in got])
-        own = np.repeat(of, np.concatenate([g[2] for g in got]))
-        h, often = np.concatenate([g[3] for g in got]), np.concatenate([g[4] for g in got])
-        del got
-        order = np.lexsort((h, own))
-        order = order[np.concatenate([[True], (own[order[1:]] != own[order[:-1]]) | (h[order[1:]] != h[order[:-1]])])]  # copies of a set in several blocks
+            if part >= 0:
+                high, low, own, often = _unpack(b, "<u4", "<u2", "u1", "u1")
+                owns.append(_from_gaps(own))
+                hs.append(_U(part) << _U(48) | high.astype(np.uint64) << _U(16) | low)
+                oftens.append(_numbers(often).astype("<u2"))
+        own, h, often, sizes = np.concatenate(owns), np.concatenate(hs), np.concatenate(oftens), sizes.astype(np.int64)
+        del owns, hs, oftens
         # a set with fewer shared shingles than any link needs is out
-        order = order[(100 * np.bincount(own[order], minlength=len(digests)) >= percent * sizes)[own[order]]]
+        stay = (100 * np.bincount(own, minlength=len(sizes)) >= percent * sizes)[own]
+        h, own, often = h[stay], own[stay], often[stay]
+        order = np.lexsort((h, own))
         h, own, often = h[order], own[order], often[order]
         start = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]])) if len(own) else np.empty(0, np.int64)
         ends = np.append(start[1:], len(own))
         for lo in range(0, len(start), 1024):
             some = list(zip(start[lo : lo + 1024].tolist(), ends[lo : lo + 1024].tolist(), strict=True))
             which = own[start[lo : lo + 1024]]
-            columns = ([digests[i].tobytes() for i in which], sizes[which], [int(often[a:z].sum(dtype=np.int64)) for a, z in some], [h[a:z].astype("<u8").tobytes() for a, z in some], [often[a:z].tobytes() for a, z in some])
+            columns = ([table[i].tobytes() for i in which], sizes[which], [int(often[a:z].sum(dtype=np.int64)) for a, z in some], [h[a:z].astype("<u8").tobytes() for a, z in some], [often[a:z].tobytes() for a, z in some])
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], ["digest", "n", "weight", "shared", "often"])
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, held = None, []
         for batch in batches:
-            for k, part, v in zip(batch.column("bucket").to_pylist(), batch.column("part").to_pylist(), batch.column("block"), strict=True):
+            for k, part, v in zip(batch.column("block").to_pylist(), batch.column("part").to_pylist(), batch.column("data"), strict=True):
                 if k != current and held:
                     yield from gathered(held)
                     held = []
@@ -385,9 +383,28 @@ def _shared_shingles(docs: DataFrame, n: int, percent: int, bits: int) -> DataFr
         if held:
             yield from gathered(held)
 
-    sent = _texts(docs).mapInArrow(tidy(send), "part int, direct int, block binary")
-    shared = sent.repartition("part").sortWithinPartitions("part").mapInArrow(tidy(receive), "bucket int, part int, block binary")
-    return shared.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(tidy(collect), "digest binary, n bigint, weight bigint, shared binary, often binary")
+    sent = _texts(docs).mapInArrow(tidy(send), "part int, block bigint, direct boolean, data binary")
+    shared = sent.repartition("part").sortWithinPartitions("part").mapInArrow(tidy(receive), "block bigint, part int, data binary")
+    return shared.repartition("block").sortWithinPartitions("block").mapInArrow(tidy(collect), "digest binary, n bigint, weight bigint, shared binary, often binary")
+
+
+def _first_copies(docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The documents that classes are named by, and maybe a few others."""
+    bits = hash_bits(classes, F.xxhash64("class_id"), "jaccard-first")
+    return with_maybe(docs, F.xxhash64(docs["doc_id"].cast("bigint")), bits, "__maybe").where("__maybe").drop("__maybe")
+
+
+def _once(rows: DataFrame) -> DataFrame:
+    """One row of each set ``k``; only those of sets that may have several are looked at together."""
+    several = materialise(rows.groupBy("k").agg(F.count(F.lit(1)).alias("__rows")).where("__rows > 1").select("k"), "jaccard-several")
+    if several.isEmpty():
+        release(several)
+        return rows
+    bits = hash_bits(several, F.xxhash64("k"), "jaccard-bits", OPEN_BITS)
+    looked = with_maybe(rows, F.xxhash64("k"), bits, "__maybe", OPEN_BITS)
+    out = materialise(looked.where(~F.col("__maybe")).unionByName(looked.where("__maybe").dropDuplicates(["k"])).drop("__maybe"), "jaccard-candidates")
+    release(rows, several)
+    return out
 
 
 def _open(sets: DataFrame, keys: DataFrame) -> DataFrame:
@@ -567,12 +584,14 @@ def jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     import pyarrow as pa
 
     rows = materialise(_set_rows(docs, n), "jaccard-sets")
-    classes = rows.where("n > 0 AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("class_id"), F.first("n").alias("n"))
+    classes = rows.where("n > 0 AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("class_id"), F.first("n").alias("n"), F.count(F.lit(1)).alias("__rows"))
     classes = materialise(classes, "jaccard-classes")
-    total = classes.agg(F.sum("n")).first()[0] or 0
+    total, most = classes.agg(F.sum("n"), F.max("__rows")).first()
     bits = (-(-total // RANGE_ITEMS) - 1).bit_length() if total else 0
-    shared = _shared_shingles(docs.where(docs["doc_id"].isNotNull()), n, percent, bits)
-    sets = materialise(shared.withColumnRenamed("digest", "k"), "jaccard-candidates")
+    taken = docs.where(docs["doc_id"].isNotNull()).select("doc_id", "text")
+    if most is not None and most > 1:
+        taken = _first_copies(taken, classes)
+    sets = _once(materialise(_shared_shingles(taken, n, percent, bits).withColumnRenamed("digest", "k"), "jaccard-candidates"))
     ids = materialise(sets.select("k").join(classes.select(F.col("digest").alias("k"), F.col("class_id").alias("doc_id")), "k"), "jaccard-ids")
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

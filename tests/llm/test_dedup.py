@@ -266,6 +266,33 @@ def test_comparing_a_pair_reads_its_sets_only(spark):
     assert left >= {7, 9, 1900} and len(left) < 10
 
 
+def test_what_ranges_get_does_not_grow_with_their_number(spark, monkeypatch):
+    """A set goes by its number in its block, not by its digest in each range."""
+    from pyspark.sql import functions as F
+
+    rng = random.Random(11)
+    texts = [[f"w{rng.randrange(10**6)}" for _ in range(300)] for _ in range(160)]
+    texts += [[*t[:150], "other", *t[151:]] for t in texts[:40]]
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id bigint, text string").coalesce(2)
+    dealt, kept = [], type(df).repartition
+    monkeypatch.setattr(type(df), "repartition", lambda self, *a: dealt.append(self) or kept(self, *a))
+    found = [{bytes(r["digest"]): (r["n"], r["weight"], len(r["shared"])) for r in jaccard._shared_shingles(df, 3, 90, bits).collect()} for bits in (0, 6)]
+    one, many = (f.agg(F.sum(F.octet_length(f.columns[-1]))).first()[0] for f in dealt[::2])
+    assert found[0] == found[1] and len(found[0]) == 80
+    assert many < 1.2 * one
+
+
+def test_copies_that_are_sent_twice_change_nothing(spark, monkeypatch):
+    """Copies in several tasks that the table of bits lets through are one set, and link as it does."""
+    rng = random.Random(12)
+    base = [[f"w{rng.randrange(300)}" for _ in range(80)] for _ in range(6)]
+    near = [[*t[:40], "other", *t[41:]] for t in base]
+    texts = {i: " ".join((base + near)[i % 12]) for i in range(60)}
+    df = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string").repartition(4, "doc_id")
+    monkeypatch.setattr(jaccard, "_first_copies", lambda docs, classes: docs)
+    assert joined(jaccard_join(df, 3, 90)) == components_by_force(texts, 3, 90)
+
+
 def test_words_of_equal_sums():
     """Words that sums of powers cannot tell apart have fingerprints of their own."""
     for size in (8, 64, 1024, 4096):
