@@ -19,7 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
-from lumbung.llm.common import documents, give_back, known_words, text_of, tidy
+from lumbung.llm.common import documents, give_back, kept, known_words, text_of, tidy
 
 #: Stands for the end-of-word suffix inside pieces; byte-level alphabets have no such character.
 END = "\ue000"
@@ -39,6 +39,7 @@ class _Memo(dict):
     def __missing__(self, key):
         if len(self) >= self.limit:
             self.clear()
+            give_back()
         self[key] = value = self.make(key)
         return value
 
@@ -50,10 +51,11 @@ class BacktrackingEncoder:
         import ahocorasick
         from tokenizers import Tokenizer
 
-        self.library = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
+        #: The library's own steps before merging; its tables of the vocabulary would be held beside those below.
+        self.library = Tokenizer.from_str(json.dumps(spec | {"model": {"type": "BPE", "vocab": {}, "merges": []}, "added_tokens": [], "post_processor": None}))
         if model.get("dropout") or model.get("byte_fallback") or model.get("continuing_subword_prefix"):
             raise ValueError("this encoder is for plain byte-level merges")
         if any(t["normalized"] or t["single_word"] or t["lstrip"] or t["rstrip"] for t in spec["added_tokens"]):
@@ -79,8 +81,7 @@ class BacktrackingEncoder:
                 raise ValueError("an entry that two merges make needs the library's own merge loop")
             self.parts[c], self.made_at[c] = (a, b), n
         self.text = {v: k for k, v in vocab.items()}
-        self.spines: dict[tuple[int, bool], list[int]] = {}
-        self.compatible = _Memo(self._compatible, 4 * REMEMBER)
+        self.compatible = _Memo(self._compatible)
         #: An entry that its own parts cannot sit side by side in is never made by merging.
         self.whole = {k: v for k, v in vocab.items() if self._reachable(v)}
         self.shorter: dict[int, int] = {}
@@ -104,12 +105,10 @@ class BacktrackingEncoder:
 
     def _spine(self, token: int, right: bool) -> list[int]:
         """The entries at the token's right (or left) edge, from one symbol to the token itself, as merging makes them."""
-        if (token, right) not in self.spines:
-            up = [token]
-            while up[-1] in self.parts:
-                up.append(self.parts[up[-1]][right])
-            self.spines[token, right] = up[::-1]
-        return self.spines[token, right]
+        up = [token]
+        while up[-1] in self.parts:
+            up.append(self.parts[up[-1]][right])
+        return up[::-1]
 
     def _merges_across(self, one: int, two: int, before: float) -> bool:
         """Whether merging joins something across the border of two tokens before rank ``before``.
@@ -140,12 +139,14 @@ class BacktrackingEncoder:
         one, two = self.parts[token]
         return self._reachable(one) and self._reachable(two) and not self._merges_across(one, two, self.made_at[token])
 
-    def _encode_piece(self, piece: str) -> bytes:
-        """Ids of one pre-tokenised piece, as little-endian unsigned 32-bit integers."""
+    def _piece(self, piece: str) -> bytes:
+        """Ids of one pre-tokenised piece, as little-endian unsigned 32-bit integers; those of an entry are not remembered."""
         if self.suffix:
             piece += END
-        if (known := self.whole.get(piece)) is not None:
-            return known.to_bytes(4, "little")
+        known = self.whole.get(piece)
+        return self.pieces[piece] if known is None else known.to_bytes(4, "little")
+
+    def _encode_piece(self, piece: str) -> bytes:
         n = len(piece)
         longest, done = [None] * n, -1
         for end, (_, token) in self.reverse.iter(piece[::-1]):
@@ -183,7 +184,7 @@ class BacktrackingEncoder:
             if part in self.special:
                 out.append(self.special[part].to_bytes(4, "little"))
             elif part:
-                out += map(self.pieces.__getitem__, self._split(part))
+                out += map(self._piece, self._split(part))
         return b"".join(out)
 
     def _split(self, text: str) -> list[str]:
@@ -222,15 +223,9 @@ class BacktrackingEncoder:
         return b"".join(out).decode("utf-8", "replace").encode() if self.byte_level else b"".join(out)[:-1]
 
 
-_ENCODERS: dict[str, BacktrackingEncoder] = {}
-
-
 def encoder(path: str) -> BacktrackingEncoder:
-    """One encoder for each worker process and vocabulary file."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = BacktrackingEncoder(path)
-        give_back()  # what reading the file took
-    return _ENCODERS[path]
+    """One encoder for each worker process and vocabulary file, for as long as the process encodes."""
+    return kept("bpe", path, BacktrackingEncoder)
 
 
 def encode_documents(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",), outputs: tuple[str, ...] = ("ids", "decoded")) -> DataFrame:
@@ -256,6 +251,7 @@ def encode_documents(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_i
             for text in batch.column("__text").cast(pa.binary()):
                 if size > BATCH_BYTES:
                     yield made(batch, first)
+                    give_back()
                     first, size, counts, columns = first + len(counts), 0, [], {o: [] for o in outputs}
                 ids = bpe.encode(text.as_py())
                 decoded = bpe.decode(ids) if decodes else b""
@@ -266,7 +262,7 @@ def encode_documents(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_i
                     size += len(to[-1])
             yield made(batch, first)
 
-    return source.mapInArrow(tidy(run), schema)
+    return source.mapInArrow(tidy(run, "bpe"), schema)
 
 
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

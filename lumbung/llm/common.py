@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import functools
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -57,11 +58,34 @@ def give_back() -> None:
         pass
 
 
-def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
-    """``run`` for ``mapInArrow``, giving memory back at its end: workers wait beside those of later stages, with all that they hold."""
+#: What this process keeps for later tasks of the same kind: tables that take long to make.
+_KEPT: dict[tuple[str, str], object] = {}
+
+
+def kept(kind: str, name: str, make: Callable[[str], object]) -> object:
+    """What ``make(name)`` returned when it was first asked for; the process keeps it until a task of another kind begins."""
+    if (kind, name) not in _KEPT:
+        _KEPT[kind, name] = make(name)
+        give_back()  # what making it took
+    return _KEPT[kind, name]
+
+
+def keep_only(kind: str) -> None:
+    """Frees what tasks of other kinds have kept."""
+    if others := [k for k in _KEPT if k[0] != kind]:
+        for k in others:
+            del _KEPT[k]
+        gc.collect()  # tables refer to each other
+        give_back()
+
+
+def tidy(run: Callable[[Iterator], Iterator], kind: str = "") -> Callable[[Iterator], Iterator]:
+    """``run`` for ``mapInArrow``, giving memory back at its start (what tasks of another kind have kept) and its end: workers
+    wait beside those of later stages, with all that they hold."""
 
     @functools.wraps(run)
     def tidied(batches: Iterator) -> Iterator:
+        keep_only(kind)
         try:
             yield from run(batches)
         finally:

@@ -149,3 +149,28 @@ assert list(tidy(run)([])) == [50_000]
 assert held() - before < 60, held() - before
 """
     subprocess.run([sys.executable, "-c", code], check=True)
+
+
+def test_an_encoder_is_small_and_goes_with_its_tasks(tokenizer_path):
+    """A worker holds no second copy of the vocabulary, and nothing of it beside tasks of another kind."""
+    import subprocess
+    import sys
+
+    code = """
+import os, sys
+import numpy, pyarrow, ahocorasick, tokenizers
+from lumbung.llm.bpe import encoder
+from lumbung.llm.common import give_back, tidy
+
+def held():
+    with open("/proc/self/statm") as f:
+        return int(f.read().split()[1]) * os.sysconf("SC_PAGESIZE") >> 20
+
+give_back()
+before = held()
+assert encoder(sys.argv[1]) is encoder(sys.argv[1])
+assert held() - before < 54, held() - before
+assert list(tidy(iter)([1])) == [1]
+assert held() - before < 30, held() - before
+"""
+    subprocess.run([sys.executable, "-c", code, tokenizer_path], check=True)
