@@ -19,7 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
-from lumbung.llm.common import documents, give_back, kept, known_words, text_of, tidy
+from lumbung.llm.common import documents, give_back, kept, known_words, small_batches, text_of, tidy
 
 #: Stands for the end-of-word suffix inside pieces; byte-level alphabets have no such character.
 END = "\ue000"
@@ -236,6 +236,7 @@ def encode_documents(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_i
     """
     import pyarrow as pa
 
+    small_batches(docs.sparkSession)
     kinds = {"ids": ("binary", pa.binary()), "decoded": ("string", pa.string()), "ids_sha256": ("string", pa.string()), "decoded_sha256": ("string", pa.string())}
     source = docs.select(*[docs[c] for c in keep], text_of(docs).alias("__text"))
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema[: len(keep)]] + ["n_tokens bigint"] + [f"{o} {kinds[o][0]}" for o in outputs])

@@ -45,7 +45,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lumbung.llm.common import documents, hash_bits, materialise, release, text_of, tidy, with_maybe
+from lumbung.llm.common import documents, hash_bits, materialise, release, small_batches, text_of, tidy, with_maybe
 
 #: Fingerprints for each range: what a task holds at a time. Text bytes that a task gathers before it sends its blocks.
 RANGE_ITEMS, BLOCK_BYTES = 2 << 20, 8 << 20
@@ -583,6 +583,7 @@ def jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id and class_id (the least id with an equal set) of every row."""
     import pyarrow as pa
 
+    small_batches(docs.sparkSession)
     rows = materialise(_set_rows(docs, n), "jaccard-sets")
     classes = rows.where("n > 0 AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("class_id"), F.first("n").alias("n"), F.count(F.lit(1)).alias("__rows"))
     classes = materialise(classes, "jaccard-classes")

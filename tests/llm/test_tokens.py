@@ -174,3 +174,20 @@ assert list(tidy(iter)([1])) == [1]
 assert held() - before < 30, held() - before
 """
     subprocess.run([sys.executable, "-c", code, tokenizer_path], check=True)
+
+
+def test_batches_for_workers_are_bounded_by_bytes(spark, tokenizer_path):
+    """Many long texts of one partition do not meet in one batch."""
+    import pyarrow as pa
+
+    from lumbung.llm.bpe import encode_documents
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], ["n"])
+
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    df = spark.range(0, 3000, 1, 1).selectExpr("id AS doc_id", "repeat('satu dua ', 400) AS text")
+    encode_documents(df, tokenizer_path)
+    got = [r["n"] for r in df.mapInArrow(sizes, "n bigint").collect()]
+    assert sum(got) > 10_000_000 and max(got) < 4_000_000
