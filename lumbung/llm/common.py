@@ -12,6 +12,8 @@ from collections.abc import Callable, Iterator
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lumbung.functions.batches import ARROW_BYTES, small_batches  # noqa: F401 (the operators take them from here)
+
 #: The white space of every word and normalisation rule here: space and \t \n \v \f \r.
 SPACE = "[\\x20\\x09-\\x0D]"
 SPACE_CHARS = " \t\n\x0b\x0c\r"
@@ -47,17 +49,6 @@ def release(*tables: DataFrame) -> None:
         place.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(place, True)
 
 
-#: Bytes of rows that Spark hands to a Python worker at a time. It holds them several times over outside the heap, and does not give that memory back.
-ARROW_BYTES = 2 << 20
-
-
-def small_batches(spark: SparkSession) -> None:
-    """Bounds the batches between executors and Python workers by bytes, unless the session has a bound of its own."""
-    bound = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if spark.conf.get(bound, None) is None:
-        spark.conf.set(bound, str(ARROW_BYTES))
-
-
 def give_back() -> None:
     """Returns what this process has freed to the system: Arrow's pool and, where the C library can, its heap."""
     import pyarrow as pa

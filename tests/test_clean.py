@@ -146,3 +146,49 @@ def test_legacy_columns(spark, folder):
     assert ("Toko A", "timestamp", "timestamp") in got and ("Toko B", "item-content-main-content-reviews-item", "review") in got and ("Toko B", "time", "timestamp") in got
     rows = spark.createDataFrame([("p", 0, "baguuuus 5000"), ("p", 1, "baguuuus 5000"), ("p", 2, "x")], "product string, row_order int, review string")
     assert [r["review"] for r in clean.legacy_clean(rows).collect()] == ["baguus 500"]
+
+
+def test_files_in_pieces_are_read_as_a_whole(spark, tmp_path, monkeypatch):
+    """Cut after any bytes, in each encoding, with line ends of all kinds and a cell longer than the csv module's own limit."""
+    import csv
+    import io
+
+    texts = {
+        "a.csv": "﻿x,y\r\n\"satu\r\ndua\",é\r\n\n,\"\"\r\ntiga\n".encode(), "b.csv": b"x,x\r1,\"caf\xe9 \n \x80\"\r\r2\r", "c.csv": b"x\n\x81\xff\n", "d.csv": b"", "e.csv": ("x,y\n" + "panjang " * 30_000 + ',"z').encode(), "f.csv": b"\xed\xa0\x80,y\n1,2\n"
+    }
+    for name, data in texts.items():
+        (tmp_path / name).write_bytes(data)
+    want = set()
+    csv.field_size_limit(1 << 30)
+    for name, data in texts.items():
+        text, encoding = files_.decoded(data)
+        rows = csv.reader(io.StringIO(text, newline=""))
+        header = files_.unique_headers(next(rows, []))
+        for n, row in enumerate(r for r in rows if r):
+            want |= {(name, n, k, c, v, encoding) for k, (c, v) in enumerate(zip(header, row + [""] * (len(header) - len(row)), strict=False))}
+    for piece in (3, 1000):
+        monkeypatch.setattr(files_, "PIECE", piece)
+        got = files_.read_cells(files_.read_files(spark, str(tmp_path))).collect()
+        assert {tuple(r[c] for c in ("file", "row_order", "position", "column", "value", "encoding")) for r in got} == want and len(got) == len(want)
+    assert {e for *_, e in want} == {"utf-8", "cp1252", "latin1"}
+
+
+def test_a_worker_is_given_pieces_of_a_file(spark, tmp_path, monkeypatch):
+    (tmp_path / "a.csv").write_bytes(b"x,y\n" + b"satu dua,tiga\n" * 400_000)
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    seen, real = spark.sparkContext.accumulator(0), files_.lines
+
+    def lines(pieces, encoding):
+        def counted():
+            for p in pieces:
+                seen.add(1)
+                assert len(p) <= files_.PIECE
+                yield p
+
+        return real(counted(), encoding)
+
+    monkeypatch.setattr(files_, "lines", lines)
+    raw = files_.read_files(spark, str(tmp_path))
+    out = files_.read_cells(raw)
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) <= 4 << 20
+    assert out.count() == 800_000
