@@ -165,3 +165,12 @@ def test_samples_and_labels(spark):
     assert a == {r["id"] for r in eda.hash_sample(df.repartition(5), "id", 10).collect()}
     labels = {r["s"]: r["label"] for r in eda.anonymous_labels(df, "s", "id").collect()}
     assert labels["0"] == "Toko A" and labels["26"] == "Toko AA"
+
+
+def test_sequences_go_to_workers_in_batches_of_bounded_bytes(spark):
+    bound = "spark.sql.execution.arrow.maxBytesPerBatch"
+    seqs = sequences.build_sequences(scored(spark))
+    for make in (lambda: hmm.features(seqs, hmm.first_model()), lambda: hmm.packed(seqs)):
+        spark.conf.unset(bound)
+        df = make()
+        assert int(spark.conf.get(bound)) <= 4 << 20 and df.count() == 36
