@@ -1,6 +1,7 @@
 """A folder of three differently shaped exports, from files to reviews."""
 
 import os
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -192,3 +193,15 @@ def test_a_worker_is_given_pieces_of_a_file(spark, tmp_path, monkeypatch):
     out = files_.read_cells(raw)
     assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) <= 4 << 20
     assert out.count() == 800_000
+
+
+def test_cells_and_reviews_are_not_dealt_out_by_column_or_text(spark, result):
+    """Joins with a row a file or column are sent out; flags put no text into the exchange of a product."""
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"hashpartitioning\(file#\d+, column#\d+, \d+\)[^\n]*\n[^\n]*value#", plan(result.tagged))
+    assert "SortMergeJoin [file" not in plan(result.tagged) and "ShuffledHashJoin [file" not in plan(result.tagged)
+    docs = spark.createDataFrame([(1, "p", "teks", None, False, False, "f", 1)], "review_id int, product_id string, text_light string, timestamp timestamp_ntz, timestamp_has_time boolean, timestamp_is_estimated boolean, source_file string, row_order int")
+    flags = clean.with_flags(docs).select("review_id", "dup_group_size", "seq_in_product")
+    assert [tuple(r) for r in flags.collect()] == [(1, 1, 1)]
+    for line in plan(flags).splitlines():
+        assert "Window" not in line or "text_light" not in line
