@@ -49,7 +49,7 @@ def squeezed(c: Column) -> Column:
 
 def word_count(c: Column) -> Column:
     """Words between white space of any kind."""
-    return F.when(trimmed(c) == "", 0).otherwise(F.size(F.split(trimmed(c), r"(?U)\s+"))).cast("bigint")
+    return F.size(F.filter(F.split(c, r"(?U)\s+"), lambda w: w != "")).cast("bigint")
 
 
 def classify(value: Column, is_trimmed: bool = False) -> Column:

@@ -71,7 +71,9 @@ def top_ngrams(texts: DataFrame, n: int = 1, k: int = 20, stopwords: tuple[str,
 def mean_by_length(scored: DataFrame, words: Column) -> DataFrame:
     """Rows and mean probabilities of each length class, also of those without rows."""
     classes = scored.sparkSession.createDataFrame([(i, c) for i, c in enumerate(length_classes())], "urutan int, kelas string")
-    got = scored.withColumn("kelas", length_class(words)).groupBy("kelas").agg(F.count("*").alias("n"), *[F.avg(p).alias(p) for p in PROBABILITIES])
+    # words are counted once, not again for each bound of a class, nor in a filter on classes that could be null
+    counted = scored.select(words.alias("n"), *PROBABILITIES)
+    got = counted.withColumn("kelas", F.coalesce(length_class(F.col("n")), F.lit(""))).groupBy("kelas").agg(F.count("*").alias("n"), *[F.avg(p).alias(p) for p in PROBABILITIES])
     return classes.join(got, "kelas", "left").na.fill(0, ["n"])
 
 

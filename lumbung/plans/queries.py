@@ -442,8 +442,9 @@ def max_jump(spark: SparkSession, d: str) -> DataFrame:
 )
 def length_bins(spark: SparkSession, d: str) -> DataFrame:
     """A24."""
-    both = table(spark, d, "documents").join(scored(spark, d), F.expr("doc_id = event_id"))
-    return eda.mean_by_length(both, C.word_count(F.coalesce("text", F.lit("")))).select("kelas", "n", F.round("p_negatif", 6).alias("p_negatif"))
+    words = table(spark, d, "documents").select("doc_id", C.word_count(F.coalesce("text", F.lit(""))).alias("words"))  # counted before the join, which no text goes to
+    both = words.join(scored(spark, d), F.expr("doc_id = event_id"))
+    return eda.mean_by_length(both, F.col("words")).select("kelas", "n", F.round("p_negatif", 6).alias("p_negatif"))
 
 
 @query("truncated", rf"""WITH l AS (SELECT {WORDS.format("coalesce(text, '')")} AS n FROM documents) SELECT t AS batas, count(*) FILTER (WHERE n > t) AS n, round(100.0 * count(*) FILTER (WHERE n > t) / count(*), 2) AS persen FROM l, (SELECT unnest([64, 128, 256, 512]) AS t) GROUP BY t""")

@@ -73,3 +73,19 @@ def test_probabilities(spark):
     assert [r[1] for r in got] == [1.0549, 1.0986, 0.0, None]
     s = df.limit(1).select(*C.softmax(F.lit(1000.0), F.lit(1000.0), F.lit(0.0))).first()
     assert tuple(round(x, 6) for x in s) == (0.5, 0.5, 0.0)
+
+
+def test_words_are_counted_once_for_all_classes(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    from lumbung.functions import columns as C
+    from lumbung.operators import eda
+    from lumbung.plans.queries import QUERIES
+
+    texts = ["", " ", "satu", " satu  dua tiga ", "a\u0085b\n", "\x1fa", None]
+    df = spark.createDataFrame([(t, 0.2, 0.3, 0.5) for t in texts], "text string, p_negatif double, p_netral double, p_positif double")
+    assert [r[0] for r in df.select(C.word_count(F.col("text"))).collect()] == [0, 0, 1, 3, 2, 1, None]
+    out = eda.mean_by_length(df, C.word_count(F.col("text")))
+    assert {r["kelas"]: r["n"] for r in out.collect() if r["n"]} == {"1-2": 3, "3-5": 1}
+    plan = QUERIES["length_bins"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == 1
