@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumbung.config import LexiconConfig
@@ -79,25 +79,43 @@ def bootstrap(docs: DataFrame, genuine: list[str], counterfeit: list[str], confi
         u = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.lit(str(i)), F.col("doc_id").cast("string"))), 1, 13), 16, 10).cast("bigint") / F.lit(float(1 << 52))
         return sum((F.when(u >= b, 1).otherwise(0) for b in bounds), F.lit(0))
 
-    # a document's appearances in all resamples travel with it, the corpus itself first, so no row is repeated for a resample
+    # a document's appearances in all resamples travel with it, the corpus itself first, and so do a word's sums: no row is repeated for a resample
     drawn = docs.select("tokens", F.array(F.lit(1), *[times(i) for i in range(config.iterations)]).alias("times"))
+    seeds, every = [*genuine, *counterfeit], range(config.iterations + 1)
 
-    def summed(df: DataFrame, by: list[str], name: str) -> DataFrame:
-        """(iter, by, name): sums over each resample, the corpus as iteration -1."""
-        sums = df.groupBy(*by).agg(*[F.sum(F.get("times", F.lit(i))).alias(f"__{i}") for i in range(config.iterations + 1)])
-        each = F.explode(F.array(*[F.struct(F.lit(i - 1).alias("iter"), F.col(f"__{i}").alias(name)) for i in range(config.iterations + 1)]))
-        return sums.select(*by, each.alias("x")).select("x.iter", *by, f"x.{name}").where(F.col(name) > 0)
+    def summed(df: DataFrame, by: list[str], name: str, each: Column | int = 1) -> DataFrame:
+        """(by, name): an array of sums, over the corpus and over each resample."""
+        return df.groupBy(*by).agg(F.array(*[F.sum(each * F.get("times", F.lit(i))) for i in every]).alias(name))
 
-    words = summed(drawn.select("times", F.explode("tokens").alias("word")), ["word"], "n")
-    near = drawn.select("times", F.explode(_hits([*genuine, *counterfeit], config.window)).alias("x"))
+    words = summed(drawn.select("times", F.explode("tokens").alias("word")), ["word"], "counts").where(F.get("counts", F.lit(0)) >= config.min_count)
+    known = summed(drawn.select("times", F.explode(F.filter("tokens", lambda w: w.isin(*seeds))).alias("seed")), ["seed"], "n_seed")
+    total = summed(drawn, [], "total", F.size("tokens").cast("bigint"))
+    near = drawn.select("times", F.explode(_hits(seeds, config.window)).alias("x"))
     joint = summed(near.select("times", "x.word", "x.seed"), ["word", "seed"], "joint")
-    scores = _orientation(words, joint, words.groupBy("iter").agg(F.sum("n").alias("total")), genuine, counterfeit, config, ["iter"])
-    edge, corpus = (1 - config.confidence) / 2, F.col("iter") < 0
-    drawn_so = F.when(~corpus, F.col("so"))
-    out = scores.groupBy("word").agg(
-        F.max(F.when(corpus, F.col("n"))).alias("n"), F.max(F.when(corpus, F.col("so"))).alias("so"),
-        F.percentile(drawn_so, F.lit(edge)).alias("low"), F.percentile(drawn_so, F.lit(1 - edge)).alias("high"), F.count(drawn_so).alias("n_iter"),
-    ).where("n IS NOT NULL AND n_iter > 0")
+    pairs = joint.join(F.broadcast(known), "seed").groupBy("word").agg(F.collect_list(F.struct("seed", "joint", "n_seed")).alias("pairs"))
+
+    def pmi(x: Column, i: Column) -> Column:
+        """0 for a pair that does not meet in a resample."""
+        at = lambda c: F.get(c, i).cast("double")
+        return F.when(at(x["joint"]) > 0, F.ln(at(x["joint"]) * F.get("total", i) / (at(F.col("counts")) * at(x["n_seed"])))).otherwise(0.0)
+
+    def mean(some: list[str], i: Column) -> Column:
+        own = F.filter(F.coalesce("pairs", F.array().cast(pairs.schema["pairs"].dataType)), lambda x: x["seed"].isin(*some))
+        return F.aggregate(own, F.lit(0.0), lambda a, x: a + pmi(x, i)) / max(len(some), 1)
+
+    score = lambda n, i: F.when(n >= config.min_count, mean(genuine, i) - mean(counterfeit, i))
+    scores = words.join(pairs, "word", "left").join(F.broadcast(total)).select("word", F.get("counts", F.lit(0)).alias("n"), F.transform("counts", score).alias("all"))
+    sorted_ = scores.select("word", "n", F.get("all", F.lit(0)).alias("so"), F.array_sort(F.filter(F.slice("all", 2, max(config.iterations, 1)), lambda x: x.isNotNull())).alias("drawn"))
+
+    def percentile(share: float) -> Column:
+        """Between the two nearest values, as in SQL."""
+        at = F.lit(share) * (F.size("drawn") - 1)
+        low, high = F.floor(at), F.ceil(at)
+        value = lambda i: F.get("drawn", i.cast("int"))
+        return F.when(low == high, value(low)).otherwise((high - at) * value(low) + (at - low) * value(high))
+
+    edge = (1 - config.confidence) / 2
+    out = sorted_.where(F.size("drawn") > 0).select("word", "n", "so", percentile(edge).alias("low"), percentile(1 - edge).alias("high"), F.size("drawn").cast("bigint").alias("n_iter"))
     # an end within rounding of 0 counts as 0, so that labels do not hang on the order of sums
     low, high = F.round("low", 9), F.round("high", 9)
     return out.withColumn("label", F.when((low <= 0) & (high >= 0), "discard").when(low > 0, "genuine").otherwise("counterfeit"))

@@ -174,3 +174,10 @@ def test_sequences_go_to_workers_in_batches_of_bounded_bytes(spark):
         spark.conf.unset(bound)
         df = make()
         assert int(spark.conf.get(bound)) <= 4 << 20 and df.count() == 36
+
+
+def test_bootstrap_makes_no_row_for_a_resample(spark):
+    docs = spark.createDataFrame([(i, ["asli", "bagus", "palsu", "rusak"]) for i in range(30)], "doc_id int, tokens array<string>")
+    out = lexicon.bootstrap(docs, ["asli"], ["palsu"], LexiconConfig(iterations=20))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert " iter#" not in plan and "[iter#" not in plan and {r["n_iter"] for r in out.collect()} == {20}
