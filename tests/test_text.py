@@ -36,3 +36,13 @@ def test_lexical():
     chain = LexicalChain(["sesuai deskripsi", "asli"], ["tidak", "bukan", "belum"], domain={"brg": "barang"}, public={"brg": "x", "gk": "tidak"}, stopwords=["yang", "asli"])
     assert chain.tokens("Brg yang gk bagus, sesuai   deskripsi 100 asli") == ["barang", "tidak_bagus", "sesuai_deskripsi", "asli"]
     assert chain.tokens("brg, tidak") == ["brg", "tidak"]
+
+
+def test_texts_go_to_workers_in_batches_of_bounded_bytes(spark):
+    from pyspark.sql import functions as F
+
+    bound = "spark.sql.execution.arrow.maxBytesPerBatch"
+    for make in (clean_light, lambda t: clean_proposal(t, {"und": "dan"}), review_key):
+        spark.conf.unset(bound)
+        make(F.col("v"))
+        assert int(spark.conf.get(bound)) <= 4 << 20
