@@ -49,6 +49,14 @@ def release(*tables: DataFrame) -> None:
         place.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(place, True)
 
 
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` with its rows in the shared folder and its lineage ended there; partitions and the order in them stay."""
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(shared_folder(spark, "rows"))
+    return df.checkpoint()
+
+
 def give_back() -> None:
     """Returns what this process has freed to the system: Arrow's pool and, where the C library can, its heap."""
     import pyarrow as pa

@@ -23,7 +23,7 @@ from functools import cache
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumbung.llm.common import documents, text_of
+from lumbung.llm.common import checkpointed, documents, text_of
 
 #: An assignment to a telling name, and what it assigns.
 NAME = r"(?i:(?<![a-z_\-])[a-z_\-]{0,40}(?:key|token|secret|password|passwd|pwd|credential)[a-z_\-]{0,40}[\"']?\s{0,8}[:=]\s{0,8}[\"']?)"
@@ -75,7 +75,7 @@ def dictionary(path: str) -> tuple[tuple[str, ...], dict[str, float]]:
 
 @cache
 def word_bits(path: str) -> bytes:
-    """The dictionary as bits at the words' CRC-32 modulo WORD_BITS: one small value in a plan. One in a hundred other strings counts as a word."""
+    """The dictionary as bits at the words' CRC-32 modulo WORD_BITS. One in a hundred other strings counts as a word."""
     out = bytearray(WORD_BITS // 8)
     for w in dictionary(path)[0]:
         at = zlib.crc32(w.encode()) % WORD_BITS
@@ -91,7 +91,9 @@ def features(found: DataFrame, dictionary_path: str) -> DataFrame:
     classes = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(v, "[a-z]+", "a"), "[A-Z]+", "B"), "[0-9]+", "1"), "[^aB1]+", "-")
     # words of a name in small letters, in capitals or in both
     parts = F.transform(F.regexp_extract_all(v, F.lit("[A-Z]?[a-z]{3,}|[A-Z]{4,}"), F.lit(0)), F.lower)
-    found = found.withColumns({"__parts": parts, "__words": F.lit(word_bits(dictionary_path))})
+    # a subquery: plans have its number only, where a literal's digits would stand in each text that the driver keeps of them
+    words = found.sparkSession.createDataFrame([(bytearray(word_bits(dictionary_path)),)], "bits binary").scalar()
+    found = found.withColumns({"__parts": parts, "__words": words})
     bit = f"shiftright(CAST(conv(hex(substring(__words, CAST(crc32(w) % {WORD_BITS} DIV 8 AS INT) + 1, 1)), 16, 10) AS INT), CAST(crc32(w) % 8 AS INT)) % 2 = 1"
     known = F.aggregate(F.expr(f"filter(__parts, w -> {bit})"), F.lit(0), lambda n, w: n + F.length(w))
     table = F.expr(f"array({', '.join(f'{x!r}D' for x in pairs.values())})")
@@ -176,7 +178,9 @@ def train(spark: SparkSession, findings: DataFrame | None, dictionary_path: str)
 
     findings = generated_findings(spark, dictionary_path) if findings is None else findings
     forest = RandomForestClassifier(featuresCol="__features", labelCol="label", numTrees=TREES, maxDepth=DEPTH, seed=SEED, probabilityCol="__probability", rawPredictionCol="__raw", predictionCol="__prediction")
-    return Pipeline(stages=[VectorAssembler(inputCols=FEATURES, outputCol="__features"), forest]).fit(features(findings, dictionary_path))
+    # the fit runs many plans over its rows: these are made once, and the plans begin after them
+    rows = checkpointed(features(findings, dictionary_path).select(*FEATURES, "label"))
+    return Pipeline(stages=[VectorAssembler(inputCols=FEATURES, outputCol="__features"), forest]).fit(rows)
 
 
 def candidates(docs: DataFrame, path: str | None = None) -> DataFrame:

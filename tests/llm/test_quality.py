@@ -312,6 +312,12 @@ def test_false_findings_and_odd_rows(spark, odd, none, tokenizer_path):
     assert {i for i, v in got.items() if all(v)} == {1, 5, 6, 7, 8, 9, 10} and len(got[5]) == 2
 
 
+def test_plans_without_the_dictionary(docs, tokenizer_path):
+    """The driver keeps the text of each plan that ran: the dictionary's megabyte of digits is in none of them."""
+    plans = [secrets.features(secrets.candidates(docs), tokenizer_path), secrets.scan(docs, tokenizer_path)]
+    assert all(len(p._jdf.queryExecution().executedPlan().toString()) < 400_000 for p in plans)
+
+
 def test_dictionary_coverage(spark, tokenizer_path):
     words, pairs = secrets.dictionary(tokenizer_path)
     known = [w for w in words[:: len(words) // 300] if len(w) >= 4]
