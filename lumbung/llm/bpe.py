@@ -14,17 +14,22 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-from collections.abc import Iterator
+import struct
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
-from lumbung.llm.common import documents, give_back, kept, known_words, small_batches, text_of, tidy
+from lumbung.llm.common import BYTE_SIGNS, PLAIN_PIECES, PLAIN_WORD, documents, give_back, kept, known_words, small_batches, text_of, tidy
 
 #: Stands for the end-of-word suffix inside pieces; byte-level alphabets have no such character.
 END = "\ue000"
 #: Remembered words, pieces and pairs of one worker; a full table starts anew.
 REMEMBER = 1 << 17
+#: Edges of entries that a worker remembers.
+EDGES = 1 << 13
+#: Bytes of texts whose new words are encoded together.
+BLOCK_BYTES = 1 << 19
 #: Bytes of results after which a worker hands on what it has.
 BATCH_BYTES = 4 << 20
 
@@ -81,13 +86,17 @@ class BacktrackingEncoder:
                 raise ValueError("an entry that two merges make needs the library's own merge loop")
             self.parts[c], self.made_at[c] = (a, b), n
         self.text = {v: k for k, v in vocab.items()}
+        self.left, self.right = _Memo(lambda v: self._spine(v, False), EDGES), _Memo(lambda v: self._spine(v, True), EDGES)
         self.compatible = _Memo(self._compatible)
         #: An entry that its own parts cannot sit side by side in is never made by merging.
         self.whole = {k: v for k, v in vocab.items() if self._reachable(v)}
-        self.shorter: dict[int, int] = {}
+        #: Of each entry its length and, if there is one, the longest entry that it begins with.
+        self.size, self.shorter = [0] * (max(self.text) + 1), [None] * (max(self.text) + 1)
+        for v, k in self.text.items():
+            self.size[v] = len(k)
         reverse = ahocorasick.Automaton()
         for k, v in self.whole.items():
-            reverse.add_word(k[::-1], (len(k), v))
+            reverse.add_word(k[::-1], v)
             for n in range(len(k) - 1, 0, -1):
                 if k[:n] in self.whole:
                     self.shorter[v] = self.whole[k[:n]]
@@ -96,6 +105,7 @@ class BacktrackingEncoder:
         self.reverse = reverse
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.is_special = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
+        self.in_bulk = self.by_word and all("<|" in x for x in self.special)
         self.pieces = _Memo(self._encode_piece)
         self.words = _Memo(self._encode_word)
         self._offsets()
@@ -116,7 +126,7 @@ class BacktrackingEncoder:
         At equal ranks the leftmost pair goes first: the left token's own merge precedes one across the border,
         which precedes one inside the right token.
         """
-        left, right, i, j = self._spine(one, True), self._spine(two, False), 0, 0
+        left, right, i, j = self.right[one], self.left[two], 0, 0
         while True:
             next_left = self.made_at[left[i + 1]] if i + 1 < len(left) else before
             next_right = self.made_at[right[j + 1]] if j + 1 < len(right) else before
@@ -147,32 +157,29 @@ class BacktrackingEncoder:
         return self.pieces[piece] if known is None else known.to_bytes(4, "little")
 
     def _encode_piece(self, piece: str) -> bytes:
-        n = len(piece)
-        longest, done = [None] * n, -1
-        for end, (_, token) in self.reverse.iter(piece[::-1]):
-            if end != done:  # the longest match that ends here comes first
-                longest[n - 1 - end], done = token, end
-        open_at = [True] * (n + 1)
-        if self.suffix:
-            open_at[n - 1] = False  # the suffix is part of the last symbol
-        ids, at, token, text = [], 0, longest[0], self.text
+        n, last = len(piece), len(piece) - 1
+        found = list(self.reverse.iter(piece[::-1]))
+        found.reverse()  # of the matches that end at a place the longest now comes last, and stays
+        longest = dict(found)
+        closed = {last} if self.suffix else set()  # the suffix is part of the last symbol
+        ids, at, token, size, shorter, compatible = [], 0, longest.get(last), self.size, self.shorter, self.compatible
         while at < n:
             while token is not None:
-                end = at + len(text[token])
-                if open_at[end] and (not ids or self.compatible[ids[-1], token]):
+                end = at + size[token]
+                if end not in closed and (not ids or compatible[ids[-1], token]):
                     break
-                token = self.shorter.get(token)
+                token = shorter[token]
             if token is None:
                 if not ids:
                     raise ValueError(f"no entries spell {piece!r}")
-                open_at[at] = False
+                closed.add(at)
                 token = ids.pop()
-                at -= len(text[token])
+                at -= size[token]
             else:
                 ids.append(token)
                 at = end
-                token = longest[at] if at < n else None
-        return np.asarray(ids, "<u4").tobytes()
+                token = longest.get(last - at)
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     #: ASCII part of the library's pre-tokenising pattern; other words go through the library's own steps.
     ASCII = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^ \t\n\x0b\x0c\ra-z0-9]+")
@@ -196,6 +203,46 @@ class BacktrackingEncoder:
     def encode(self, text: bytes) -> bytes:
         return b"".join(map(self.words.__getitem__, text.split())) if self.by_word else self._encode_word(text)
 
+    def _learn(self, words: set[bytes]) -> None:
+        """Encodes the plain ones among words not yet remembered; when the table is full, words that do not occur here go."""
+        if len(words) > REMEMBER // 2:
+            return  # one at a time, as the table keeps its bound then
+        new = words.difference(self.words)
+        if len(self.words) + len(new) > REMEMBER:
+            stay = {w: self.words[w] for w in words - new}
+            self.words.clear()
+            self.words.update(stay)
+            give_back()
+        new = list(filter(PLAIN_WORD.fullmatch, new))
+        cut = PLAIN_PIECES.findall(b"\n".join([*new, b""]).decode("utf-8").lower())
+        made = {x: self._piece(x if x.isascii() else x.encode("utf-8").decode("latin-1").translate(BYTE_SIGNS)) for x in set(cut) if x != "\n"}
+        words, ids = iter(new), []
+        for piece in cut:
+            if piece == "\n":
+                self.words[next(words)] = b"".join(ids)
+                ids = []
+            else:
+                ids.append(made[piece])
+
+    def encode_many(self, texts: Iterable[bytes], block: int = BLOCK_BYTES) -> Iterator[bytes]:
+        """The ids of each text; new words of about ``block`` bytes of texts are encoded together."""
+        if not self.in_bulk:
+            yield from map(self.encode, texts)
+            return
+        split, size = [], 0
+        for text in texts:
+            split.append(text.split())
+            size += len(text)
+            if size >= block:
+                yield from self._block(split)
+                split, size = [], 0
+        yield from self._block(split)
+
+    def _block(self, split: list[list[bytes]]) -> Iterator[bytes]:
+        self._learn(set().union(*split))
+        for words in split:
+            yield b"".join(map(self.words.__getitem__, words))
+
     def _offsets(self) -> None:
         """Every id's text in one block, with an offset for each id; and a space after it, where the file has no decoder."""
         names = {v: k.replace(END, self.suffix) for k, v in self.whole.items()} | {v: k for k, v in self.special.items()}
@@ -249,12 +296,11 @@ def encode_documents(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_i
 
         for batch in batches:
             first, size, counts, columns = 0, 0, [], {o: [] for o in outputs}
-            for text in batch.column("__text").cast(pa.binary()):
+            for ids in bpe.encode_many(x.as_py() for x in batch.column("__text").cast(pa.binary())):
                 if size > BATCH_BYTES:
                     yield made(batch, first)
                     give_back()
                     first, size, counts, columns = first + len(counts), 0, [], {o: [] for o in outputs}
-                ids = bpe.encode(text.as_py())
                 decoded = bpe.decode(ids) if decodes else b""
                 counts.append(len(ids) // 4)
                 for o, to in columns.items():

@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import functools
 import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -166,6 +167,14 @@ WORD_PIECES = {
 }
 
 
+#: That pattern over lower-cased text of ``PLAIN_WORD``; a line end stands between stretches.
+PLAIN_PIECES = re.compile(r"\n|'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\na-z0-9ß-öø-ÿ]+")
+#: Printable ASCII and the letters from À to ÿ, which no normal form changes; of them no special token with ``<|`` is made.
+PLAIN_WORD = re.compile(rb"(?:[!-;=-~]|<(?!\|)|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
+#: How byte-level vocabularies write bytes that have no sign of their own.
+BYTE_SIGNS = {b: 256 + n for n, b in enumerate([*range(33), *range(127, 161), 173])}
+
+
 def known_words(spec: dict) -> bool:
     """Whether a tokenizer file cuts texts in the way above, so that no piece of a text crosses ASCII white space."""
     return spec.get("normalizer") == WORD_NORMALIZER and spec.get("pre_tokenizer") == WORD_PIECES

@@ -16,7 +16,6 @@ from __future__ import annotations
 import array
 import json
 import os
-import re
 import struct
 import sys
 import uuid
@@ -27,7 +26,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lumbung.llm.common import known_words, shared_folder, text_of
+from lumbung.llm.common import BYTE_SIGNS, PLAIN_PIECES, PLAIN_WORD, known_words, shared_folder, text_of
 
 #: Bytes and records after which a task begins another shard.
 SHARD_BYTES, SHARD_RECORDS = 64 << 20, 1 << 16
@@ -150,12 +149,7 @@ class LibraryWords:
     encodes each piece once; the library's whole chain takes the others. With any other file it takes whole texts.
     """
 
-    #: The file's pre-tokenising pattern over lower-cased text of these letters; a line end stands between stretches.
-    PIECES = re.compile(r"\n|'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\na-z0-9ß-öø-ÿ]+")
-    #: Printable ASCII and the letters from À to ÿ, which no normal form changes; of them no special token is made.
-    PLAIN = re.compile(rb"(?:[!-;=-~]|<(?!\|)|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
-    #: How byte-level vocabularies write bytes that have no sign of their own.
-    SIGNS = {b: 256 + n for n, b in enumerate([*range(33), *range(127, 161), 173])}
+    PIECES, PLAIN, SIGNS = PLAIN_PIECES, PLAIN_WORD, BYTE_SIGNS
 
     def __init__(self, path: str, end_id: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"

@@ -191,3 +191,19 @@ def test_batches_for_workers_are_bounded_by_bytes(spark, tokenizer_path):
     encode_documents(df, tokenizer_path)
     got = [r["n"] for r in df.mapInArrow(sizes, "n bigint").collect()]
     assert sum(got) > 10_000_000 and max(got) < 4_000_000
+
+
+def test_words_that_return_stay_remembered(monkeypatch, tokenizer_path, library):
+    """A full table forgets what a block of texts lacks, and keeps what it has; special, odd and long-worded blocks too."""
+    from lumbung.llm import bpe
+
+    monkeypatch.setattr(bpe, "REMEMBER", 64)
+    e = bpe.BacktrackingEncoder(tokenizer_path)
+    hot = "Zqwxkrandung übergrößtes qwvrt's x<|endoftext|>y e\u0301t\u00e9 12a!?"
+    texts = [hot + " " + " ".join(f"vkw{chr(97 + n % 26)}{'qz' * (k + 1)}" for k in range(9)) + " <|" * (n % 3) for n in range(40)] + ["", " \n", " ".join(f"aq{n}" for n in range(99))]
+    got = []
+    for n, ids in enumerate(e.encode_many([t.encode() for t in texts], block=1)):
+        got.append(np.frombuffer(ids, "<u4").tolist())
+        if n < 40:
+            assert set(hot.encode().split()) <= set(e.words) and len(e.words) <= 64
+    assert got == [library.encode(t, add_special_tokens=False).ids for t in texts]
