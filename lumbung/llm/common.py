@@ -5,11 +5,13 @@ from __future__ import annotations
 import ctypes
 import functools
 import gc
+import itertools
 import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -178,3 +180,27 @@ BYTE_SIGNS = {b: 256 + n for n, b in enumerate([*range(33), *range(127, 161), 17
 def known_words(spec: dict) -> bool:
     """Whether a tokenizer file cuts texts in the way above, so that no piece of a text crosses ASCII white space."""
     return spec.get("normalizer") == WORD_NORMALIZER and spec.get("pre_tokenizer") == WORD_PIECES
+
+
+def by_stretch(texts, block: int, ids_of: Callable[[list[bytes]], list[bytes]]) -> Iterator[bytes]:
+    """The ids of each text of an Arrow array of strings (or of a list of bytes), from those of its stretches without ASCII white space.
+
+    Looks at about ``block`` bytes of texts at a time; ``ids_of`` is asked once for each stretch that a block has (one
+    may be empty), and Arrow puts their ids in the order of the texts.
+    """
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    if not isinstance(texts, pa.Array):
+        texts = pa.array(list(texts), pa.binary()).cast(pa.string())
+    at, ends = 0, np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False), dtype=np.int64)
+    while at < len(texts):
+        upto = min(int(np.searchsorted(ends, (ends[at - 1] if at else 0) + block)) + 1, len(texts))
+        split = pc.ascii_split_whitespace(texts.slice(at, upto - at))
+        words = split.flatten().dictionary_encode()
+        ids = ids_of(words.dictionary.cast(pa.large_binary()).to_numpy(zero_copy_only=False).tolist())
+        all_ids = pa.array(ids, pa.large_binary()).take(words.indices)
+        at_word, data = np.frombuffer(all_ids.buffers()[1], np.int64), all_ids.buffers()[2]
+        for a, z in itertools.pairwise(at_word[split.offsets.to_numpy()].tolist()):
+            yield data[a:z].to_pybytes() if z > a else b""
+        at = upto

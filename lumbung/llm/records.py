@@ -14,6 +14,7 @@ An empty table has no shards. Columns other than the id and the text are not rea
 from __future__ import annotations
 
 import array
+import itertools
 import json
 import os
 import struct
@@ -26,11 +27,11 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lumbung.llm.common import BYTE_SIGNS, PLAIN_PIECES, PLAIN_WORD, known_words, shared_folder, text_of
+from lumbung.llm.common import BYTE_SIGNS, PLAIN_PIECES, PLAIN_WORD, by_stretch, known_words, shared_folder, text_of
 
 #: Bytes and records after which a task begins another shard.
 SHARD_BYTES, SHARD_RECORDS = 64 << 20, 1 << 16
-#: Words that a worker remembers; a full table starts anew.
+#: Words and pieces that a worker remembers; a full table keeps those that return.
 REMEMBER = 1 << 19
 #: Fixed value of the record format: what is added to a rotated checksum.
 MASK = 0xA282EAD8
@@ -146,7 +147,7 @@ class LibraryWords:
     In a file whose chain is the one of ``common``, every piece and special token of the vocabulary file lies within a stretch without ASCII white space, and so
     the ids of a text are those of its stretches, in order; each worker encodes a stretch once while it remembers it.
     Stretches of plain Latin letters and signs are cut into the pieces of the file's own pattern first, and the library's model
-    encodes each piece once; the library's whole chain takes the others. With any other file it takes whole texts.
+    encodes each piece once, without the library's other steps; the whole chain takes the others. With any other file it takes whole texts.
     """
 
     PIECES, PLAIN, SIGNS = PLAIN_PIECES, PLAIN_WORD, BYTE_SIGNS
@@ -160,15 +161,12 @@ class LibraryWords:
         self.library.no_padding()
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        suffix = spec["model"].get("end_of_word_suffix")
-        self.by_word = bool(suffix) and known_words(spec)
+        self.by_word = bool(spec["model"].get("end_of_word_suffix")) and known_words(spec)
         ids = [*spec["model"]["vocab"].values(), *(t["id"] for t in spec["added_tokens"]), end_id]
         self.width = 2 if max(ids) < 1 << 16 else 4
         if not self.by_word:
             return
-        self.model = Tokenizer.from_str(json.dumps(spec | {"normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}, "added_tokens": []}))
-        self.ends = np.zeros(max(ids) + 1, bool)
-        self.ends[[v for k, v in spec["model"]["vocab"].items() if k.endswith(suffix)]] = True
+        self.model = self.library.model
         self.known: dict[bytes, bytes] = {}
         self.pieces: dict[str, bytes] = {}
 
@@ -185,55 +183,57 @@ class LibraryWords:
                 to[x] = self._bytes(e.ids)
 
     def _pieces(self, texts: list[str]) -> None:
-        """Encodes pieces many at a time: the model's last id of each is one that ends a word, and no other is."""
+        """Encodes pieces by the library's model alone, which takes each as it stands."""
+        tokens = self.model.tokenize
         for at in range(0, len(texts), 4096):
             some = texts[at : at + 4096]
-            signs = " ".join([x if x.isascii() else x.encode("utf-8").decode("latin-1").translate(self.SIGNS) for x in some])
-            ids = np.array(self.model.encode_batch_fast([signs], add_special_tokens=False)[0].ids, f"<u{self.width}")
-            cuts, data = [0, *((np.flatnonzero(self.ends[ids]) + 1) * self.width).tolist()], ids.tobytes()
-            self.pieces.update(zip(some, [data[a:z] for a, z in zip(cuts, cuts[1:], strict=False)], strict=True))
-
-    def _learn(self, new: set[bytes]) -> None:
-        odd = new - set(filter(self.PLAIN.fullmatch, new))
-        got: dict[str, bytes] = {}
-        self._ids([w.decode("utf-8") for w in odd], got)
-        self.known.update((w.encode("utf-8"), ids) for w, ids in got.items())
-        new = list(new - odd)
-        cut = self.PIECES.findall(b"\n".join([*new, b""]).decode("utf-8").lower())
-        if len(self.pieces) > REMEMBER:
-            self.pieces.clear()
-        unseen = set(cut).difference(self.pieces)
-        unseen.discard("\n")
+            got = [tokens(x if x.isascii() else x.encode("utf-8").decode("latin-1").translate(self.SIGNS)) for x in some]
+            cuts = [0, *(np.cumsum(list(map(len, got))) * self.width).tolist()]
+            data = self._bytes([t.id for ts in got for t in ts])
+            self.pieces.update(zip(some, [data[a:z] for a, z in itertools.pairwise(cuts)], strict=True))
+
+    def _learn(self, new: list[bytes]) -> None:
+        plain = list(filter(self.PLAIN.fullmatch, new))
+        if len(plain) < len(new):
+            got: dict[str, bytes] = {}
+            self._ids([w.decode("utf-8") for w in set(new).difference(plain)], got)
+            self.known.update((w.encode("utf-8"), ids) for w, ids in got.items())
+        cut = self.PIECES.findall(b"\n".join([*plain, b""]).decode("utf-8").lower())
+        some = set(cut)
+        some.discard("\n")
+        unseen = some.difference(self.pieces)
+        if len(self.pieces) + len(unseen) > REMEMBER:
+            self.pieces = {x: self.pieces[x] for x in some - unseen}
         self._pieces(list(unseen))
-        words, ids, pieces = iter(new), [], self.pieces
-        for piece in cut:
-            if piece == "\n":
-                self.known[next(words)] = b"".join(ids)
-                ids = []
-            else:
-                ids.append(pieces[piece])
-
-    def encode(self, texts: list[bytes], block: int = 4 << 20) -> Iterator[bytes]:
-        """The ids of each text, ``width`` bytes each; looks at about ``block`` bytes at a time."""
-        at = 0
+        self.pieces["\n"] = b""  # a stretch's end: every piece has an id
+        parts = list(map(self.pieces.__getitem__, cut))
+        size = np.fromiter(map(len, parts), np.int64, len(parts))
+        ends, data = [0, *np.cumsum(size)[size == 0].tolist()], b"".join(parts)
+        self.known.update(zip(plain, [data[a:z] for a, z in itertools.pairwise(ends)], strict=True))
+
+    def _known(self, words: list[bytes]) -> list[bytes]:
+        got = list(map(self.known.get, words))
+        new = [n for n, ids in enumerate(got) if ids is None]
+        if len(self.known) + len(new) > REMEMBER:
+            self.known = {w: ids for w, ids in zip(words, got, strict=True) if ids is not None}
+        if new:
+            self._learn([words[n] for n in new])
+        for n in new:
+            got[n] = self.known[words[n]]
+        return got
+
+    def encode(self, texts, block: int = 16 << 20) -> Iterator[bytes]:
+        """The ids of each text of an Arrow array of strings or a list of bytes, ``width`` bytes each; looks at about ``block`` bytes at a time."""
+        if self.by_word:
+            yield from by_stretch(texts, block, self._known)
+            return
+        texts, at = [t if isinstance(t, bytes) else t.as_py().encode("utf-8") for t in texts], 0
         while at < len(texts):
             upto, size = at, 0
             while upto < len(texts) and (upto == at or size < block):
                 size, upto = size + len(texts[upto]), upto + 1
-            if not self.by_word:
-                for e in self.library.encode_batch_fast([t.decode("utf-8") for t in texts[at:upto]], add_special_tokens=False):
-                    yield self._bytes(e.ids)
-                at = upto
-                continue
-            split = [t.split() for t in texts[at:upto]]
-            new = set().union(*split).difference(self.known)
-            if len(self.known) + len(new) > REMEMBER:
-                self.known.clear()
-                new = set().union(*split)
-            if new:
-                self._learn(new)
-            for words in split:
-                yield b"".join(map(self.known.__getitem__, words))
+            for e in self.library.encode_batch_fast([t.decode("utf-8") for t in texts[at:upto]], add_special_tokens=False):
+                yield self._bytes(e.ids)
             at = upto
 
 
@@ -271,8 +271,7 @@ def write_records(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 1,
         try:
             for batch in batches:
                 rows = []
-                texts = [x.as_py() for x in batch.column("__text").cast(pa.binary())]
-                for record in frames([begin + ids + end for ids in words.encode(texts)]):
+                for record in frames([begin + ids + end for ids in words.encode(batch.column("__text"))]):
                     if out is None or held == shard_records or offset and offset + len(record) > shard_bytes:
                         if out is not None:
                             out.close()

@@ -207,3 +207,18 @@ def test_words_that_return_stay_remembered(monkeypatch, tokenizer_path, library)
         if n < 40:
             assert set(hot.encode().split()) <= set(e.words) and len(e.words) <= 64
     assert got == [library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_a_returning_word_is_encoded_once(monkeypatch, tokenizer_path, library):
+    """A full table of words keeps those of the block at hand; texts come as Arrow slices, with any white space around their words."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(records, "REMEMBER", 64)
+    words, learnt = records.LibraryWords(tokenizer_path, 1), []
+    learn = words._learn
+    monkeypatch.setattr(words, "_learn", lambda new: (learnt.extend(new), learn(new)))
+    hot = "Zqwxkrandung \t\x0b\x0c\r\n übergrößtes qwvrt's\x1c x<|endoftext|>y e\u0301t\u00e9 12a!?"
+    texts = ["cut off", *[f" {hot} " + " ".join(f"vkw{chr(97 + n % 26)}{'qz' * (k + n)}" for k in range(9)) for n in range(40)], "", " \n", "\u3000 \x85a"]
+    got = [np.frombuffer(x, "<u2").tolist() for x in words.encode([t.encode() for t in texts[1:]], block=1)]
+    assert [learnt.count(w) for w in hot.encode().split()] == [1] * 6 and len(words.known) <= 64
+    assert got == [library.encode(t, add_special_tokens=False).ids for t in texts[1:]] == [np.frombuffer(x, "<u2").tolist() for x in words.encode(pa.array(texts).slice(1))]
