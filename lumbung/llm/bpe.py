@@ -12,15 +12,16 @@ none; columns other than the id and the text are not read.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import json
 import re
 import struct
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
-from lumbung.llm.common import BYTE_SIGNS, PLAIN_PIECES, PLAIN_WORD, documents, give_back, kept, known_words, small_batches, text_of, tidy
+from lumbung.llm.common import BYTE_SIGNS, PLAIN_PIECES, PLAIN_WORD, by_stretch, documents, give_back, kept, known_words, small_batches, text_of, tidy
 
 #: Stands for the end-of-word suffix inside pieces; byte-level alphabets have no such character.
 END = "\ue000"
@@ -49,6 +50,22 @@ class _Memo(dict):
         return value
 
 
+class _Recent(_Memo):
+    """Remembers as many; half a table of new keys lets only those go that were not asked for since the half before."""
+
+    def __init__(self, make, limit: int = REMEMBER):
+        super().__init__(make, limit)
+        self.older: dict = {}
+
+    def __missing__(self, key):
+        if 2 * len(self) >= self.limit:
+            self.older = dict(self)
+            self.clear()
+        value = self.older.pop(key, None)
+        self[key] = value = self.make(key) if value is None else value
+        return value
+
+
 class BacktrackingEncoder:
     """Encodes as the library does with the same vocabulary file, without its merge loop."""
 
@@ -106,7 +123,7 @@ class BacktrackingEncoder:
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.is_special = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
         self.in_bulk = self.by_word and all("<|" in x for x in self.special)
-        self.pieces = _Memo(self._encode_piece)
+        self.pieces = _Recent(self._encode_piece)
         self.words = _Memo(self._encode_word)
         self._offsets()
 
@@ -160,25 +177,24 @@ class BacktrackingEncoder:
         n, last = len(piece), len(piece) - 1
         found = list(self.reverse.iter(piece[::-1]))
         found.reverse()  # of the matches that end at a place the longest now comes last, and stays
-        longest = dict(found)
+        longest, size, shorter, compatible = dict(found), self.size, self.shorter, self.compatible
         closed = {last} if self.suffix else set()  # the suffix is part of the last symbol
-        ids, at, token, size, shorter, compatible = [], 0, longest.get(last), self.size, self.shorter, self.compatible
+        ids, at, before, token = [], 0, None, longest.get(last)
         while at < n:
             while token is not None:
                 end = at + size[token]
-                if end not in closed and (not ids or compatible[ids[-1], token]):
+                if end not in closed and (before is None or compatible[before, token]):
+                    ids.append(token)
+                    at, before, token = end, token, longest.get(last - end)
                     break
                 token = shorter[token]
-            if token is None:
+            else:
                 if not ids:
                     raise ValueError(f"no entries spell {piece!r}")
                 closed.add(at)
                 token = ids.pop()
                 at -= size[token]
-            else:
-                ids.append(token)
-                at = end
-                token = longest.get(last - at)
+                before = ids[-1] if ids else None
         return struct.pack(f"<{len(ids)}I", *ids)
 
     #: ASCII part of the library's pre-tokenising pattern; other words go through the library's own steps.
@@ -203,45 +219,42 @@ class BacktrackingEncoder:
     def encode(self, text: bytes) -> bytes:
         return b"".join(map(self.words.__getitem__, text.split())) if self.by_word else self._encode_word(text)
 
-    def _learn(self, words: set[bytes]) -> None:
-        """Encodes the plain ones among words not yet remembered; when the table is full, words that do not occur here go."""
+    def _learn(self, new: list[bytes]) -> None:
+        """Encodes the plain ones among words not yet remembered."""
+        new = list(filter(PLAIN_WORD.fullmatch, new))
+        cut = PLAIN_PIECES.findall(b"\n".join([*new, b""]).decode("utf-8").lower())
+        some = set(cut)
+        some.discard("\n")
+        made = {x: self._piece(x if x.isascii() else x.encode("utf-8").decode("latin-1").translate(BYTE_SIGNS)) for x in some}
+        made["\n"] = b""  # a word's end: every piece has an id
+        parts = list(map(made.__getitem__, cut))
+        size = np.fromiter(map(len, parts), np.int64, len(parts))
+        ends, data = [0, *np.cumsum(size)[size == 0].tolist()], b"".join(parts)
+        self.words.update(zip(new, [data[a:z] for a, z in itertools.pairwise(ends)], strict=True))
+
+    def _known(self, words: list[bytes]) -> list[bytes]:
+        """The ids of different words; when the table is full, words that do not occur here go."""
         if len(words) > REMEMBER // 2:
-            return  # one at a time, as the table keeps its bound then
-        new = words.difference(self.words)
+            return list(map(self.words.__getitem__, words))  # one at a time, as the table keeps its bound then
+        got = list(map(self.words.get, words))
+        new = [n for n, ids in enumerate(got) if ids is None]
         if len(self.words) + len(new) > REMEMBER:
-            stay = {w: self.words[w] for w in words - new}
+            stay = {w: ids for w, ids in zip(words, got, strict=True) if ids is not None}
             self.words.clear()
             self.words.update(stay)
             give_back()
-        new = list(filter(PLAIN_WORD.fullmatch, new))
-        cut = PLAIN_PIECES.findall(b"\n".join([*new, b""]).decode("utf-8").lower())
-        made = {x: self._piece(x if x.isascii() else x.encode("utf-8").decode("latin-1").translate(BYTE_SIGNS)) for x in set(cut) if x != "\n"}
-        words, ids = iter(new), []
-        for piece in cut:
-            if piece == "\n":
-                self.words[next(words)] = b"".join(ids)
-                ids = []
-            else:
-                ids.append(made[piece])
-
-    def encode_many(self, texts: Iterable[bytes], block: int = BLOCK_BYTES) -> Iterator[bytes]:
-        """The ids of each text; new words of about ``block`` bytes of texts are encoded together."""
-        if not self.in_bulk:
-            yield from map(self.encode, texts)
-            return
-        split, size = [], 0
-        for text in texts:
-            split.append(text.split())
-            size += len(text)
-            if size >= block:
-                yield from self._block(split)
-                split, size = [], 0
-        yield from self._block(split)
-
-    def _block(self, split: list[list[bytes]]) -> Iterator[bytes]:
-        self._learn(set().union(*split))
-        for words in split:
-            yield b"".join(map(self.words.__getitem__, words))
+        if new:
+            self._learn([words[n] for n in new])
+        for n in new:
+            got[n] = self.words[words[n]]
+        return got
+
+    def encode_many(self, texts, block: int = BLOCK_BYTES) -> Iterator[bytes]:
+        """The ids of each text of an Arrow array of strings or a list of bytes; new words of about ``block`` bytes of texts are encoded together."""
+        if self.in_bulk:
+            yield from by_stretch(texts, block, self._known)
+        else:
+            yield from (self.encode(t if isinstance(t, bytes) else t.as_py().encode("utf-8")) for t in texts)
 
     def _offsets(self) -> None:
         """Every id's text in one block, with an offset for each id; and a space after it, where the file has no decoder."""
@@ -296,7 +309,7 @@ def encode_documents(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_i
 
         for batch in batches:
             first, size, counts, columns = 0, 0, [], {o: [] for o in outputs}
-            for ids in bpe.encode_many(x.as_py() for x in batch.column("__text").cast(pa.binary())):
+            for ids in bpe.encode_many(batch.column("__text")):
                 if size > BATCH_BYTES:
                     yield made(batch, first)
                     give_back()

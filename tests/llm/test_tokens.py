@@ -222,3 +222,16 @@ def test_a_returning_word_is_encoded_once(monkeypatch, tokenizer_path, library):
     got = [np.frombuffer(x, "<u2").tolist() for x in words.encode([t.encode() for t in texts[1:]], block=1)]
     assert [learnt.count(w) for w in hot.encode().split()] == [1] * 6 and len(words.known) <= 64
     assert got == [library.encode(t, add_special_tokens=False).ids for t in texts[1:]] == [np.frombuffer(x, "<u2").tolist() for x in words.encode(pa.array(texts).slice(1))]
+
+
+def test_a_returning_piece_is_encoded_once(tokenizer_path, library):
+    """A full table of pieces lets go of those that did not return, not of all."""
+    from lumbung.llm import bpe
+
+    e = bpe.BacktrackingEncoder(tokenizer_path)
+    made, make, e.pieces.limit = [], e.pieces.make, 16
+    e.pieces.make = lambda piece: made.append(piece) or make(piece)
+    texts = [f"Qzwxkvb{n}! \t\vaq{chr(97 + n % 26)}x{'zq' * (n // 26 + 1)}k" for n in range(99)]
+    got = [np.frombuffer(x, "<u4").tolist() for x in e.encode_many([t.encode() for t in texts], block=1)]
+    assert got == [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert made.count("qzwxkvb" + bpe.END) == 1 and len(made) > 90 and len(e.pieces) <= 16
