@@ -14,9 +14,11 @@ An empty table has no shards. Columns other than the id and the text are not rea
 from __future__ import annotations
 
 import array
+import codecs
 import itertools
 import json
 import os
+import re
 import struct
 import sys
 import uuid
@@ -33,6 +35,12 @@ from lumbung.llm.common import BYTE_SIGNS, PLAIN_PIECES, PLAIN_WORD, by_stretch,
 SHARD_BYTES, SHARD_RECORDS = 64 << 20, 1 << 16
 #: Words and pieces that a worker remembers; a full table keeps those that return.
 REMEMBER = 1 << 19
+#: Pieces that the library's model takes before their ids are copied: few enough that its tokens stay in the processor's cache.
+CHUNK = 512
+#: Lines of ``PLAIN_WORD`` or nothing, each with its end: a whole block is looked over at once.
+PLAIN_LINES = re.compile(rb"(?:%s|\n)*+" % PLAIN_WORD.pattern.replace(b")+", b")++"))
+#: The sign of each byte in byte-level vocabularies; a line end stays one.
+SIGN_OF = "".join("\n" if b == 10 else chr(BYTE_SIGNS.get(b, b)) for b in range(256))
 #: Fixed value of the record format: what is added to a rotated checksum.
 MASK = 0xA282EAD8
 
@@ -150,7 +158,7 @@ class LibraryWords:
     encodes each piece once, without the library's other steps; the whole chain takes the others. With any other file it takes whole texts.
     """
 
-    PIECES, PLAIN, SIGNS = PLAIN_PIECES, PLAIN_WORD, BYTE_SIGNS
+    PIECES, PLAIN = PLAIN_PIECES, PLAIN_WORD
 
     def __init__(self, path: str, end_id: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -184,21 +192,22 @@ class LibraryWords:
 
     def _pieces(self, texts: list[str]) -> None:
         """Encodes pieces by the library's model alone, which takes each as it stands."""
-        tokens = self.model.tokenize
-        for at in range(0, len(texts), 4096):
-            some = texts[at : at + 4096]
-            got = [tokens(x if x.isascii() else x.encode("utf-8").decode("latin-1").translate(self.SIGNS)) for x in some]
+        for at in range(0, len(texts), CHUNK):
+            some = texts[at : at + CHUNK]
+            got = list(map(self.model.tokenize, codecs.charmap_decode("\n".join(some).encode("utf-8"), "strict", SIGN_OF)[0].split("\n")))
             cuts = [0, *(np.cumsum(list(map(len, got))) * self.width).tolist()]
             data = self._bytes([t.id for ts in got for t in ts])
             self.pieces.update(zip(some, [data[a:z] for a, z in itertools.pairwise(cuts)], strict=True))
 
     def _learn(self, new: list[bytes]) -> None:
-        plain = list(filter(self.PLAIN.fullmatch, new))
-        if len(plain) < len(new):
+        lines, plain = b"\n".join([*new, b""]), new
+        if not PLAIN_LINES.fullmatch(lines):
+            plain = list(filter(self.PLAIN.fullmatch, new))
+            lines = b"\n".join([*plain, b""])
             got: dict[str, bytes] = {}
             self._ids([w.decode("utf-8") for w in set(new).difference(plain)], got)
             self.known.update((w.encode("utf-8"), ids) for w, ids in got.items())
-        cut = self.PIECES.findall(b"\n".join([*plain, b""]).decode("utf-8").lower())
+        cut = self.PIECES.findall(lines.decode("utf-8").lower())
         some = set(cut)
         some.discard("\n")
         unseen = some.difference(self.pieces)
@@ -217,9 +226,10 @@ class LibraryWords:
         if len(self.known) + len(new) > REMEMBER:
             self.known = {w: ids for w, ids in zip(words, got, strict=True) if ids is not None}
         if new:
-            self._learn([words[n] for n in new])
-        for n in new:
-            got[n] = self.known[words[n]]
+            some = [words[n] for n in new]
+            self._learn(some)
+            for n, ids in zip(new, map(self.known.__getitem__, some), strict=True):
+                got[n] = ids
         return got
 
     def encode(self, texts, block: int = 16 << 20) -> Iterator[bytes]:
@@ -316,25 +326,25 @@ def read_records(spark: SparkSession, folder: str, shuffle_seed: int | None = No
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = _files(shards)
         for batch in batches:
-            for row in batch.to_pylist():
-                entries = row["entries"]
+            for row, listed in zip(batch.drop_columns(["entries"]).to_pylist(), batch.column("entries"), strict=True):
+                entries = listed.values
                 if shuffle_seed is not None:
                     order = np.random.default_rng([shuffle_seed, zlib.crc32(row["file"].encode())]).permutation(len(entries))
-                    entries = [entries[k] for k in order]
+                    entries = entries.take(pa.array(order))
                 with store.open_input_file(f"{root}/{row['file']}") as f:
                     for at in range(0, len(entries), 4096):
-                        some, records = entries[at : at + 4096], []
-                        for e in some:
-                            f.seek(e["offset"])
-                            records.append(f.read(e["length"]))
+                        some, records = entries.slice(at, 4096), []
+                        for offset, length in zip(some.field("offset").to_numpy().tolist(), some.field("length").to_numpy().tolist(), strict=True):
+                            f.seek(offset)
+                            records.append(f.read(length))
                         ids, n = [np.frombuffer(x, f"<u{x[0]}", offset=1).astype("<u4").tobytes() for x in unframe(records)], len(some)
-                        if [len(x) for x in ids] != [4 * e["n_tokens"] for e in some]:
+                        sizes = np.fromiter(map(len, ids), np.int64, n)
+                        if (sizes != 4 * some.field("n_tokens").to_numpy()).any():
                             raise ValueError("the index and a record differ in length")
                         yield pa.RecordBatch.from_arrays(
                             [
-                                pa.array([row["task"]] * n, pa.int32()), pa.array([row["shard"]] * n, pa.int32()), pa.array([e["offset"] for e in some], pa.int64()),
-                                pa.array([e["task_start"] for e in some], pa.int64()), pa.array([e["doc_id"] for e in some], batch.schema.field("entries").type.value_type.field("doc_id").type),
-                                pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array([zlib.crc32(x) for x in ids], pa.int64()),
+                                pa.array([row["task"]] * n, pa.int32()), pa.array([row["shard"]] * n, pa.int32()), some.field("offset"), some.field("task_start"), some.field("doc_id"),
+                                pa.array(sizes // 4), pa.array(ids, pa.binary()), pa.array([zlib.crc32(x) for x in ids], pa.int64()),
                             ],
                             ["task", "shard", "offset", "task_start", "doc_id", "n_tokens", "ids", "ids_crc32"],
                         )

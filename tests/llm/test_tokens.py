@@ -235,3 +235,15 @@ def test_a_returning_piece_is_encoded_once(tokenizer_path, library):
     got = [np.frombuffer(x, "<u4").tolist() for x in e.encode_many([t.encode() for t in texts], block=1)]
     assert got == [library.encode(t, add_special_tokens=False).ids for t in texts]
     assert made.count("qzwxkvb" + bpe.END) == 1 and len(made) > 90 and len(e.pieces) <= 16
+
+
+def test_plain_blocks_are_looked_over_at_once(tokenizer_path, library):
+    """op1: a block of plain stretches is not tested stretch by stretch; one with others is, and signs of bytes are as the library has them."""
+    plain = ["", " \n", "Übergrößtes a<b <", "x<y|z ñandú's 12a!? ýþÿ ÀÖØÞ àöøÿ", *[f"w{chr(97 + n % 26)}{'éq' * (n % 7)}z{n}" for n in range(2 * records.CHUNK)]]
+    words = records.LibraryWords(tokenizer_path, 1)
+    words.PLAIN = None
+    want = lambda texts: [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [np.frombuffer(x, "<u2").tolist() for x in words.encode([t.encode() for t in plain])] == want(plain)
+    odd = ["a×b", "x<|endoftext|>y", "<|", "é \x1c", "　", " x", *plain]
+    words = records.LibraryWords(tokenizer_path, 1)
+    assert [np.frombuffer(x, "<u2").tolist() for x in words.encode([t.encode() for t in odd])] == want(odd)
