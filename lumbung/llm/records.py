@@ -29,7 +29,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lumbung.llm.common import BYTE_SIGNS, PLAIN_PIECES, PLAIN_WORD, by_stretch, known_words, shared_folder, text_of
+from lumbung.llm.common import BYTE_SIGNS, PLAIN_PIECES, PLAIN_WORD, by_stretch, known_words, shared_folder, text_of, tidy
 
 #: Bytes and records after which a task begins another shard.
 SHARD_BYTES, SHARD_RECORDS = 64 << 20, 1 << 16
@@ -302,7 +302,7 @@ def write_records(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 1,
                 out.close()
 
     schema = f"task int, shard int, file string, doc_id {id_type}, offset bigint, length bigint, n_tokens bigint, task_start bigint"
-    source.mapInArrow(run, schema).write.parquet(f"{folder}/index")
+    source.mapInArrow(tidy(run), schema).write.parquet(f"{folder}/index")
     return spark.read.parquet(f"{folder}/index")
 
 
@@ -349,7 +349,7 @@ def read_records(spark: SparkSession, folder: str, shuffle_seed: int | None = No
                             ["task", "shard", "offset", "task_start", "doc_id", "n_tokens", "ids", "ids_crc32"],
                         )
 
-    return plan.mapInArrow(run, f"task int, shard int, offset bigint, task_start bigint, doc_id {id_type}, n_tokens bigint, ids binary, ids_crc32 bigint")
+    return plan.mapInArrow(tidy(run), f"task int, shard int, offset bigint, task_start bigint, doc_id {id_type}, n_tokens bigint, ids binary, ids_crc32 bigint")
 
 
 def starts(index: DataFrame) -> DataFrame:
